@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm import exact_dedup, media, token_shards
+from driftwell.llm import exact_dedup, media, near_dedup, packing, token_shards
+from driftwell.session import ship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_media": media.op1_media,
+        "op2_packing": packing.op2_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
         "op10_token_shards": token_shards.op10_token_shards,
     }
+    return {name: lambda spark, sf_dir, run=run: run(ship(spark), sf_dir) for name, run in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
