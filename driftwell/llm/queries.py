@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm import exact_dedup, media, near_dedup, packing, token_shards
+from driftwell.llm import exact_dedup, media, near_dedup, packing, suffix_dedup, token_shards
 from driftwell.session import ship
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_media": media.op1_media,
         "op2_packing": packing.op2_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op10_token_shards": token_shards.op10_token_shards,
     }
