@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm import exact_dedup, media, near_dedup, packing, suffix_dedup, token_shards
+from driftwell.llm import exact_dedup, media, mixing, near_dedup, packing, quality, secrets, suffix_dedup, token_shards, warc
 from driftwell.session import ship
 
 
@@ -16,7 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": packing.op2_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op5_secrets": secrets.op5_secrets,
+        "op6_warc": warc.op6_warc,
         "op7_near_dedup": near_dedup.op7_near_dedup,
+        "op8_mixing": mixing.op8_mixing,
+        "op9_quality": quality.op9_quality,
         "op10_token_shards": token_shards.op10_token_shards,
     }
     return {name: lambda spark, sf_dir, run=run: run(ship(spark), sf_dir) for name, run in found.items()}
