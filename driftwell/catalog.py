@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftwell.queries import retrieval
+from driftwell.session import ship
+
+FAMILIES = (retrieval,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = {name: run for f in FAMILIES for name, run in f.QUERIES.items()}
+    return {name: lambda spark, sf_dir, run=run: run(ship(spark), sf_dir) for name, run in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for f in FAMILIES for name, sql in f.ORACLE.items()}
