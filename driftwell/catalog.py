@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.queries import retrieval
+from driftwell.queries import decisions, retrieval
 from driftwell.session import ship
 
-FAMILIES = (retrieval,)
+FAMILIES = (retrieval, decisions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
