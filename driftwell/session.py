@@ -57,8 +57,11 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/driftwell/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs a reread."""
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs a reread.
+
+    Hashes and ids hardly compress; tables of texts are worth ``zstd``.
+    """
     path = shared_dir(df.sparkSession, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
