@@ -2,31 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-FALLBACK_DIR = "file:///tmp/checkpoints/driftwell"
-
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
-
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests, a laptop) a local
-    folder stands in.
-    """
-    root = spark.conf.get(CHECKPOINT_KEY, None) or FALLBACK_DIR
-    return f"{root.rstrip('/')}/driftwell/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs a reread."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from driftwell.session import shared_dir, stored  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

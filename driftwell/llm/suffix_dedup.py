@@ -261,7 +261,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, Data
     wanted = found.select(F.col("a").alias("_a"), F.col("b").alias("_b")).distinct()
     keyed = docs.select(*_key(), F.coalesce("text", F.lit("")).alias("text"))
     text = keyed.join(wanted, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_semi")
-    text = stored(text.groupBy("a", "b").agg(F.first("text").alias("text")), "texts")
+    text = stored(text.groupBy("a", "b").agg(F.first("text").alias("text")), "texts", "zstd")
     spans = [found.filter("repeated").select("a", "b", "s", "n")]
     for block in (BLOCK, 1):
         rows = stored(next_digits(text.join(_parts(found), ["a", "b"]), depth, block), f"rows{block}")
