@@ -54,7 +54,12 @@ def by_difficulty(difficulty: Column, rule: Column, procedure: Column, exception
     )
 
 
-@F.pandas_udf("double")
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def matching_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp similarity, which no built-in function has; null if either text is."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        pairs = zip(x, y, strict=True)
+        return pd.Series([None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in pairs], dtype="float64")
+
+    return run(a, b)
