@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwell.session import shared_dir, stored  # noqa: F401
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
