@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.queries import corpus, decisions, retrieval
+from driftwell.queries import corpus, decisions, extras, retrieval
 from driftwell.session import ship
 
-FAMILIES = (retrieval, decisions, corpus)
+FAMILIES = (retrieval, decisions, corpus, extras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
