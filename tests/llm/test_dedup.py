@@ -113,3 +113,18 @@ def test_near_classes(spark):
     kept = near_dedup.near_dedup(docs(spark, rows)).collect()
     assert {x.doc_id for x in kept} == {v[0] for v in out.values()}
     assert near_dedup.near_classes(docs(spark, [])).count() == 0
+
+
+def test_original_joins_copies_that_differ_from_one_another(spark):
+    r = random.Random(5)
+    base, rows = [f"{w}{i}" for i, w in enumerate(prose(r, 200).split())], []
+    for c in range(300):
+        words = base[:]
+        for at in r.sample(range(200), 24):
+            words[at] = f"copy{c}x{at}"
+        rows.append((c + 1, " ".join(words)))
+    rows.append((1000, " ".join(base)))
+    assert all(near_dedup.similar(t, rows[-1][1]) for _, t in rows)
+    assert sum(near_dedup.similar(rows[i][1], rows[i + 1][1]) for i in range(0, 300, 2)) < 30
+    out = near_dedup.near_classes(docs(spark, rows)).collect()
+    assert max(x.class_size for x in out) >= 285
