@@ -128,3 +128,22 @@ def test_original_joins_copies_that_differ_from_one_another(spark):
     assert sum(near_dedup.similar(rows[i][1], rows[i + 1][1]) for i in range(0, 300, 2)) < 30
     out = near_dedup.near_classes(docs(spark, rows)).collect()
     assert max(x.class_size for x in out) >= 285
+
+
+def test_similar_texts_become_candidates():
+    r = random.Random(6)
+
+    def keys(words):
+        text = " ".join(words)
+        short = near_dedup.short_keys(text) if len(words) <= near_dedup.SHORT else []
+        return set(enumerate(near_dedup.sketch(near_dedup.shingles(text)))) | {(near_dedup.BANDS, k) for k in short}
+
+    for n, least in ((6, 1.0), (12, 1.0), (20, 1.0), (30, 1.0), (50, 0.92), (200, 0.92)):
+        found = 0
+        for _ in range(200):
+            a = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            b = a[:]
+            for at in r.sample(range(n), n // 5):
+                b[at] = f"x{r.randrange(10**6)}"
+            found += not keys(a).isdisjoint(keys(b))
+        assert found >= least * 200
