@@ -147,3 +147,10 @@ def test_similar_texts_become_candidates():
                 b[at] = f"x{r.randrange(10**6)}"
             found += not keys(a).isdisjoint(keys(b))
         assert found >= least * 200
+
+
+def test_similar_ignores_case_and_marks():
+    text = prose(random.Random(8), 60)
+    assert near_dedup.similar(text, text.upper())
+    assert near_dedup.similar(text, ", ".join(f'"{w}"' for w in text.split()[:-5]) + " other")
+    assert not near_dedup.similar(text, prose(random.Random(9), 60))
