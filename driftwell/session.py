@@ -57,11 +57,17 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/driftwell/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "snappy", path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs a reread.
 
     Hashes and ids hardly compress; tables of texts are worth ``zstd``.
     """
-    path = shared_dir(df.sparkSession, label)
+    path = path or shared_dir(df.sparkSession, label)
     df.write.mode("overwrite").option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
