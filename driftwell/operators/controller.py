@@ -5,11 +5,14 @@ answers) is column expressions; the controller is a fold over the repetition, in
 state.  ``final_states`` folds in SQL where only the end matters; ``fold`` gives every step.
 
 States are SO (shadow), SC (suggest) and DS (decide).  Reliability is a fading mean: numerator and
-denominator decay by ``decay`` before each observation, and stay as they are in DS.
+denominator decay by ``decay`` before each observation, and stay as they are in DS.  A suggestion is accepted or
+rejected only where it conflicts with the human's answer in SC; everything decided in DS counts as autonomous,
+also where the model abstains.  The recent gold window holds the last graded answers of SO and SC.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -18,6 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+PROFILES = ("ceo", "domain_expert", "intern")
+
+
 @dataclass(frozen=True)
 class Condition:
     """One configuration; the thresholds obey beta < alpha <= gamma."""
@@ -28,17 +34,26 @@ class Condition:
     least_observations: int = 30
     review: int = 100
     decay: float = 0.99861
-    acceptance: str = "gold"  # always, never or gold
+    acceptance: str = "gold"  # always, never, gold or stochastic
     enabled: bool = True
     bootstrap: bool = False
+    gold_window: int = 30
+    strategy: str = "informed"  # informed, single or random
+    single_profile: str | None = None
 
     def __post_init__(self) -> None:
         if not 0 <= self.beta < self.alpha <= self.gamma <= 1:
             raise ValueError("beta < alpha <= gamma, all within [0, 1]")
         if not 0 < self.decay <= 1 or self.least_observations < 1 or self.review < 0:
             raise ValueError("decay lies in (0, 1], counts are not negative")
-        if self.acceptance not in ("always", "never", "gold"):
+        if self.acceptance not in ("always", "never", "gold", "stochastic"):
             raise ValueError(f"unknown acceptance {self.acceptance!r}")
+        if self.strategy not in ("informed", "single", "random") or self.gold_window < 1:
+            raise ValueError(f"unknown strategy {self.strategy!r} or an empty gold window")
+        if (self.strategy == "single") != (self.single_profile in PROFILES):
+            raise ValueError("the single strategy, and only it, names one profile")
+        if not self.enabled and self.strategy != "single":
+            raise ValueError("without the system one profile answers all tickets")
 
 
 def in_review(position: Column, extra: Column, c: Condition) -> Column:
@@ -57,14 +72,25 @@ def baseline_phase(quarter: Column, position: Column, extra: Column, review: int
     )
 
 
-def routed(bootstrap: Column, review: Column, difficulty: Column, in_domain: Column, coin: Column) -> Column:
-    """Profile of a ticket: trusted phases, hard tickets, the expert's domain, easy tickets, else a coin."""
-    return (
-        F.when(bootstrap | review | (difficulty == "hard"), F.lit("ceo"))
-        .when(in_domain, F.lit("domain_expert"))
-        .when(difficulty == "easy", F.lit("intern"))
-        .otherwise(F.when(coin, F.lit("ceo")).otherwise(F.lit("domain_expert")))
-    )
+def routed(bootstrap: Column, review: Column, difficulty: Column, in_domain: Column, coin: Column, c: Condition | None = None, draw: Column | None = None) -> Column:
+    """Profile of a ticket: trusted phases, then by strategy.
+
+    Informed: hard tickets, the expert's domain, easy tickets, else a coin.  Single: the one profile.  Random: the
+    profile that ``draw`` (0, 1 or 2) names.
+    """
+    c = c or Condition()
+    if c.strategy == "single":
+        otherwise = F.lit(c.single_profile)
+    elif c.strategy == "random":
+        otherwise = F.get(F.array(*[F.lit(p) for p in PROFILES]), draw.cast("int"))
+    else:
+        otherwise = (
+            F.when(difficulty == "hard", F.lit("ceo"))
+            .when(in_domain, F.lit("domain_expert"))
+            .when(difficulty == "easy", F.lit("intern"))
+            .otherwise(F.when(coin, F.lit("ceo")).otherwise(F.lit("domain_expert")))
+        )
+    return F.when(bootstrap | review, F.lit("ceo")).otherwise(otherwise)
 
 
 def human_is_correct(profile: Column, in_domain: Column, intern: Column, out_of_domain: Column) -> Column:
@@ -96,10 +122,11 @@ def model_action(enabled: Column, decided: Column, abstained: Column) -> Column:
 
 STEP = (
     "state_before string, state_after string, accepted boolean, observation int, observations_before int, observations_after int, "
-    "fea_before double, fea_after double, numerator double, denominator double, final_origin string, component string, final_is_correct boolean, trigger string"
+    "fea_before double, fea_after double, numerator double, denominator double, final_origin string, component string, final_is_correct boolean, trigger string, "
+    "recent_gold double, recent_graded int"
 )
 #: What the fold reads of a ticket.
-TICKET = ("position", "quarter", "quarter_position", "extra", "bootstrap", "abstain", "covers", "gold_correct", "human_correct")
+TICKET = ("position", "quarter", "quarter_position", "extra", "bootstrap", "abstain", "covers", "gold_correct", "human_correct", "coin")
 
 
 class Controller:
@@ -107,6 +134,7 @@ class Controller:
 
     def __init__(self, c: Condition, state: str = "SO", numerator: float = 0.0, denominator: float = 0.0, observations: int = 0):
         self.c, self.state, self.num, self.den, self.obs = c, state, numerator, denominator, observations
+        self.recent: deque[bool] = deque(maxlen=c.gold_window)
 
     @property
     def fea(self) -> float:
@@ -127,37 +155,36 @@ class Controller:
             return "DS"
         return self.state
 
-    def step(self, quarter_position: int, extra: bool, bootstrap: bool, abstain: bool, covers: bool, gold: bool, human: bool) -> tuple:
+    def step(self, quarter_position: int, extra: bool, bootstrap: bool, abstain: bool, covers: bool, gold: bool, human: bool, coin: bool) -> tuple:
         c = self.c
         trigger = None
         if quarter_position == 1 and self.state == "DS" and c.review > 0 and not extra:
-            self.state, trigger = "SC", "quarter_start"
+            self.state, trigger = "SC", "quarterly_ceo_review"
         before, obs, fea = self.state, self.obs, self.fea
         taken = seen = None
-        correct = human
+        origin, component, correct = "human", "assisted", human
         if not c.enabled:
-            return before, before, None, None, obs, obs, fea, fea, self.num, self.den, "human", "unassisted_human", human, None
+            return before, before, None, None, obs, obs, fea, fea, self.num, self.den, origin, "unassisted_human", human, None, None, 0
         if before == "DS":
-            origin, component = ("human_on_abstention", "assisted") if abstain else ("model", "autonomous_model")
-            correct = human if abstain else gold
-        else:
-            origin, component = "human", "assisted"
-            if not abstain:
-                seen = int(covers)
-                if before == "SC" and not covers:
-                    taken = c.acceptance == "always" or (c.acceptance == "gold" and gold)
-                    seen = int(taken)
-                    if taken:
-                        origin, correct = "human_revised_to_model", gold
-                elif before == "SC":
-                    taken = True
-                self.observe(seen)
-        if not extra and not bootstrap and not quarter_position < c.review:
+            component = "autonomous_model"
+            origin, correct = ("human_on_abstention", human) if abstain else ("model", gold)
+        elif not abstain:
+            self.recent.append(gold)
+            seen = int(covers)
+            if before == "SC" and not covers:
+                taken = {"always": True, "never": False, "gold": bool(gold), "stochastic": bool(coin)}[c.acceptance]
+                seen = int(taken)
+                if taken:
+                    origin, correct = "human_revised_to_model", gold
+            self.observe(seen)
+        if before != "DS" and not extra and not bootstrap and not quarter_position < c.review:
             after = self.next_state()
             if after != self.state:
                 self.state = after
-                trigger = "review_completion" if quarter_position == c.review else "reliability"
-        return before, self.state, taken, seen, obs, self.obs, fea, self.fea, self.num, self.den, origin, component, correct, trigger
+                trigger = "quarterly_ceo_review_completion" if quarter_position == c.review else "reliability_threshold"
+        graded = len(self.recent)
+        mean = sum(self.recent) / graded if graded else None
+        return before, self.state, taken, seen, obs, self.obs, fea, self.fea, self.num, self.den, origin, component, correct, trigger, mean, graded
 
 
 def fold(tickets: DataFrame, by: str, c: Condition) -> DataFrame:
@@ -170,7 +197,7 @@ def fold(tickets: DataFrame, by: str, c: Condition) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("position", ignore_index=True)
         state = Controller(Condition(**options))
-        inputs = zip(*(rows[x] for x in ("quarter_position", "extra", "bootstrap", "abstain", "covers", "gold_correct", "human_correct")), strict=True)
+        inputs = zip(*(rows[x] for x in ("quarter_position", "extra", "bootstrap", "abstain", "covers", "gold_correct", "human_correct", "coin")), strict=True)
         out = pd.DataFrame([state.step(*x) for x in inputs], columns=made)
         out["observation"] = out["observation"].astype("Int32")
         return pd.concat([rows, out], axis=1)
@@ -199,7 +226,7 @@ def final_states(tickets: DataFrame, by: str, c: Condition) -> DataFrame:
     def step(s: Column, t: Column) -> Column:
         reset = (t["quarter_position"] == 1) & (s["state"] == "DS") & ~t["extra"] & F.lit(c.review > 0)
         before = F.when(reset, "SC").otherwise(s["state"])
-        take = F.lit(True) if c.acceptance == "always" else F.lit(False) if c.acceptance == "never" else t["gold_correct"]
+        take = accepted(c.acceptance, t["gold_correct"], t["coin"])
         seen = F.when(t["abstain"] | (before == "DS"), F.lit(None)).when((before == "SC") & ~t["covers"], take).otherwise(t["covers"])
         one = F.when(seen, 1.0).otherwise(0.0)
         num = F.when(seen.isNull(), s["num"]).otherwise(F.lit(c.decay) * s["num"] + one)

@@ -1,7 +1,9 @@
 """Fading accuracy: ``num = decay * num + x; den = decay * den + 1; num / den``.
 
-The end of a run is a plain weighted sum, so it aggregates before the shuffle.  Running values use prefix
-sums of ``x * decay ^ -n`` while that stays finite, and the fold beyond.
+The end of a run is a plain weighted sum, so it aggregates before the shuffle.  Running values use prefix sums of
+``x * decay ^ -n`` in blocks of rows short enough that the power stays finite.  What a block takes over from the
+block before it has faded by ``e ^ -REACH`` one block further, far below what a double can tell, so a block needs
+the sums of one predecessor only: work is linear in a run of any length, at any decay.
 """
 
 from __future__ import annotations
@@ -11,12 +13,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Exponent of e at which prefix sums are given up for the fold.
-REACH = 600.0
+#: Exponent of e that a block's powers reach.
+REACH = 300.0
 
 
-def closed_form_is_safe(decay: float, longest: int) -> bool:
-    return decay == 1 or longest * -math.log(decay) <= REACH
+def block_rows(decay: float) -> int:
+    """Rows of a block of prefix sums."""
+    return 1 << 62 if decay == 1 else max(1, int(REACH / -math.log(decay)))
 
 
 def final(rows: DataFrame, run: str, value: str, order: str, decay: float) -> DataFrame:
@@ -27,20 +30,22 @@ def final(rows: DataFrame, run: str, value: str, order: str, decay: float) -> Da
     return out.select(run, "observations", (F.col("_n") / F.col("_d")).alias("fea"))
 
 
-def running(rows: DataFrame, run: str, value: str, order: str, decay: float, longest: int) -> DataFrame:
-    """``rows`` with the reliability after each observation."""
-    w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if closed_form_is_safe(decay, longest):
-        up = F.pow(F.lit(decay), -F.col(order))
-        return rows.withColumn("fea", F.sum(F.col(value) * up).over(w) / F.sum(up).over(w))
-    # Prefix sums would overflow: each row folds its own prefix.
-    step = F.aggregate(
-        F.collect_list(F.col(value).cast("double")).over(w),
-        F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d")),
-        lambda s, x: F.struct((F.lit(decay) * s["n"] + x).alias("n"), (F.lit(decay) * s["d"] + F.lit(1.0)).alias("d")),
-        lambda s: s["n"] / s["d"],
-    )
-    return rows.withColumn("fea", step)
+def running(rows: DataFrame, run: str, value: str, order: str, decay: float, start: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """``rows`` with the reliability after each observation; ``order`` counts them from 1, ``start`` is num and den before."""
+    size = block_rows(decay)
+    n = F.col(order)
+    marked = rows.withColumn("_b", F.floor((n - 1) / F.lit(size)).cast("long"))
+    marked = marked.withColumn("_o", (n - F.col("_b") * F.lit(size)).cast("double")).withColumn("_up", F.pow(F.lit(decay), -F.col("_o")))
+    w = Window.partitionBy(run, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = marked.withColumn("_n", F.sum(F.col(value) * F.col("_up")).over(w)).withColumn("_d", F.sum("_up").over(w))
+    ends = marked.groupBy(F.col(run).alias("_run"), (F.col("_b") + 1).alias("_next")).agg(F.max("_o").alias("_m"), F.sum(F.col(value) * F.col("_up")).alias("_s"), F.sum("_up").alias("_t"))
+    # Sums of the block before, as they stand at its end; the first block takes over the start instead.
+    faded = F.pow(F.lit(decay), F.col("_m"))
+    ends = ends.select("_run", "_next", (faded * F.col("_s")).alias("_s"), (faded * F.col("_t")).alias("_t"))
+    both = marked.join(ends, (F.col(run) == F.col("_run")) & (F.col("_b") == F.col("_next")), "left")
+    num = F.col("_n") + F.coalesce("_s", F.when(F.col("_b") == 0, F.lit(float(start[0]))).otherwise(0.0))
+    den = F.col("_d") + F.coalesce("_t", F.when(F.col("_b") == 0, F.lit(float(start[1]))).otherwise(0.0))
+    return both.withColumn("fea", num / den).drop("_b", "_o", "_up", "_n", "_d", "_run", "_next", "_s", "_t")
 
 
 def trailing_mean(value: Column, run: str, order: str, window: int) -> Column:

@@ -198,24 +198,41 @@ def context_text(found: DataFrame, text: Column) -> DataFrame:
     return rows.select("qid", F.when(F.size("r") == 0, "None.").otherwise(F.array_join(F.transform("r", lambda x: x["t"]), "\n\n")).alias("context"))
 
 
-def nearest(left: DataFrame, right: DataFrame, same_table: bool = False) -> DataFrame:
-    """``(qid, id, cosine)``: for each left vector ``(qid, v)`` the right ``(id, v)`` most like it, larger ids on ties."""
-    q = left.select("qid", F.col("qid").alias("qins"), F.col("v").alias("qv"))
-    q = q.groupBy(F.pmod("qid", F.lit(97)).alias("_b")).agg(F.collect_list(F.struct("qid", "qv")).alias("qrows")).drop("_b")
-    m = right.groupBy(F.floor(F.col("id") / BLOCK).alias("_b")).agg(F.collect_list(F.struct("id", "v")).alias("mrows")).drop("_b")
+def nearest(left: DataFrame, right: DataFrame, same_table: bool = False, same: str | None = None, other: str | None = None) -> DataFrame:
+    """``(qid, id, cosine)``: for each left vector ``(qid, v)`` the right ``(id, v)`` most like it, larger ids on ties.
+
+    ``left`` is a stated query set, searched exactly against all rows of ``right``: both sides come in blocks of
+    ``BLOCK`` rows and block pairs meet by number.  Only rows that agree in column ``same``, or differ in ``other``,
+    are compared.  A block pair returns one row a query, and those are reduced before they are shuffled again.
+    """
+    group = same or other
+    label = F.col(group) if group else F.lit(None).cast("string")
+    split = [F.col("g")] if same else []
+
+    def blocks(rows: DataFrame, key: str, name: str) -> DataFrame:
+        rows = rows.select(F.col(key).alias("id"), "v", label.cast("string").alias("g"))
+        number = F.floor(F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(1 << 12)), *split).orderBy("id")) / BLOCK)
+        rows = rows.withColumn("_b", number).withColumn("_h", F.pmod(F.xxhash64("id"), F.lit(1 << 12)))
+        return rows.groupBy("_b", "_h", *split).agg(F.collect_list(F.struct("id", "v", "g")).alias(name)).drop("_b", "_h")
+
+    q, m = blocks(left, "qid", "qrows"), blocks(right, "id", "mrows")
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for qrows, mrows in zip(batch.qrows, batch.mrows, strict=True):
-                qid, ids = np.array([r["qid"] for r in qrows]), np.array([r["id"] for r in mrows])
-                c = np.clip(np.array([r["qv"] for r in qrows], float) @ np.array([r["v"] for r in mrows], float).T, -1, 1)
-                order = np.argsort(-ids, kind="stable")
-                c, ids = c[:, order], ids[order]
+                qid, ids = np.array([r["id"] for r in qrows]), np.array([r["id"] for r in mrows])
+                c = np.clip(np.array([r["v"] for r in qrows], float) @ np.array([r["v"] for r in mrows], float).T, -1, 1)
+                if other:
+                    c[np.array([r["g"] for r in qrows])[:, None] == np.array([r["g"] for r in mrows])[None, :]] = -2
                 if same_table:
                     c[qid[:, None] == ids[None, :]] = -2
+                order = np.argsort(-ids, kind="stable")
+                c, ids = c[:, order], ids[order]
                 at = c.argmax(1)
                 keep = c[np.arange(len(qid)), at] > -2
                 yield pd.DataFrame({"qid": qid, "id": ids[at], "cosine": c[np.arange(len(qid)), at]})[keep]
 
-    parts = q.crossJoin(m).mapInPandas(multiply, "qid long, id long, cosine double")  # blocks of a stated query set
-    return ranked(parts, 1, ("cosine", "id")).drop("rank")
+    pairs = q.join(m, "g") if same else q.join(m.hint("shuffle_replicate_nl"), how="cross")
+    found = pairs.select("qrows", "mrows").mapInPandas(multiply, "qid long, id long, cosine double")
+    best = found.groupBy("qid").agg(F.max(F.struct("cosine", "id")).alias("m"))
+    return best.select("qid", "m.id", "m.cosine")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Two-sided 95 % quantiles of Student's t for 1 to 10 degrees of freedom.
 T95 = (12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163, 2.228138852)
-#: Runs of an exact sign-flip test: 2 ^ n assignments are enumerated.
-MOST_FLIPS = 20
+#: Pairs up to which all 2 ^ n sign assignments are enumerated; beyond, sums of the two halves are matched.
+ENUMERATED, MOST_FLIPS = 16, 44
 
 
 def t_quantile(df: Column) -> Column:
@@ -34,30 +36,60 @@ def effect_size(mean: Column, sd: Column) -> Column:
     return F.when(sd > 0, mean / F.when(sd > 0, sd).otherwise(1.0))
 
 
-def paired(left: DataFrame, right: DataFrame, key: str, metrics: list[str]) -> DataFrame:
-    """``(key, metric, diff)``; runs must match one to one, or the query fails."""
-    a = left.select(F.col(key).alias("_a"), *[F.col(m).alias(f"a_{m}") for m in metrics])
-    b = right.select(F.col(key).alias("_b"), *[F.col(m).alias(f"b_{m}") for m in metrics])
+def paired(left: DataFrame, right: DataFrame, key: str, metrics: list[str], equal: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, metric, diff)``; runs must match one to one, and agree in the columns ``equal``, or the query fails."""
+    a = left.select(F.col(key).alias("_a"), *[F.col(m).alias(f"a_{m}") for m in (*metrics, *equal)])
+    b = right.select(F.col(key).alias("_b"), *[F.col(m).alias(f"b_{m}") for m in (*metrics, *equal)])
     both = a.join(b, F.col("_a") == F.col("_b"), "full")
-    sure = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a run has no partner")).cast("long")).otherwise(F.col("_a"))
+    sure = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a run has no partner")).cast("long"))
+    for m in equal:
+        sure = sure.when(~F.col(f"a_{m}").eqNullSafe(F.col(f"b_{m}")), F.raise_error(F.lit(f"paired runs differ in {m}")).cast("long"))
+    sure = sure.otherwise(F.col("_a"))
     diffs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"a_{m}") - F.col(f"b_{m}")).alias("diff")) for m in metrics]))
     return both.select(sure.alias(key), diffs.alias("_d")).select(key, "_d.metric", "_d.diff")
 
 
+def flip_share(diffs: list[float]) -> float:
+    """The share of sign assignments whose sum is at least as far from zero as the given one, exactly.
+
+    Sums of each half's assignments are listed (2 ^ 22 at most); how many of one half reach the bound with each of
+    the other is found by binary search.
+    """
+    if len(diffs) > MOST_FLIPS:
+        raise ValueError("too many pairs for an exact test")
+    seen, slack = abs(sum(diffs)), len(diffs) * 1e-12
+    sums = []
+    for half in (diffs[: len(diffs) // 2], diffs[len(diffs) // 2 :]):
+        s = np.zeros(1)
+        for d in half:
+            s = np.concatenate((s + d, s - d))
+        sums.append(np.sort(s))
+    bound = seen - slack
+    if bound <= 0:
+        return 1.0
+    a, b = sums
+    hits = (len(b) - np.searchsorted(b, bound - a, "left")).sum() + np.searchsorted(b, -bound - a, "right").sum()
+    return float(hits) / 2.0 ** len(diffs)
+
+
 def sign_flip(spark: SparkSession, diffs: DataFrame, key: str, *by: str) -> DataFrame:
     """Exact two-sided p: the share of sign assignments whose mean is at least as far from zero.
 
-    Groups of over ``MOST_FLIPS`` pairs are an error; the assignments of a group are spread over tasks.
+    Groups of up to ``ENUMERATED`` pairs spread their assignments over tasks; larger ones are matched by halves, and
+    over ``MOST_FLIPS`` pairs are an error.  A group's pairs are as many as a condition has runs.
     """
-    w = Window.partitionBy(*by)
-    rows = diffs.withColumn("_i", F.row_number().over(w.orderBy(key)) - 1).withColumn("_n", F.count("*").over(w))
-    groups = rows.groupBy(*by, "_n").agg(F.array_sort(F.collect_list(F.struct("_i", "diff"))).alias("_d"), F.abs(F.sum("diff")).alias("_seen"))
-    size = F.when(F.col("_n") > MOST_FLIPS, F.raise_error(F.lit("too many pairs for an exact test")).cast("long")).otherwise(F.lit(1).cast("long"))
-    groups = groups.withColumn("_size", F.expr("shiftleft(1L, cast(_n as int))") * size)
-    masks = groups.withColumn("_mask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)))
-    total = F.expr("abs(aggregate(_d, 0.0D, (s, x) -> s + if(shiftright(_mask, cast(x._i as int)) & 1L = 1L, -x.diff, x.diff)))")
+    groups = diffs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(key), "diff"))).alias("_d"), F.abs(F.sum("diff")).alias("_seen"), F.count("*").alias("_n"))
+    small = groups.filter(F.col("_n") <= ENUMERATED).withColumn("_size", F.expr("shiftleft(1L, cast(_n as int))"))
+    masks = small.withColumn("_mask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)))
+    total = F.expr("abs(aggregate(transform(_d, (x, i) -> if(shiftright(_mask, i) & 1L = 1L, -x.diff, x.diff)), 0.0D, (s, x) -> s + x))")
     out = masks.groupBy(*by, "_size").agg(F.count_if(total >= F.col("_seen") - F.col("_n") * 1e-12).alias("_hits"))
-    return out.withColumn("p", F.col("_hits") / F.col("_size")).drop("_hits", "_size")
+    out = out.select(*by, (F.col("_hits") / F.col("_size")).alias("p"))
+
+    @F.pandas_udf("double")
+    def halves(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: flip_share(list(v)))
+
+    return out.union(groups.filter(F.col("_n") > ENUMERATED).select(*by, halves(F.transform("_d", lambda x: x["diff"])).alias("p")))
 
 
 def holm(rows: DataFrame, p: str, *block: str) -> DataFrame:

@@ -38,15 +38,32 @@ def tickets(spark: SparkSession, sf_dir: str, c: C.Condition = CONDITION) -> Dat
         ((i * 7919 + F.col("user_id") * 104729) % 2 == 0).alias("coin"),
     )
     t = t.withColumn("bootstrap", C.in_bootstrap(F.col("quarter"), F.col("extra"), c)).withColumn("review", C.in_review(F.col("quarter_position"), F.col("extra"), c))
-    t = t.withColumn("profile", C.routed(F.col("bootstrap"), F.col("review"), F.col("difficulty"), F.col("in_domain"), F.col("coin")))
-    return t.withColumn("human_correct", C.human_is_correct(F.col("profile"), F.col("in_domain"), (i * 37) % 10 < 8, (i * 37) % 10 < 7)).drop("coin")
+    t = t.withColumn("profile", C.routed(F.col("bootstrap"), F.col("review"), F.col("difficulty"), F.col("in_domain"), F.col("coin"), c, i * 13 % 3))
+    # The trusted profile's answer is the gold answer, so covering it is being correct: one judgment serves for both.
+    t = t.withColumn("gold_correct", F.when(F.col("profile") == "ceo", F.col("covers")).otherwise(F.col("gold_correct")))
+    t = t.withColumn("human_correct", C.human_is_correct(F.col("profile"), F.col("in_domain"), (i * 37) % 10 < 8, (i * 37) % 10 < 7))
+    gold = F.format_string("Answer %s Q%d", "category", "quarter")
+    wrong = F.when(i % 2 == 0, F.format_string("Wrong %s", "category")).otherwise(F.format_string("Other %s", "category"))
+    said = F.when(F.col("gold_correct"), F.format_string("  Answer\t%s  Q%d ", "category", "quarter")).otherwise(F.format_string("Wrong  %s", "category"))
+    return t.select(
+        "*",
+        gold.alias("gold_answer"),
+        F.when(F.col("human_correct"), gold).otherwise(wrong).alias("human_answer"),
+        F.when(~F.col("abstain"), said).alias("model_answer"),
+    )
 
 
 def trace(spark: SparkSession, sf_dir: str, c: C.Condition = CONDITION) -> DataFrame:
-    """One row per ticket; ``fea_*`` are reliabilities, ``final_error`` the outcome."""
+    """One row per ticket; ``fea_*`` are reliabilities, ``final_error`` the outcome; ``gold_reused`` where one judgment served twice."""
     t = C.fold(tickets(spark, sf_dir, c), "user_id", c)
-    t = t.withColumn("final_error", ~F.col("final_is_correct"))
-    return t.withColumn("model_action_is_correct", F.when(F.col("extra"), F.col("abstain")))
+    called, judged = F.lit(c.enabled), F.lit(c.enabled) & ~F.col("abstain")
+    return t.select(
+        "*",
+        (~F.col("final_is_correct")).alias("final_error"),
+        F.when(called & F.col("extra"), F.col("abstain")).alias("model_action_is_correct"),
+        judged.alias("judged"),
+        (judged & (F.col("profile") == "ceo") & (F.col("state_before") != "DS")).alias("gold_reused"),
+    )
 
 
 def tickets_sql(c: C.Condition = CONDITION) -> str:
@@ -60,8 +77,8 @@ t1 AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER B
 t2 AS (SELECT *, NOT extra AND quarter_position <= {c.review} AS review, false AS bootstrap FROM t1),
 t3 AS (SELECT *, CASE WHEN review OR difficulty = 'hard' THEN 'ceo' WHEN in_domain THEN 'domain_expert' WHEN difficulty = 'easy' THEN 'intern'
     WHEN coin THEN 'ceo' ELSE 'domain_expert' END AS profile FROM t2),
-t AS (SELECT * EXCLUDE (coin), CASE profile WHEN 'ceo' THEN true WHEN 'intern' THEN (event_id * 37) % 10 < 8
-    ELSE in_domain OR (event_id * 37) % 10 < 7 END AS human_correct FROM t3)"""
+t AS (SELECT * REPLACE (CASE WHEN profile = 'ceo' THEN covers ELSE gold_correct END AS gold_correct), CASE profile WHEN 'ceo' THEN true
+    WHEN 'intern' THEN (event_id * 37) % 10 < 8 ELSE in_domain OR (event_id * 37) % 10 < 7 END AS human_correct FROM t3)"""
 
 
 def trace_sql(c: C.Condition = CONDITION) -> str:
@@ -77,7 +94,7 @@ s AS (
     CASE WHEN extra OR quarter_position < {c.review} THEN sb
          WHEN sb = 'SO' AND fea > {c.alpha}::DOUBLE AND obs >= {c.least_observations} THEN 'SC'
          WHEN sb = 'SC' AND fea < {c.beta}::DOUBLE THEN 'SO' WHEN sb = 'SC' AND fea > {c.gamma}::DOUBLE THEN 'DS' ELSE sb END,
-    num, den, obs, fea, sb, CASE WHEN sb = 'SC' AND NOT abstain THEN covers OR gold_correct END, seen, obs0, fea0, was_reset
+    num, den, obs, fea, sb, CASE WHEN sb = 'SC' AND NOT abstain AND NOT covers THEN gold_correct END, seen, obs0, fea0, was_reset
   FROM (SELECT *, CASE WHEN den > 0 THEN num / den ELSE 0.0::DOUBLE END AS fea FROM (
     SELECT *, CASE WHEN seen IS NULL THEN num0 ELSE {d} * num0 + seen END AS num, CASE WHEN seen IS NULL THEN den0 ELSE {d} * den0 + 1.0::DOUBLE END AS den,
       obs0 + (seen IS NOT NULL)::INTEGER AS obs FROM (
@@ -87,12 +104,16 @@ s AS (
           CASE WHEN t.quarter_position = 1 AND s.state_after = 'DS' AND NOT t.extra THEN 'SC' ELSE s.state_after END AS sb
         FROM s JOIN t ON t.user_id = s.user_id AND t.position = s.position + 1))))),
 trace0 AS (SELECT t.*, s.* EXCLUDE (user_id, position) FROM t JOIN s USING (user_id, position)),
-trace AS (SELECT *, NOT final_is_correct AS final_error, CASE WHEN extra THEN abstain END AS model_action_is_correct,
-    CASE WHEN state_before <> state_after THEN CASE WHEN quarter_position = {c.review} THEN 'review_completion' ELSE 'reliability' END
-         WHEN was_reset THEN 'quarter_start' END AS trigger FROM (
+graded AS (SELECT user_id, position, avg(gold_correct::INTEGER) OVER w AS m, least({c.gold_window}, count(*) OVER w) AS n FROM trace0
+    WHERE NOT abstain AND state_before <> 'DS' WINDOW w AS (PARTITION BY user_id ORDER BY position ROWS {c.gold_window - 1} PRECEDING)),
+trace AS (SELECT * EXCLUDE (m, n), last_value(m IGNORE NULLS) OVER w AS recent_gold, coalesce(last_value(n IGNORE NULLS) OVER w, 0) AS recent_graded FROM (
+  SELECT z.*, NOT final_is_correct AS final_error, CASE WHEN extra THEN abstain END AS model_action_is_correct, NOT abstain AS judged,
+    NOT abstain AND profile = 'ceo' AND state_before <> 'DS' AS gold_reused,
+    CASE WHEN state_before <> state_after THEN CASE WHEN quarter_position = {c.review} THEN 'quarterly_ceo_review_completion' ELSE 'reliability_threshold' END
+         WHEN was_reset THEN 'quarterly_ceo_review' END AS trigger, m, n FROM (
   SELECT *, CASE WHEN state_before = 'DS' AND NOT abstain THEN 'model' WHEN state_before = 'DS' THEN 'human_on_abstention'
-      WHEN state_before = 'SC' AND NOT abstain AND NOT covers AND gold_correct THEN 'human_revised_to_model' ELSE 'human' END AS final_origin,
-    CASE WHEN state_before = 'DS' AND NOT abstain THEN 'autonomous_model' ELSE 'assisted' END AS component,
-    CASE WHEN NOT abstain AND (state_before = 'DS' OR (state_before = 'SC' AND NOT covers AND gold_correct)) THEN gold_correct ELSE human_correct END AS final_is_correct
-  FROM trace0))
+      WHEN accepted THEN 'human_revised_to_model' ELSE 'human' END AS final_origin,
+    CASE WHEN state_before = 'DS' THEN 'autonomous_model' ELSE 'assisted' END AS component,
+    CASE WHEN NOT abstain AND (state_before = 'DS' OR accepted) THEN gold_correct ELSE human_correct END AS final_is_correct
+  FROM trace0) z LEFT JOIN graded USING (user_id, position)) WINDOW w AS (PARTITION BY user_id ORDER BY position ROWS UNBOUNDED PRECEDING))
 """

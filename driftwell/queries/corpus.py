@@ -152,14 +152,14 @@ def benchmark_overlap(spark, sf_dir):
 
 
 def html_escape(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", F.md5(X.html_escaped(F.left("html", F.lit(200)))).alias("h"))
+    return t(spark, sf_dir, "pages").select("page_id", F.md5(X.html_escaped(F.coalesce("html", F.lit("")))).alias("h"))
 
 
 def text_similarity(spark, sf_dir):
     """Ratcliff-Obershelp ratio of neighbouring benchmark texts; no SQL engine has it."""
-    w = Window.orderBy("item_id")  # the benchmark is a small table of fixed size
-    b = t(spark, sf_dir, "benchmark").withColumn("before", F.lag("text").over(w))
-    return b.filter("before is not null").select("item_id", F.round(X.matching_ratio(F.col("text"), F.col("before")), 9).alias("ratio"))
+    b = t(spark, sf_dir, "benchmark").select("item_id", "text")
+    before = b.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("before"))
+    return b.join(before, "item_id").select("item_id", F.round(X.matching_ratio(F.col("text"), F.col("before")), 9).alias("ratio"))
 
 
 def event_windows(spark, sf_dir):
@@ -204,7 +204,7 @@ ORACLE = {
     "answer_multiplicity": "SELECT counts, count(*) AS brands FROM (SELECT p_brand, string_agg(n::VARCHAR, ',' ORDER BY n) AS counts FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand) GROUP BY counts",
     "banned_phrases": "SELECT doc_id FROM documents WHERE contains(lower(text), 'token =') OR contains(lower(text), 'lorem ipsum') OR contains(lower(text), 'as an ai')",
     "benchmark_overlap": f"SELECT count(*) AS shared FROM (SELECT lower({_FLAT}) FROM benchmark INTERSECT SELECT lower({_FLAT}) FROM documents)",
-    "html_escape": "SELECT page_id, md5(replace(replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS h FROM pages",
+    "html_escape": "SELECT page_id, md5(replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS h FROM pages",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
 }
 

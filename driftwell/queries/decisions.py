@@ -15,6 +15,12 @@ from driftwell.plans import trace as T
 DECAY, RUN = 0.99861, "user_id"
 PAIRED = C.Condition(alpha=0.6, gamma=0.75, least_observations=3, review=3, decay=1.0)
 METRICS = ["final_error_pct", "stable_error_pct", "drift_error_pct", "model_finalized_pct"]
+#: Matched statistics compare ten runs of a condition; run r is the tickets of all users whose id ends in r.
+RUNS = 10
+#: Two cohorts of users (by the tens of their ids) under four controllers.
+CONDITIONS = [(cohort, name, c) for cohort in (0, 1) for name, c in (
+    ("slow", T.CONDITION), ("flat", C.Condition(least_observations=5, review=3, decay=1.0)),
+    ("eager", C.Condition(alpha=0.6, gamma=0.75, least_observations=3, review=3)), ("eager flat", PAIRED))]
 
 
 def r9(name: str):
@@ -32,18 +38,18 @@ def fea_final(spark, sf_dir):
 
 
 def fea_running(spark, sf_dir):
-    return L.running(observations(spark, sf_dir), RUN, "delta", "n", DECAY, longest=100_000).select(RUN, "event_id", r9("fea"))
+    return L.running(observations(spark, sf_dir), RUN, "delta", "n", DECAY).select(RUN, "event_id", r9("fea"))
 
 
 def fea_running_fold(spark, sf_dir):
-    """A decay of one half, where prefix sums overflow and the fold takes over."""
-    return L.running(observations(spark, sf_dir), RUN, "delta", "n", 0.5, longest=100_000).select(RUN, "event_id", r9("fea"))
+    """A decay of one half, where prefix sums over a whole run would overflow."""
+    return L.running(observations(spark, sf_dir), RUN, "delta", "n", 0.5).select(RUN, "event_id", r9("fea"))
 
 
 def recent_gold_window(spark, sf_dir):
-    """Mean of the last 30 graded answers, at each graded ticket."""
-    t = T.tickets(spark, sf_dir).filter(~F.col("abstain"))
-    mean = L.trailing_mean(F.col("gold_correct").cast("double"), RUN, "position", 30)
+    """Mean of the last 30 answers graded beside a human (SO and SC), at each such ticket."""
+    t = T.trace(spark, sf_dir).filter(F.col("judged") & (F.col("state_before") != "DS"))
+    mean = L.trailing_mean(F.col("gold_correct").cast("double"), RUN, "position", T.CONDITION.gold_window)
     return t.select(RUN, "position", F.round(mean, 9).alias("recent_gold"))
 
 
@@ -55,16 +61,16 @@ def controller_states(spark, sf_dir):
 def trace(spark, sf_dir):
     t = T.trace(spark, sf_dir)
     return t.select(RUN, "event_id", "position", "quarter", "quarter_position", "profile", "state_before", "state_after", "accepted", "observation",
-                    "observations_after", "final_origin", "component", "final_error", "trigger", r9("fea_before"), r9("fea_after"))
+                    "observations_after", "final_origin", "component", "final_error", "trigger", "gold_reused", "recent_graded", r9("recent_gold"), r9("fea_before"), r9("fea_after"))
 
 
 def controller_transitions(spark, sf_dir):
-    return S.transitions(T.trace(spark, sf_dir), RUN).select(RUN, "position", "quarter", "from_state", "to_state", "cause", "observations", r9("fea"))
+    return S.transitions(T.trace(spark, sf_dir), RUN).select(RUN, "position", "quarter", "from_state", "to_state", "cause", "observations", r9("fea"), r9("recent_gold"), "recent_graded", r9("fea_minus_gold"))
 
 
 def transition_summary(spark, sf_dir):
     out = S.transition_summary(S.transitions(T.trace(spark, sf_dir), RUN))
-    return out.select("transition", "n", r9("mean_observations"), r9("mean_position"), r9("mean_fea"))
+    return out.select("transition", "n", *[r9(f"mean_{x}") for x in ("observations", "position", "fea", "recent_gold", "fea_minus_gold")])
 
 
 def quarter_reset(spark, sf_dir):
@@ -142,18 +148,18 @@ def scope_counts(spark, sf_dir):
     t = T.trace(spark, sf_dir)
     drift = F.when(F.col("is_drift"), "drift").otherwise("stable")
     t = t.withColumn("scope", F.explode(F.array(*[F.struct(q.alias("quarter"), d.alias("drift")) for q in (F.lit(0), F.col("quarter")) for d in (F.lit("all"), drift)])))
-    return S.scope_counts(t, "scope").select("scope.*", "tickets", "abstentions", "ds_tickets", "ds_abstentions", "drift_tickets", "drift_errors", "errors")
+    return S.scope_counts(t, "scope").select("scope.*", *S.SCOPE)
 
 
 def count_distribution(spark, sf_dir):
     per_run = S.scope_counts(T.trace(spark, sf_dir), RUN, "quarter")
-    out = S.count_distribution(per_run, "abstentions", "quarter")
+    out = S.count_distribution(per_run, "model_abstentions", "quarter")
     return out.select("quarter", "total", r9("mean"), r9("sd_pop"), "least", "most")
 
 
 def rate_distribution(spark, sf_dir):
     per_run = S.scope_counts(T.trace(spark, sf_dir), RUN, "quarter")
-    out = S.rate_distribution(per_run, "drift_errors", "drift_tickets", "quarter")
+    out = S.rate_distribution(per_run, "final_errors", "final_decisions", "quarter")
     return out.select("quarter", r9("mean_rate"), r9("sd_rate_pop"), r9("pooled_rate"))
 
 
@@ -171,10 +177,15 @@ def per_run_metrics(spark, sf_dir):
     return m.select(*[r9(f.name) if f.dataType.simpleString() == "double" else f.name for f in m.schema.fields])
 
 
+def _runs(spark, sf_dir, c=T.CONDITION):
+    """The metrics of ten runs that share all users among them, with their fingerprints."""
+    t = T.trace(spark, sf_dir, c).withColumn("run", F.col(RUN) % RUNS).withColumn("position", F.struct("position", RUN))
+    return S.per_run_metrics(t, "run")
+
+
 def condition_summary(spark, sf_dir):
-    m = _metrics(spark, sf_dir).filter(f"{RUN} < 10")
     pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in METRICS]))
-    out = X.describe(m.select(pairs.alias("_m")).select("_m.*"), "value", "metric")
+    out = X.describe(_runs(spark, sf_dir).select(pairs.alias("_m")).select("_m.*"), "value", "metric")
     return out.select("metric", "n", *[r9(c) for c in ("mean", "sd_samp", "least", "most", "ci_low", "ci_high")])
 
 
@@ -185,19 +196,8 @@ def final_state_pivot(spark, sf_dir):
 
 
 def judge_audit(spark, sf_dir):
-    """Counters and rates over answered tickets and suggest-state decisions."""
-    t = T.trace(spark, sf_dir)
-    answered, sc = ~F.col("abstain"), (F.col("state_before") == "SC") & F.col("accepted").isNotNull()
-    out = t.agg(
-        F.count("*").alias("traces"),
-        F.count_if(answered).alias("judged"),
-        F.count_if(answered & ~F.col("gold_correct")).alias("rejected"),
-        F.count_if(sc).alias("sc_decisions"),
-        F.count_if(sc & ~F.col("accepted")).alias("sc_rejected"),
-        F.count_if(sc & F.col("covers") & ~F.col("human_correct")).alias("matches_wrong_human"),
-        F.count_if(sc & F.col("covers") & F.col("gold_correct")).alias("matches_gold"),
-    )
-    return out.select("*", F.round(S.rate(F.col("rejected"), F.col("judged")), 9).alias("rejected_rate"), F.round(S.rate(F.col("sc_rejected"), F.col("sc_decisions")), 9).alias("sc_rejected_rate"))
+    out = S.judge_audit(T.trace(spark, sf_dir))
+    return out.select(*[r9(f.name) if f.name.endswith("_pct") else f.name for f in out.schema.fields])
 
 
 def order_fingerprint(spark, sf_dir):
@@ -260,16 +260,12 @@ def last_non_null(spark, sf_dir):
     return J.last_value(t, RUN, "v").select(RUN, r9("v"))
 
 
-def _ten(spark, sf_dir, c):
-    return _metrics(spark, sf_dir, c).filter(f"{RUN} < 10")
-
-
 def _diffs(spark, sf_dir):
-    return X.paired(_ten(spark, sf_dir, T.CONDITION), _ten(spark, sf_dir, PAIRED), RUN, METRICS)
+    return X.paired(_runs(spark, sf_dir), _runs(spark, sf_dir, PAIRED), "run", METRICS, equal=("tickets",))
 
 
 def paired_differences(spark, sf_dir):
-    return _diffs(spark, sf_dir).select(RUN, "metric", r9("diff"))
+    return _diffs(spark, sf_dir).select("run", "metric", r9("diff"))
 
 
 def student_t_ci(spark, sf_dir):
@@ -278,11 +274,11 @@ def student_t_ci(spark, sf_dir):
 
 
 def sign_flip_p(spark, sf_dir):
-    return X.sign_flip(spark, _diffs(spark, sf_dir), RUN, "metric").select("metric", r9("p"))
+    return X.sign_flip(spark, _diffs(spark, sf_dir), "run", "metric").select("metric", r9("p"))
 
 
 def holm_adjust(spark, sf_dir):
-    return X.holm(X.sign_flip(spark, _diffs(spark, sf_dir), RUN, "metric"), "p").select("metric", r9("p"), r9("holm_p"))
+    return X.holm(X.sign_flip(spark, _diffs(spark, sf_dir), "run", "metric"), "p").select("metric", r9("p"), r9("holm_p"))
 
 
 def cohens_dz(spark, sf_dir):
@@ -296,19 +292,32 @@ def factorial_contrasts(spark, sf_dir):
     for a, decay in enumerate((DECAY, 1.0)):
         for b, base in enumerate((T.CONDITION, PAIRED)):
             c = C.Condition(base.alpha, base.beta, base.gamma, base.least_observations, 3, decay)
-            rows = _ten(spark, sf_dir, c).select(RUN, F.lit(a).alias("a"), F.lit(b).alias("b"), "final_error_pct")
+            rows = _runs(spark, sf_dir, c).select("run", F.lit(a).alias("a"), F.lit(b).alias("b"), "final_error_pct")
             cells = rows if cells is None else cells.union(rows)
-    out = X.describe(X.contrasts(cells, RUN, "final_error_pct"), "diff", "contrast")
+    out = X.describe(X.contrasts(cells, "run", "final_error_pct"), "diff", "contrast")
     return out.select("contrast", "n", r9("mean"), r9("sd_samp"))
 
 
+def _against(spark, sf_dir, left, right):
+    """Mean difference of two percentages in eight conditions, exact tests corrected over all eight."""
+    rows = None
+    for cohort, name, c in CONDITIONS:
+        t = T.trace(spark, sf_dir, c).filter(F.floor(F.col(RUN) / 10) % 2 == cohort).withColumn("run", F.col(RUN) % RUNS).withColumn("position", F.struct("position", RUN))
+        d = S.per_run_metrics(t, "run").select("run", F.lit(cohort).alias("cohort"), F.lit(name).alias("controller"), (F.col(left) - F.col(right)).alias("diff"))
+        rows = d if rows is None else rows.union(d)
+    by = ("cohort", "controller")
+    p = X.holm(X.sign_flip(spark, rows, "run", *by), "p")
+    return p.join(X.describe(rows, "diff", *by), list(by)).select(*by, "n", r9("mean"), F.round(X.effect_size(F.col("mean"), F.col("sd_samp")), 9).alias("dz"), r9("p"), r9("holm_p"))
+
+
 def baseline_comparisons(spark, sf_dir):
-    """Final minus human-only and replay minus final, with exact tests corrected over both."""
-    m = _ten(spark, sf_dir, T.CONDITION)
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), (F.col(x) - F.col(y)).alias("diff")) for n, x, y in (("final-human", "final_error_pct", "human_only_error_pct"), ("replay-final", "replay_error_pct", "final_error_pct"))]))
-    d = m.select(RUN, rows.alias("_r")).select(RUN, "_r.*")
-    means = d.groupBy("metric").agg(F.avg("diff").alias("mean"))
-    return X.holm(X.sign_flip(spark, d, RUN, "metric"), "p").join(means, "metric").select("metric", r9("mean"), r9("p"), r9("holm_p"))
+    """Final minus human-only error."""
+    return _against(spark, sf_dir, "final_error_pct", "human_only_error_pct")
+
+
+def controller_comparisons(spark, sf_dir):
+    """Model-first replay minus final error."""
+    return _against(spark, sf_dir, "replay_error_pct", "final_error_pct")
 
 
 def _tr(select: str, c: C.Condition = T.CONDITION) -> str:
@@ -340,38 +349,47 @@ _GROUPS = {
     "overall": "'all'", "quarter": "'Q' || quarter", "profile": "profile", "state": "state_before", "category": "category", "difficulty": "difficulty", "component": "component",
     "drift": _DRIFT, "profile_drift": f"profile || '.' || {_DRIFT}", "component_drift": f"component || '.' || {_DRIFT}",
 }
-_LABELS = ", g AS (" + " UNION ALL ".join(f"SELECT user_id, final_error, '{k}' AS grp, {v} AS label FROM trace WHERE NOT extra" for k, v in _GROUPS.items()) + ")"
-_SUMMARY = "count(*) AS decisions, count(*) FILTER (final_error) AS errors"
-_TRANSITIONS = """, w AS (SELECT *, coalesce(lag(state_after) OVER (PARTITION BY user_id ORDER BY position), 'SO') AS was FROM trace),
-x AS (SELECT user_id, position, quarter, was AS from_state, state_before AS to_state, 'quarter_start' AS cause, observations_before AS observations, fea_before AS fea FROM w WHERE was <> state_before
-      UNION ALL SELECT user_id, position, quarter, state_before, state_after, trigger, observations_after, fea_after FROM w WHERE state_before <> state_after)"""
-_SCOPES = "count(*) AS tickets, count(*) FILTER (abstain) AS abstentions, count(*) FILTER (state_before = 'DS') AS ds_tickets, count(*) FILTER (state_before = 'DS' AND abstain) AS ds_abstentions, count(*) FILTER (is_drift) AS drift_tickets, count(*) FILTER (is_drift AND final_error) AS drift_errors, count(*) FILTER (final_error) AS errors"
+_LABELS = ", g AS (" + " UNION ALL ".join(f"SELECT user_id, final_error AS error, '{k}' AS grp, {v} AS label FROM trace WHERE NOT extra" for k, v in _GROUPS.items()) + " UNION ALL SELECT user_id, NOT model_action_is_correct, 'abstention_challenge', 'Extra' FROM trace WHERE model_action_is_correct IS NOT NULL)"
+_SUMMARY = "count(*) AS decisions, count(*) FILTER (error) AS errors"
+_TRANSITIONS = """, w AS (SELECT *, coalesce(lag(state_after) OVER o, 'SO') AS was, lag(recent_gold) OVER o AS g, coalesce(lag(recent_graded) OVER o, 0) AS k FROM trace WINDOW o AS (PARTITION BY user_id ORDER BY position)),
+x0 AS (SELECT user_id, position, quarter, was AS from_state, state_before AS to_state, 'quarterly_ceo_review' AS cause, observations_before AS observations, fea_before AS fea, g AS recent_gold, k AS recent_graded FROM w WHERE was <> state_before
+      UNION ALL SELECT user_id, position, quarter, state_before, state_after, trigger, observations_after, fea_after, recent_gold, recent_graded FROM w WHERE state_before <> state_after),
+x AS (SELECT *, CASE WHEN to_state = 'DS' THEN fea - recent_gold END AS fea_minus_gold FROM x0)"""
+_SCOPES = "count(*) AS tickets, count(*) AS model_decisions, count(*) FILTER (abstain) AS model_abstentions, count(*) FILTER (NOT extra) AS final_decisions, count(*) FILTER (NOT extra AND final_error) AS final_errors, count(*) FILTER (extra) AS required_abstentions, count(*) FILTER (extra AND abstain) AS correct_abstentions"
 
 
 def _pct(hit: str, of: str = "true") -> str:
     return f"CASE WHEN count(*) FILTER ({of}) > 0 THEN count(*) FILTER (({of}) AND ({hit})) * 100.0::DOUBLE / count(*) FILTER ({of}) END"
 
 
-_RUNS = {
-    "human_only_error_pct": _pct("NOT human_correct"), "llm_gold_error_pct": _pct("NOT gold_correct", "NOT abstain"),
-    "replay_error_pct": _pct("CASE WHEN abstain THEN NOT human_correct ELSE NOT gold_correct END"), "final_error_pct": _pct("final_error"),
-    "stable_error_pct": _pct("final_error", "NOT is_drift"), "drift_error_pct": _pct("final_error", "is_drift"), "abstain_ds_pct": _pct("abstain", "state_before = 'DS'"),
-    "model_finalized_pct": _pct("final_origin = 'model'"), "final_fea": "arg_max(fea_after, position)",
+_SCOPED = {
+    "human_only_error": ("true", "NOT human_correct"), "final_error": ("true", "final_error"), "llm_gold_error": ("NOT abstain", "NOT gold_correct"),
+    "replay_error": ("true", "CASE WHEN abstain THEN NOT human_correct ELSE NOT gold_correct END"), "stable_error": ("NOT is_drift", "final_error"),
+    "drift_error": ("is_drift", "final_error"), "model_finalized": ("true", "component = 'autonomous_model'"),
+    **{f"abstain_{s.lower()}": (f"state_before = '{s}'", "abstain") for s in ("SO", "SC", "DS")}, "sc_accepted": ("state_before = 'SC' AND accepted IS NOT NULL", "accepted"),
 }
+_WHOLE = {
+    "tickets": "count(*)", **{f"assigned_{p}_count": f"count(*) FILTER (profile = '{p}')" for p in ("ceo", "domain_expert", "intern")},
+    **{f"{k}_count": f"count(*) FILTER (({of}) AND ({hit}))" for k, (of, hit) in _SCOPED.items()}, **{f"{k}_of": f"count(*) FILTER ({of})" for k, (of, _) in _SCOPED.items()},
+    "final_state": "arg_max(state_after, position)", "reliability_observations": "arg_max(observations_after, position)",
+}
+_RUNS = {**{f"{k}_pct": _pct(hit, of) for k, (of, hit) in _SCOPED.items()}, "final_fea": "arg_max(fea_after, position)"}
 
 
 def _metrics_sql(c: C.Condition = T.CONDITION) -> str:
-    cols = ", ".join(f"{v} AS {k}" for k, v in _RUNS.items())
-    return _tr(f", runs AS (SELECT user_id, count(*) AS tickets, {cols}, arg_max(state_after, position) AS final_state FROM trace WHERE NOT extra GROUP BY user_id) ", c)
+    cols = ", ".join(f"{v} AS {k}" for k, v in (_WHOLE | _RUNS).items())
+    return _tr(f", runs AS (SELECT user_id, {cols} FROM trace WHERE NOT extra GROUP BY user_id) ", c)
 
 
-def _sub(c: C.Condition, where: str = "user_id < 10") -> str:
-    return f"({_metrics_sql(c)} SELECT * FROM runs WHERE {where})"
+def _sub(c: C.Condition, where: str = "true") -> str:
+    """Percentages of the ten runs."""
+    cols = ", ".join(f"{v} AS {k}" for k, v in _RUNS.items() if k != "final_fea")
+    return f"({_tr(f'SELECT user_id % {RUNS} AS run, {cols} FROM trace WHERE NOT extra AND {where} GROUP BY 1', c)})"
 
 
 _AB = f"WITH a AS {_sub(T.CONDITION)}, b AS {_sub(PAIRED)}"
-_D = f"{_AB}, d AS ({' UNION ALL '.join(f'SELECT a.user_id, {chr(39)}{m}{chr(39)} AS metric, a.{m} - b.{m} AS diff FROM a JOIN b USING (user_id)' for m in METRICS)})"
-_FLIP = """, i AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY user_id) - 1 AS i FROM d),
+_D = f"{_AB}, d AS ({' UNION ALL '.join(f'SELECT a.run, {chr(39)}{m}{chr(39)} AS metric, a.{m} - b.{m} AS diff FROM a JOIN b USING (run)' for m in METRICS)})"
+_FLIP = """, i AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY run) - 1 AS i FROM d),
 y AS (SELECT metric, mask, abs(sum(CASE WHEN (mask >> i) & 1 = 1 THEN -diff ELSE diff END)) AS s FROM i, (SELECT unnest(range(1024)) AS mask) GROUP BY ALL),
 p AS (SELECT metric, count(*) FILTER (s >= seen - 1e-11) / 1024.0::DOUBLE AS p FROM y JOIN (SELECT metric, abs(sum(diff)) AS seen FROM d GROUP BY metric) USING (metric) GROUP BY metric)"""
 _HOLM = ", h AS (SELECT *, max(adj) OVER (ORDER BY p, metric ROWS UNBOUNDED PRECEDING) AS holm_p FROM (SELECT *, least(1.0::DOUBLE, (count(*) OVER () - row_number() OVER (ORDER BY p, metric) + 1) * p) AS adj FROM p))"
@@ -385,21 +403,31 @@ def _islands(source: str, label: str) -> str:
 
 def _cell(a: int, decay: float, b: int, base: C.Condition) -> str:
     c = C.Condition(base.alpha, base.beta, base.gamma, base.least_observations, 3, decay)
-    return f"c{a}{b} AS (SELECT user_id, final_error_pct AS v FROM {_sub(c)})"
+    return f"c{a}{b} AS (SELECT run, final_error_pct AS v FROM {_sub(c)})"
 
 
 _CELLS = "WITH " + ", ".join(_cell(a, d, b, base) for a, d in enumerate((DECAY, 1.0)) for b, base in enumerate((T.CONDITION, PAIRED)))
 _EFFECTS = (("a at b=0", "c10", "c00"), ("a at b=1", "c11", "c01"), ("b at a=0", "c01", "c00"), ("b at a=1", "c11", "c10"))
 
+
+
+def _against_sql(left: str, right: str) -> str:
+    cells = " UNION ALL ".join(f"SELECT run, {cohort}::INTEGER AS cohort, '{name}' AS controller, {left} - {right} AS diff FROM {_sub(c, f'user_id // 10 % 2 = {cohort}')}" for cohort, name, c in CONDITIONS)
+    flip = _FLIP.replace("i AS (SELECT *, row", "i AS (SELECT run, diff, cohort || controller AS metric, row").replace("PARTITION BY metric", "PARTITION BY cohort, controller")
+    flip = flip.replace("(SELECT metric, abs(sum(diff)) AS seen FROM d GROUP BY metric)", "(SELECT cohort || controller AS metric, abs(sum(diff)) AS seen FROM d GROUP BY ALL)")
+    return f"""WITH d AS ({cells}){flip}{_HOLM} SELECT s.cohort, s.controller, s.n, round(s.mean, 9) AS mean, round(dz, 9) AS dz, round(p, 9) AS p, round(holm_p, 9) AS holm_p FROM h
+      JOIN (SELECT cohort, controller, count(diff) AS n, avg(diff) AS mean, CASE WHEN stddev_samp(diff) > 0 THEN avg(diff) / stddev_samp(diff) END AS dz FROM d GROUP BY ALL) s ON h.metric = s.cohort || s.controller"""
+
+
 ORACLE = {
     "fea_final": f"WITH {_OBS} SELECT user_id, count(*) AS observations, round(sum(delta * w) / sum(w), 9) AS fea FROM (SELECT *, pow({DECAY}::DOUBLE, max(n) OVER (PARTITION BY user_id) - n) AS w FROM o) GROUP BY user_id",
     "fea_running": _fold_sql(DECAY) + " SELECT user_id, event_id, round(a / b, 9) AS fea FROM f WHERE n > 0",
     "fea_running_fold": _fold_sql(0.5) + " SELECT user_id, event_id, round(a / b, 9) AS fea FROM f WHERE n > 0",
-    "recent_gold_window": _tk("SELECT user_id, position, round(avg(gold_correct::INTEGER) OVER (PARTITION BY user_id ORDER BY position ROWS 29 PRECEDING), 9) AS recent_gold FROM t WHERE NOT abstain"),
+    "recent_gold_window": _tr("SELECT user_id, position, round(avg(gold_correct::INTEGER) OVER (PARTITION BY user_id ORDER BY position ROWS 29 PRECEDING), 9) AS recent_gold FROM trace WHERE NOT abstain AND state_before <> 'DS'"),
     "controller_states": _tr("SELECT user_id, arg_max(state_after, position) AS state, arg_max(observations_after, position) AS observations, round(arg_max(fea_after, position), 9) AS fea FROM trace GROUP BY user_id"),
-    "trace": _tr("SELECT user_id, event_id, position, quarter, quarter_position, profile, state_before, state_after, accepted, observation, observations_after, final_origin, component, final_error, trigger, round(fea_before, 9) AS fea_before, round(fea_after, 9) AS fea_after FROM trace"),
-    "controller_transitions": _tr(_TRANSITIONS + " SELECT user_id, position, quarter, from_state, to_state, cause, observations, round(fea, 9) AS fea FROM x"),
-    "transition_summary": _tr(_TRANSITIONS + " SELECT from_state || '->' || to_state AS transition, count(*) AS n, round(avg(observations), 9) AS mean_observations, round(avg(position), 9) AS mean_position, round(avg(fea), 9) AS mean_fea FROM x GROUP BY 1"),
+    "trace": _tr("SELECT user_id, event_id, position, quarter, quarter_position, profile, state_before, state_after, accepted, observation, observations_after, final_origin, component, final_error, trigger, gold_reused, recent_graded, round(recent_gold, 9) AS recent_gold, round(fea_before, 9) AS fea_before, round(fea_after, 9) AS fea_after FROM trace"),
+    "controller_transitions": _tr(_TRANSITIONS + " SELECT user_id, position, quarter, from_state, to_state, cause, observations, round(fea, 9) AS fea, round(recent_gold, 9) AS recent_gold, recent_graded, round(fea_minus_gold, 9) AS fea_minus_gold FROM x"),
+    "transition_summary": _tr(_TRANSITIONS + " SELECT from_state || '->' || to_state AS transition, count(*) AS n, round(avg(observations), 9) AS mean_observations, round(avg(position), 9) AS mean_position, round(avg(fea), 9) AS mean_fea, round(avg(recent_gold), 9) AS mean_recent_gold, round(avg(fea_minus_gold), 9) AS mean_fea_minus_gold FROM x GROUP BY 1"),
     "quarter_reset": _tr("SELECT quarter, state_before, count(*) AS runs FROM trace WHERE quarter_position = 1 GROUP BY ALL"),
     "final_origin_mix": _tr("SELECT final_origin, component, count(*) AS n FROM trace GROUP BY ALL"),
     "baseline_phase": _tk("""SELECT phase, origin, count(*) AS n, count(*) FILTER (wrong) AS errors FROM (SELECT phase, CASE phase WHEN 'bootstrap' THEN 'ceo_bootstrap' WHEN 'review' THEN 'ceo_review' ELSE CASE WHEN abstain THEN 'human_on_abstention' ELSE 'model' END END AS origin,
@@ -416,13 +444,16 @@ ORACLE = {
     "repetition_aggregate": _tr(_LABELS + f", r AS (SELECT user_id, grp, label, {_SUMMARY} FROM g GROUP BY ALL) SELECT grp, label, sum(decisions)::BIGINT AS decisions, sum(errors)::BIGINT AS errors, round(avg(errors::DOUBLE / decisions), 9) AS mean_rate, round(stddev_pop(errors::DOUBLE / decisions), 9) AS sd_rate_pop, round(sum(errors)::DOUBLE / sum(decisions)::DOUBLE, 9) AS pooled_rate FROM r GROUP BY grp, label"),
     "scope_counts": _tr(f"SELECT q AS quarter, d AS drift, {_SCOPES} FROM trace, LATERAL (SELECT unnest([0, quarter]) AS q), LATERAL (SELECT unnest(['all', {_DRIFT}]) AS d) GROUP BY q, d"),
     "count_distribution": _tr("SELECT quarter, sum(a)::BIGINT AS total, round(avg(a), 9) AS mean, round(stddev_pop(a), 9) AS sd_pop, min(a) AS least, max(a) AS most FROM (SELECT user_id, quarter, count(*) FILTER (abstain) AS a FROM trace GROUP BY ALL) GROUP BY quarter"),
-    "rate_distribution": _tr("SELECT quarter, round(avg(e::DOUBLE / nullif(n, 0)), 9) AS mean_rate, round(stddev_pop(e::DOUBLE / nullif(n, 0)), 9) AS sd_rate_pop, round(sum(e)::DOUBLE / nullif(sum(n), 0)::DOUBLE, 9) AS pooled_rate FROM (SELECT user_id, quarter, count(*) FILTER (is_drift) AS n, count(*) FILTER (is_drift AND final_error) AS e FROM trace GROUP BY ALL) GROUP BY quarter"),
+    "rate_distribution": _tr("SELECT quarter, round(avg(e::DOUBLE / nullif(n, 0)), 9) AS mean_rate, round(stddev_pop(e::DOUBLE / nullif(n, 0)), 9) AS sd_rate_pop, round(sum(e)::DOUBLE / nullif(sum(n), 0)::DOUBLE, 9) AS pooled_rate FROM (SELECT user_id, quarter, count(*) FILTER (NOT extra) AS n, count(*) FILTER (NOT extra AND final_error) AS e FROM trace GROUP BY ALL) GROUP BY quarter"),
     "sc_acceptance": _tr("SELECT round(avg(e::DOUBLE / n), 9) AS mean_rate, round(stddev_pop(e::DOUBLE / n), 9) AS sd_rate_pop, round(sum(e)::DOUBLE / sum(n)::DOUBLE, 9) AS pooled_rate FROM (SELECT user_id, count(*) AS n, count(*) FILTER (accepted) AS e FROM trace WHERE state_before = 'SC' AND accepted IS NOT NULL GROUP BY ALL)"),
-    "per_run_metrics": _metrics_sql() + "SELECT user_id, tickets, final_state, " + ", ".join(f"round({k}, 9) AS {k}" for k in _RUNS) + " FROM runs",
+    "per_run_metrics": _metrics_sql() + f"SELECT user_id, {', '.join(_WHOLE)}, " + ", ".join(f"round({k}, 9) AS {k}" for k in _RUNS) + " FROM runs",
     "condition_summary": f"WITH a AS {_sub(T.CONDITION)}, u AS ({' UNION ALL '.join(f'SELECT {chr(39)}{m}{chr(39)} AS metric, {m} AS v FROM a' for m in METRICS)}) SELECT metric, count(v) AS n, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd_samp, round(min(v), 9) AS least, round(max(v), 9) AS most, round(avg(v) - {_T9}::DOUBLE * stddev_samp(v) / sqrt(10.0::DOUBLE), 9) AS ci_low, round(avg(v) + {_T9}::DOUBLE * stddev_samp(v) / sqrt(10.0::DOUBLE), 9) AS ci_high FROM u GROUP BY metric",
     "final_state_pivot": _metrics_sql() + "SELECT user_id % 3 AS cohort, count(*) FILTER (final_state = 'SO') AS SO, count(*) FILTER (final_state = 'SC') AS SC, count(*) FILTER (final_state = 'DS') AS DS FROM runs GROUP BY 1",
-    "judge_audit": _tr("""SELECT *, round(rejected::DOUBLE / judged, 9) AS rejected_rate, round(sc_rejected::DOUBLE / sc_decisions, 9) AS sc_rejected_rate FROM (SELECT count(*) AS traces, count(*) FILTER (NOT abstain) AS judged, count(*) FILTER (NOT abstain AND NOT gold_correct) AS rejected,
-      count(*) FILTER (sc) AS sc_decisions, count(*) FILTER (sc AND NOT accepted) AS sc_rejected, count(*) FILTER (sc AND covers AND NOT human_correct) AS matches_wrong_human, count(*) FILTER (sc AND covers AND gold_correct) AS matches_gold FROM (SELECT *, state_before = 'SC' AND accepted IS NOT NULL AS sc FROM trace))"""),
+    "judge_audit": _tr("""SELECT *, round(sc_rejected * 100.0::DOUBLE / nullif(sc_decisions, 0), 9) AS sc_rejected_pct, round(rejected * 100.0::DOUBLE / nullif(judged, 0), 9) AS rejected_pct,
+      round(wrong_human_matches_rejected * 100.0::DOUBLE / nullif(wrong_human_matches, 0), 9) AS wrong_human_matches_rejected_pct, round(gold_matches_accepted * 100.0::DOUBLE / nullif(gold_matches, 0), 9) AS gold_matches_accepted_pct FROM (
+      SELECT count(*) AS recorded, count(*) FILTER (NOT abstain) AS judged, count(*) FILTER (NOT abstain AND NOT gold_correct) AS rejected, count(*) FILTER (accepted IS NOT NULL) AS sc_decisions, count(*) FILTER (NOT accepted) AS sc_rejected,
+        count(*) FILTER (h) AS wrong_human_matches, count(*) FILTER (h AND NOT gold_correct) AS wrong_human_matches_rejected, count(*) FILTER (NOT abstain AND gold_correct) AS gold_matches, count(*) FILTER (NOT abstain AND gold_correct) AS gold_matches_accepted
+      FROM (SELECT *, NOT abstain AND NOT human_correct AND NOT gold_correct AND event_id % 2 = 0 AS h FROM trace WHERE NOT extra))"""),
     "order_fingerprint": _tk("SELECT user_id, sha256(string_agg(event_id || '|' || profile, chr(10) ORDER BY position)) AS fingerprint FROM t GROUP BY user_id"),
     "latency_percentiles": "SELECT event_type, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS sd_pop, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95 FROM events GROUP BY event_type",
     "cumulative_error": _run_sql("final_error", "NOT extra", "error_rate", "0.0"),
@@ -435,13 +466,14 @@ ORACLE = {
     "state_ranges": _tr(_islands("trace", "state_after")),
     "drift_rate_by_quarter": _tk("SELECT user_id, round(avg(d::DOUBLE / n), 9) AS drift_rate FROM (SELECT user_id, quarter, count(*) AS n, count(*) FILTER (is_drift) AS d FROM t WHERE NOT extra GROUP BY ALL HAVING d > 0) GROUP BY user_id"),
     "last_non_null": _tr("SELECT user_id, round(arg_max(fea_after, position), 9) AS v FROM trace WHERE position % 3 <> 0 AND position % 5 <> 0 GROUP BY user_id"),
-    "paired_differences": _D + " SELECT user_id, metric, round(diff, 9) AS diff FROM d",
+    "paired_differences": _D + " SELECT run, metric, round(diff, 9) AS diff FROM d",
     "student_t_ci": _D + f" SELECT metric, count(diff) AS n, round(avg(diff), 9) AS mean, round(avg(diff) - {_T9}::DOUBLE * stddev_samp(diff) / sqrt(10.0::DOUBLE), 9) AS ci_low, round(avg(diff) + {_T9}::DOUBLE * stddev_samp(diff) / sqrt(10.0::DOUBLE), 9) AS ci_high FROM d GROUP BY metric",
     "sign_flip_p": _D + _FLIP + " SELECT metric, round(p, 9) AS p FROM p",
     "holm_adjust": _D + _FLIP + _HOLM + " SELECT metric, round(p, 9) AS p, round(holm_p, 9) AS holm_p FROM h",
     "cohens_dz": _D + " SELECT metric, CASE WHEN stddev_samp(diff) > 0 THEN round(avg(diff) / stddev_samp(diff), 9) END AS dz FROM d GROUP BY metric",
-    "factorial_contrasts": _CELLS + ", e AS (" + " UNION ALL ".join(f"SELECT '{n}' AS contrast, {x}.v - {y}.v AS diff FROM {x} JOIN {y} USING (user_id)" for n, x, y in _EFFECTS) + ") SELECT contrast, count(*) AS n, round(avg(diff), 9) AS mean, round(stddev_samp(diff), 9) AS sd_samp FROM e GROUP BY contrast",
-    "baseline_comparisons": f"WITH a AS {_sub(T.CONDITION)}, d AS (SELECT user_id, 'final-human' AS metric, final_error_pct - human_only_error_pct AS diff FROM a UNION ALL SELECT user_id, 'replay-final', replay_error_pct - final_error_pct FROM a)" + _FLIP + _HOLM + " SELECT metric, round(mean, 9) AS mean, round(p, 9) AS p, round(holm_p, 9) AS holm_p FROM h JOIN (SELECT metric, avg(diff) AS mean FROM d GROUP BY metric) USING (metric)",
+    "factorial_contrasts": _CELLS + ", e AS (" + " UNION ALL ".join(f"SELECT '{n}' AS contrast, {x}.v - {y}.v AS diff FROM {x} JOIN {y} USING (run)" for n, x, y in _EFFECTS) + ") SELECT contrast, count(*) AS n, round(avg(diff), 9) AS mean, round(stddev_samp(diff), 9) AS sd_samp FROM e GROUP BY contrast",
+    "baseline_comparisons": _against_sql("final_error_pct", "human_only_error_pct"),
+    "controller_comparisons": _against_sql("replay_error_pct", "final_error_pct"),
 }
 
 QUERIES = {name: globals()[name] for name in ORACLE}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions import labels as B
+from driftwell.operators import reliability as L
 from driftwell.operators import retrieval as R
 from driftwell.operators import trajectories as J
 from driftwell.plans import trace as T
@@ -18,16 +19,7 @@ DEMO_DECAY, DEMO_NUM, DEMO_DEN, DEMO_SEEN, DEMO_LEAST, DEMO_FEA = 0.9, 8.6, 10.0
 
 def reliability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reliability that starts from an earlier state, and when its gate is open."""
-    o = observations(spark, sf_dir)
-    w = Window.partitionBy(RUN).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.struct(F.lit(DEMO_NUM).alias("n"), F.lit(DEMO_DEN).alias("d"))
-    step = F.aggregate(
-        F.collect_list("delta").over(w),
-        start,
-        lambda s, x: F.struct((F.lit(DEMO_DECAY) * s["n"] + x).alias("n"), (F.lit(DEMO_DECAY) * s["d"] + F.lit(1.0)).alias("d")),
-        lambda s: s["n"] / s["d"],
-    )
-    rows = o.withColumn("fea", step)
+    rows = L.running(observations(spark, sf_dir), RUN, "delta", "n", DEMO_DECAY, start=(DEMO_NUM, DEMO_DEN))
     return rows.select(RUN, "event_id", F.round("fea", 9).alias("fea"), ((F.col("n") + DEMO_SEEN >= DEMO_LEAST) & (F.col("fea") > DEMO_FEA)).alias("open"))
 
 

@@ -1,4 +1,4 @@
-"""Retrieval queries over ``embeddings``: insertion index vec_id + 1, every 50th vector a query."""
+"""Retrieval queries over ``embeddings``: insertion index vec_id + 1, every id divisible by 20 a query."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(mem: DataFrame) -> DataFrame:
-    return mem.filter(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), F.col("ins").alias("qins"), "v")
+    return mem.filter(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), F.col("ins").alias("qins"), "v")
 
 
 def _out(found: DataFrame) -> DataFrame:
@@ -138,17 +138,17 @@ def halflife_retrieval(spark, sf_dir):
 
 
 def max_cross_similarity(spark, sf_dir):
-    """For each vector of label 0 the most similar of the others."""
+    """For each query vector the most similar one of another label."""
     m = memory(spark, sf_dir)
-    found = R.nearest(m.filter("label = 0").select(F.col("id").alias("qid"), "v"), m.filter("label <> 0"))
-    return found.select("qid", "id", F.round("cosine", 9).alias("cosine"))
+    q = m.join(asked(m).select("qid"), F.col("id") == F.col("qid")).select("qid", "v", "label")
+    return R.nearest(q, m, other="label").select("qid", "id", F.round("cosine", 9).alias("cosine"))
 
 
 def max_inner_similarity(spark, sf_dir):
-    """Within label 0, each vector's most similar other one."""
-    m = memory(spark, sf_dir).filter("label = 0")
-    found = R.nearest(m.select(F.col("id").alias("qid"), "v"), m, same_table=True)
-    return found.select("qid", "id", F.round("cosine", 9).alias("cosine"))
+    """For each query vector the most similar other one of its own label."""
+    m = memory(spark, sf_dir)
+    q = m.join(asked(m).select("qid"), F.col("id") == F.col("qid")).select("qid", "v", "label")
+    return R.nearest(q, m, same="label", same_table=True).select("qid", "id", F.round("cosine", 9).alias("cosine"))
 
 
 def retrieval_context_text(spark, sf_dir):
@@ -172,7 +172,7 @@ p AS (SELECT qid, qins, id, ins, qins - 1 - ins AS age, greatest(-1.0::DOUBLE, l
 _SHOWN = "round(cosine, 9) AS cosine, round(score, 9) AS score"
 
 
-def _pairs(asked: str = "id % 50 = 0") -> str:
+def _pairs(asked: str = "id % 20 = 0") -> str:
     return _PAIRS.format(asked=asked)
 
 
@@ -187,7 +187,7 @@ def _top(scored: str, order: str, k: int = 5) -> str:
 _ON, _EX, _SE = "score DESC, ins DESC, id DESC", "score DESC, cosine DESC, ins DESC, id DESC", "cosine DESC, ins DESC, id DESC"
 
 
-def _sql(top: str, asked: str = "id % 50 = 0") -> str:
+def _sql(top: str, asked: str = "id % 20 = 0") -> str:
     return f"WITH {_pairs(asked)} SELECT qid, rank, id, age, {_SHOWN} FROM ({top})"
 
 
@@ -251,8 +251,8 @@ ORACLE = {
     "halflife_retrieval": f"WITH {_pairs()} SELECT qid, rank, id, age, {_SHOWN} FROM ("
     + _top(f"SELECT *, cosine * pow(0.5::DOUBLE, age / {HALF_LIFE}::DOUBLE) AS score FROM p WHERE cosine >= 0.2::DOUBLE", _ON)
     + ")",
-    "max_cross_similarity": _near("a.label = 0", "b.label <> 0"),
-    "max_inner_similarity": _near("a.label = 0", "b.label = 0 AND a.id <> b.id"),
+    "max_cross_similarity": _near("a.id % 20 = 0", "a.label <> b.label"),
+    "max_inner_similarity": _near("a.id % 20 = 0", "a.label = b.label AND a.id <> b.id"),
     "retrieval_context_text": f"""WITH {_pairs()} SELECT q.qid, coalesce(c, 'None.') AS context FROM q LEFT JOIN (
         SELECT qid, string_agg('[' || id || '] age ' || age, chr(10) || chr(10) ORDER BY rank) AS c FROM ({_top(_scored(RULE.decay), _ON)}) GROUP BY qid) USING (qid)""",
     "normalised_embeddings": "SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, 1.0::DOUBLE AS unit_norm FROM embeddings",

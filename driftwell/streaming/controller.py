@@ -1,6 +1,6 @@
 """The controller and reliability as Structured Streaming, and windowed counts of a stream.
 
-State is one controller per key: five numbers, however long the stream.  Positions order a key's tickets; a
+State is one controller per key: five numbers and the recent gold window, however long the stream.  Positions order a key's tickets; a
 micro-batch is put in order within each key, and positions at or before the last one seen are replays and
 pass without effect, so a restarted source repeats nothing.
 """
@@ -17,8 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftwell.operators import controller as C
 
-STATE = "state string, numerator double, denominator double, observations int, last int"
-INPUTS = ("quarter_position", "extra", "bootstrap", "abstain", "covers", "gold_correct", "human_correct")
+STATE = "state string, numerator double, denominator double, observations int, last int, recent array<boolean>"
+INPUTS = ("quarter_position", "extra", "bootstrap", "abstain", "covers", "gold_correct", "human_correct", "coin")
 
 
 def controlled(tickets: DataFrame, by: str, c: C.Condition) -> DataFrame:
@@ -29,14 +29,15 @@ def controlled(tickets: DataFrame, by: str, c: C.Condition) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("position")
-        state, num, den, obs, last = held.get if held.exists else ("SO", 0.0, 0.0, 0, 0)
+        state, num, den, obs, last, recent = held.get if held.exists else ("SO", 0.0, 0.0, 0, 0, [])
         ctl = C.Controller(C.Condition(**options), state, num, den, obs)
+        ctl.recent.extend(recent)
         out = []
         for r in rows.to_dict("records"):
             if r["position"] > last:
                 last = r["position"]
                 out.append((key[0], last, *ctl.step(*(r[x] for x in INPUTS))))
-        held.update((ctl.state, float(ctl.num), float(ctl.den), ctl.obs, int(last)))
+        held.update((ctl.state, float(ctl.num), float(ctl.den), ctl.obs, int(last), [bool(x) for x in ctl.recent]))
         made = pd.DataFrame(out, columns=names)
         made["observation"] = made["observation"].astype("Int32")
         yield made

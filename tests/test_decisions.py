@@ -25,33 +25,33 @@ def test_fading_accuracy():
 
 def test_reaches_autonomy_one_step_a_ticket():
     c = C.Condition(0.5, 0.1, 0.9, 1, 0, 1.0, "always")
-    out, _ = steps(c, [(i, False, False, False, True, True, True) for i in (1, 2, 3)])
+    out, _ = steps(c, [(i, False, False, False, True, True, True, False) for i in (1, 2, 3)])
     assert [(o[0], o[1]) for o in out] == [("SO", "SC"), ("SC", "DS"), ("DS", "DS")] and out[2][10] == "model"
 
 
 def test_never_accepting_stays_out_of_autonomy():
     c = C.Condition(0.5, 0.1, 0.9, 1, 0, 1.0, "never")
-    out, _ = steps(c, [(i, False, False, False, True, True, True) for i in (1, 2, 3)])
+    out, _ = steps(c, [(i, False, False, False, True, True, True, False) for i in (1, 2, 3)])
     assert [o[1] for o in out] == ["SC", "SC", "SC"]
 
 
 def test_abstention_observes_nothing_and_quarters_reset():
     c = C.Condition(0.5, 0.1, 0.9, 1, 2, 1.0)
-    seen = [(p, False, False, False, True, True, True) for p in (1, 2, 3, 4, 1, 2)]
+    seen = [(p, False, False, False, True, True, True, False) for p in (1, 2, 3, 4, 1, 2)]
     out, _ = steps(c, seen)
     assert [o[1] for o in out] == ["SO", "SC", "DS", "DS", "SC", "DS"]
-    assert out[4][13] == "quarter_start" and out[5][13] == "review_completion"
+    assert out[4][13] == "quarterly_ceo_review" and out[5][13] == "quarterly_ceo_review_completion"
     ctl = C.Controller(c, "SC", 1.0, 1.0, 1)
-    assert ctl.step(5, False, False, True, True, True, False)[3] is None and ctl.obs == 1
+    assert ctl.step(5, False, False, True, True, True, False, False)[3] is None and ctl.obs == 1
 
 
 def test_disabled_system_leaves_humans_alone():
-    out, _ = steps(C.Condition(enabled=False), [(1, False, False, False, False, True, False)])
+    out, _ = steps(C.Condition(enabled=False, strategy="single", single_profile="intern"), [(1, False, False, False, False, True, False, False)])
     assert out[0][10:13] == ("human", "unassisted_human", False)
 
 
 def test_condition_limits():
-    for bad in ({"alpha": 0.5, "beta": 0.6}, {"gamma": 0.1}, {"decay": 0}, {"acceptance": "maybe"}):
+    for bad in ({"alpha": 0.5, "beta": 0.6}, {"gamma": 0.1}, {"decay": 0}, {"acceptance": "maybe"}, {"strategy": "single"}, {"single_profile": "ceo"}, {"enabled": False}, {"strategy": "round"}):
         with pytest.raises(ValueError):
             C.Condition(**bad)
 
