@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import json
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.session import shared_dir, stored  # noqa: F401
+from driftwell.session import delete, shared_dir, stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,3 +33,54 @@ def ascii_lower(c: Column) -> Column:
 def held_out(key: str = "doc_id") -> Column:
     """The fold that is never learnt from: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+class Scratch:
+    """Tables in the shared folder for one operator's steps, deleted as soon as what was made of them is written.
+
+    ``keep`` writes a table and reads it back, so a lost executor costs a reread; ``drop`` deletes tables.
+    """
+
+    def __init__(self):
+        self.paths: set[str] = set()
+
+    def keep(self, df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+        path = shared_dir(df.sparkSession, label)
+        out = stored(df, label, compression, path)
+        out._scratch = path
+        self.paths.add(path)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for df in tables:
+            path = None if df is None else df.__dict__.get("_scratch")
+            if path in self.paths:
+                self.paths.remove(path)
+                delete(df.sparkSession, path)
+
+
+def commit(folder: str, moves: dict[str, str], manifest: object) -> None:
+    """Give the files that successful tasks reported their names, drop those of failed attempts, then write the manifest."""
+    files, root = pafs.FileSystem.from_uri(folder)
+    files.create_dir(root, recursive=True)
+    stale = [x.path for x in files.get_file_info(pafs.FileSelector(root)) if x.base_name.startswith("_tmp-") and x.base_name not in moves]
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda m: files.move(f"{root}/{m[0]}", f"{root}/{m[1]}"), moves.items()))
+        list(pool.map(files.delete_file, stale))
+    with files.open_output_stream(f"{root}/_tmp-manifest") as f:
+        f.write(json.dumps(manifest).encode())
+    files.move(f"{root}/_tmp-manifest", f"{root}/_MANIFEST.json")
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for mapInArrow; at a task's end its worker, which lives on, gives freed memory back to the system."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm._util import table, texts
+from driftwell.llm._util import frugal, table, texts
 
 ROW = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -152,6 +152,7 @@ def cosine_hash(image: np.ndarray) -> str:
 def with_media(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, media)``: each whole text as a PNG in a binary column."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = [t.encode() for t in b.column(1).to_pylist()]
@@ -169,6 +170,7 @@ def with_media(docs: DataFrame) -> DataFrame:
 def media_features(media: DataFrame) -> DataFrame:
     """Decode the ``media`` column of ``with_media`` and describe what was read back."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftwell.llm._util import stored, table, texts
+from driftwell.llm._util import frugal, stored, table, texts
 from driftwell.llm.tokens import encoder, public_vocabulary
 
 WINDOW, UNIT, DEPTH = 4096, 64, 4
@@ -153,14 +153,15 @@ _RUNS = "cls long, lo long, hi long, base long, period long, stride long, first
 def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Encode and cut every document; ranks count from 0 within each task and class."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary if "/" in vocabulary else public_vocabulary(vocabulary)).encode
+        known = encoder(vocabulary if "/" in vocabulary else public_vocabulary(vocabulary))
         part, seen = TaskContext.get().partitionId(), {}
-        tail = np.array([end_id], "<u2").tobytes()
+        tail = np.array([end_id], known.dtype).tobytes()
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encode(text) + tail, "<u2").astype("<u4").tobytes()
+                ids = np.frombuffer(known.encode(text) + tail, known.dtype).astype("<u4").tobytes()
                 n, start = len(ids) // 4, 0
                 while start < n:
                     left = n - start

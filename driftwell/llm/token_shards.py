@@ -6,12 +6,15 @@ carry a CRC-32.  After them come a sparse index (first key and place of each blo
 keys and a footer of fixed size.  A key is the document's id as eight bytes whose order is the ids' order;
 a null id is the empty key and sorts first.
 
-Documents are dealt to tasks by ranges of ids, so shards follow each other in id order.  A task writes to a
-name of its own attempt and renames when the shard is whole; a task that runs again makes the same shard.
-``_MANIFEST.json`` lists the shards and the number of ids before each, and is written last.
-
-Defined cases: null text is an empty text (the end id alone); rows that repeat an id are all kept, ordered
-by text hash; an empty table writes a manifest without shards; other columns are not read.
+Documents are dealt to tasks by ranges of ids, so shards follow each other in id order.  A task writes under
+names of its own attempt; the driver renames what successful attempts report, so a task that runs again never
+meets a name that is taken.  ``_MANIFEST.json`` is written last: the shards in key order, each with its first
+and last key and the number of ids before it.  A search bisects the manifest, then the shard's index.
+
+Defined cases: null text is an empty text (the end id alone); texts may be as long as a string can be, as an
+entry may exceed its block's target size; rows that repeat an id are all kept, ordered by text hash (a tie of
+both is a repeated row); a null id sorts first; an empty table writes a manifest without shards; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm._util import shared_dir, table, texts
+from driftwell.llm._util import commit, frugal, shared_dir, table, texts
 from driftwell.llm.tokens import encoder, public_vocabulary
 
 MAGIC = b"DWSST001"
@@ -195,7 +198,7 @@ class Shard:
 
 @dataclass(frozen=True)
 class Spec:
-    """What to write: vocabulary file by public name or path, the id that ends a document, bytes an id."""
+    """What to write: vocabulary file by public name or path, the id that ends a document, bytes an id (2 or 4)."""
 
     vocabulary: str
     end_id: int
@@ -203,8 +206,11 @@ class Spec:
 
     def encode(self, text: str) -> bytes:
         path = self.vocabulary if "/" in self.vocabulary else public_vocabulary(self.vocabulary)
-        ids = encoder(path).encode(text) + np.array([self.end_id], "<u2").tobytes()
-        return ids if self.id_bytes == 2 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+        known = encoder(path)
+        if known.dtype.itemsize > self.id_bytes:
+            raise ValueError("ids of this vocabulary need id_bytes=4")
+        ids = known.encode(text) + np.array([self.end_id], known.dtype).tobytes()
+        return ids if known.dtype.itemsize == self.id_bytes else np.frombuffer(ids, known.dtype).astype(f"<u{self.id_bytes}").tobytes()
 
 
 def write_shards(docs: DataFrame, folder: str, spec: Spec) -> list[dict]:
@@ -213,6 +219,7 @@ def write_shards(docs: DataFrame, folder: str, spec: Spec) -> list[dict]:
     The rows collected are one for each shard.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pafs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
@@ -223,26 +230,24 @@ def write_shards(docs: DataFrame, folder: str, spec: Spec) -> list[dict]:
             nonlocal out, n
             writer.finish()
             out.close()
-            name = f"shard-{task.partitionId():06d}-{n:04d}.sst"
-            files.move(temporary, f"{root}/{name}")
-            rows.append((task.partitionId(), n, name, writer.entries, writer.ids, writer.at))
+            rows.append((task.partitionId(), n, temporary, writer.entries, writer.ids, writer.at, writer.keys[0].hex(), writer.keys[-1].hex()))
             out, n = None, n + 1
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if out is None:
-                    temporary = f"{root}/_tmp-{task.partitionId()}-{n}-{task.taskAttemptId()}"
-                    out = files.open_output_stream(temporary)
+                    temporary = f"_tmp-{task.partitionId()}-{n}-{task.taskAttemptId()}"
+                    out = files.open_output_stream(f"{root}/{temporary}")
                     writer = ShardWriter(out, spec.id_bytes)
                 writer.add(key_of(doc_id), spec.encode(text))
                 if writer.at >= SHARD_BYTES:
                     close()
         if out is not None:
             close()
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        cols = list(zip(*rows, strict=True)) or [[]] * 8
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.string() if i == 2 else pa.int64()) for i, c in enumerate(cols)],
-            ["part", "n", "name", "entries", "ids", "bytes"],
+            [pa.array(c, pa.string() if i in (2, 6, 7) else pa.int64()) for i, c in enumerate(cols)],
+            ["part", "n", "temporary", "entries", "ids", "bytes", "first", "last"],
         )
 
     spark = docs.sparkSession
@@ -250,18 +255,16 @@ def write_shards(docs: DataFrame, folder: str, spec: Spec) -> list[dict]:
     ranged = texts(docs).withColumn("_h", F.xxhash64("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "_h")
     found = (
         ranged.select("doc_id", "text")
-        .mapInArrow(run, "part long, n long, name string, entries long, ids long, bytes long")
+        .mapInArrow(run, "part long, n long, temporary string, entries long, ids long, bytes long, first string, last string")
         .collect()
     )
-    manifest, before = [], 0
+    manifest, moves, before = [], {}, 0
     for r in sorted(found, key=lambda r: (r.part, r.n)):
-        manifest.append({"name": r.name, "entries": r.entries, "ids": r.ids, "bytes": r.bytes, "ids_before": before})
+        name = f"shard-{r.part:06d}-{r.n:04d}.sst"
+        moves[r.temporary] = name
+        manifest.append({"name": name, "entries": r.entries, "ids": r.ids, "bytes": r.bytes, "ids_before": before, "first": r.first, "last": r.last})
         before += r.ids
-    files, root = pafs.FileSystem.from_uri(folder)
-    files.create_dir(root, recursive=True)
-    with files.open_output_stream(f"{root}/_tmp-manifest") as f:
-        f.write(json.dumps({"id_bytes": spec.id_bytes, "shards": manifest}).encode())
-    files.move(f"{root}/_tmp-manifest", f"{root}/_MANIFEST.json")
+    commit(folder, moves, {"id_bytes": spec.id_bytes, "shards": manifest})
     return manifest
 
 
@@ -276,6 +279,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     manifest = read_manifest(folder)
     width = manifest["id_bytes"]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pafs.FileSystem.from_uri(folder)
         for b in batches:
@@ -294,12 +298,15 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lookup(folder: str, doc_id: int | None) -> list[np.ndarray]:
-    """The ids of one document, by filters and binary search alone."""
+    """The ids of one document: bisects the manifest for its shards, then each one's index behind the filter."""
     manifest = read_manifest(folder)
     files, root = pafs.FileSystem.from_uri(folder)
+    key, shards = key_of(doc_id), manifest["shards"]
+    i = bisect_left(shards, key, key=lambda s: bytes.fromhex(s["last"]))
     found = []
-    for s in manifest["shards"]:
-        found += Shard(files, f"{root}/{s['name']}").get(doc_id)
+    while i < len(shards) and bytes.fromhex(shards[i]["first"]) <= key:
+        found += Shard(files, f"{root}/{shards[i]['name']}").get(doc_id)
+        i += 1
     return [np.frombuffer(v, f"<u{manifest['id_bytes']}") for v in found]
 
 

@@ -1,23 +1,30 @@
 """Token ids of whole texts through the ``tokenizers`` library, with what was seen before kept per worker.
 
-Both vocabularies split a text before they merge, and neither lets a piece reach over a space between two
-non-spaces, so a text is cut there and each distinct stretch is encoded once per worker.  Stretches of plain
-Latin letters, digits and ASCII marks are split by an equivalent of the file's own pattern and merged by the
-library's model; any other stretch goes through the library whole.  Texts in which white space runs around
-a space go through the library uncut.  Both caches are emptied when full.
+Both vocabularies split a text into pieces before they merge.  A text of plain Latin letters, digits and ASCII
+marks is split at once by an equivalent of the file's own pattern, and each piece is merged by the library's
+model unless the worker has met it before.  In other texts the stretches between single spaces are told
+apart, as neither vocabulary lets a piece reach over a space between two non-spaces: plain ones are split the
+same way, the others go through the library.  Other texts in which white space runs around a space go through
+the library uncut.  What was met is kept in two generations, the older of which goes when the younger is full.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
+from collections.abc import Iterable
+from itertools import groupby
+from operator import attrgetter
 
 import numpy as np
 
-CACHE = 300_000
+CACHE = 160_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(r"[ \n\t\r!-~À-ÖØ-öø-ÿ]*\Z")
 _AROUND = re.compile(r"\s (?:\s|\Z)")
+_ID = attrgetter("id")
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 _PIECES = {
     "byte": re.compile(rf"{_SHORT}| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+"),
@@ -32,33 +39,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    def __init__(self, model, low: bool):
-        self.model, self.low, self.letters = model, low, _byte_letters()
+class _Kept(dict):
+    """Results by key; ``CACHE`` at most in each of two generations, so what is frequent stays."""
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        shown = piece.encode().decode("latin-1").translate(self.letters)
-        ids = self[piece] = np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
-        return ids
-
-
-class _Chunks(dict):
-    """Encoded stretches; for byte-level vocabularies the key stands for the stretch after a space."""
+    def __init__(self, make):
+        self.make, self.older = make, {}
 
-    def __init__(self, owner: Encoder):
-        self.owner = owner
-
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        ids = self[chunk] = self.owner.stretch(chunk if self.owner.low else " " + chunk)
-        return ids
+        self[key] = found
+        return found
 
 
 class Encoder:
-    """``encode(text)`` gives the ids as little-endian 16-bit bytes (both vocabularies have under 65,536 ids)."""
+    """``encode(text)`` gives the ids as little-endian numbers of ``dtype``: 16 bits if all ids fit, else 32."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,31 +65,38 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        if self.library.get_vocab_size() > 65_536:
-            raise ValueError("ids of this vocabulary need more than 16 bits")
-        normal = self.library.normalizer
-        self.low = normal is not None
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 65_536 else "<u4")
+        self.low = self.library.normalizer is not None
         self.split = _PIECES["word" if self.low else "byte"].findall
-        self.pieces = _Pieces(self.library.model, self.low)
-        self.chunks = _Chunks(self)
+        self.merge, self.letters = self.library.model.tokenize, _byte_letters()
+        self.pieces, self.others = _Kept(self._piece), _Kept(self.whole)
+
+    def _bytes(self, ids: Iterable[int]) -> bytes:
+        out = array("HI"[self.dtype.itemsize // 4], ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return self._bytes(map(_ID, self.merge(piece.encode().decode("latin-1").translate(self.letters))))
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
 
-    def stretch(self, text: str) -> bytes:
-        if not _PLAIN.match(text):
-            return self.whole(text)
-        return b"".join([self.pieces[p] for p in self.split(text.lower() if self.low else text)])
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.split(text.lower() if self.low else text)))
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.low:
-            return b"".join(map(self.chunks.__getitem__, text.split(" ")))
-        if _AROUND.search(text):
+        if _PLAIN.match(text):
+            return self.plain(text)
+        if not self.low and _AROUND.search(text):
             return self.whole(text)
+        # The space before a stretch belongs to it.
         first, *rest = text.split(" ")
-        return self.stretch(first) + b"".join(map(self.chunks.__getitem__, rest))
+        out = []
+        for is_plain, run in groupby([first, *[" " + x for x in rest]], lambda x: _PLAIN.match(x) is not None):
+            out += [self.plain("".join(run))] if is_plain else map(self.others.__getitem__, run)
+        return b"".join(out)
 
 
 _KNOWN: dict[str, Encoder] = {}

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm._util import shared_dir, table
+from driftwell.llm._util import frugal, shared_dir, table
 
 ROLL_BYTES, LEVEL = 64 << 20, 3
 DATE = "2000-01-01T00:00:00Z"
@@ -140,6 +140,7 @@ def with_markers(pages: DataFrame, least: int) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = ROLL_BYTES) -> list[dict]:
     """Write ``pages(page_id, url, html)`` and commit; the manifest's rows (one for each file) in id order."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pafs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
@@ -197,6 +198,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     with files.open_input_stream(f"{root}/_MANIFEST.json") as f:
         manifest = json.loads(f.read())
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pafs.FileSystem.from_uri(folder)
         for b in batches:
