@@ -35,6 +35,26 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: A group of more than one in ``HOT`` rows is hot; there are at most ``HOT`` of them.
+HOT = 4096
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their group, null where there is none; ``groups`` holds ``size`` members for each key.
+
+    A group of more than one in ``HOT`` of the ``total`` rows comes by broadcast, at most ``HOT`` rows by that, so its
+    members stay where they are; in the shuffle of the others no key has more rows than that.  ``rows`` is read
+    twice: pass a table.
+    """
+    groups = groups.withColumnRenamed(key, "_group_key")
+    is_hot = F.col(size) * F.lit(HOT) > F.lit(total)
+    hot, cold = groups.filter(is_hot), groups.filter(~is_hot)
+    same = F.col(key) == F.col("_group_key")
+    near = rows.join(F.broadcast(hot), same)
+    far = rows.join(F.broadcast(hot.select("_group_key")), same, "left_anti").join(cold, same, "left")
+    return near.unionByName(far).drop("_group_key")
+
+
 class Scratch:
     """Tables in the shared folder for one operator's steps, deleted as soon as what was made of them is written.
 
