@@ -6,8 +6,9 @@ into IDAT chunks.  The reader checks signature, chunk order, every CRC-32 and th
 PNG filters with numpy and takes a perceptual hash from the low frequencies of a two-dimensional cosine
 transform.
 
-Defined cases: null text is an empty text; an empty text is one row of 255; equal texts give equal rows;
-repeated ids and null ids pass through; other columns of the input are not read.
+Defined cases: null text is an empty text; an empty text is one row of 255; very long texts are one image each, of as
+many rows as they need; equal texts give equal rows; repeated ids and null ids pass through; an empty table gives no
+rows; other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -96,20 +97,26 @@ def unfilter(lines: np.ndarray) -> np.ndarray:
 
 
 def decode_png(media: bytes) -> np.ndarray:
-    """Samples of a grey 8-bit PNG; a wrong checksum, order or size raises ValueError."""
+    """Samples of a grey 8-bit PNG; a wrong checksum, order, method or size, and a file cut anywhere, raise ValueError."""
     if media[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, shape, parts, ended = 8, None, [], False
     while at < len(media) and not ended:
+        if at + 12 > len(media):
+            raise ValueError("cut short")
         (size,) = struct.unpack_from(">I", media, at)
+        if at + 12 + size > len(media):
+            raise ValueError("cut short")
         kind, body = media[at + 4 : at + 8], media[at + 8 : at + 8 + size]
         if zlib.crc32(kind + body) != struct.unpack_from(">I", media, at + 8 + size)[0]:
             raise ValueError(f"checksum of chunk {kind!r}")
         if (kind == b"IHDR") != (shape is None):
             raise ValueError("chunk order")
         if kind == b"IHDR":
-            width, height, depth, colour, *_, interlace = struct.unpack(">IIBBBBB", body)
-            if (depth, colour, interlace) != (8, 0, 0):
+            if size != 13:
+                raise ValueError("size of the header")
+            width, height, depth, colour, squeeze, method, interlace = struct.unpack(">IIBBBBB", body)
+            if (depth, colour, squeeze, method, interlace) != (8, 0, 0, 0, 0):
                 raise ValueError("only plain 8-bit grey images are read")
             shape = height, width
         elif kind == b"IDAT":

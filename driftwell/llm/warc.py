@@ -1,18 +1,23 @@
 """Sharded WARC archives, the same bytes at every run, and their reader.
 
-Pages are dealt by ranges of their id and sorted, so archives follow each other in id order.  Of pages with
+Pages are dealt by ranges of their id and sorted, so archives follow each other in id order.  The borders of the ranges
+come from the data alone: they are quantiles of ids sampled by their hash, as many as the payloads' bytes need;
+neither the number of tasks nor a run's own sampling moves them, and a range's files are its own.  Of pages with
 equal payloads of at least ``least`` bytes the one with the largest id is stored; the others are revisits of
-it.  Who revisits whom is settled on narrow rows of id and hash; the outcome travels to the writer as marker
-rows that sort right before their page, so payloads are shuffled once, by id.
+it.  Who revisits whom is settled on narrow rows of id and hash, where a group that holds a third of all pages is not
+gathered; the outcome travels to the writer as marker rows that sort right before their page, so payloads are
+shuffled once, by id.
 
 Each record is a gzip member with regenerated HTTP and WARC headers, block and payload digests, a fixed date
 and a record id derived from page id and digest.  A task rolls to a new file once the compressed size reaches
-``roll`` bytes, writes under the name of its attempt and renames when the file is whole.  ``_MANIFEST.json``
-names the files of the commit and is written last; readers take no other file.
-
-Defined cases: null html is an empty payload; null urls read ``about:blank``; pages without id sort first, can
-revisit a page with one and are never revisited; of rows that repeat id and payload one is the response and
-the others revisit it; an empty table commits a manifest without files; other columns are not read.
+``roll`` bytes and writes under names of its attempt; the driver renames what successful attempts report, so a task
+that runs again never meets a name that is taken.  ``_MANIFEST.json`` names the files of the commit and is written
+last; readers take no other file.
+
+Defined cases: null html is an empty payload; null urls read ``about:blank``; very long pages are one record each;
+pages without id sort first, can revisit a page with one and are never revisited; of rows that repeat id and payload
+one is the response and the others revisit it; an empty table commits a manifest without files; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +30,18 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm._util import frugal, shared_dir, table
+from driftwell.llm._util import Scratch, commit, frugal, shared_dir, table, with_group
 
 ROLL_BYTES, LEVEL = 64 << 20, 3
+RANGE_BYTES, RANGES, SAMPLE = 16 << 20, 20_000, 200_000
 DATE = "2000-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -126,18 +134,32 @@ def page_of(record: bytes) -> tuple | None:
     return (page and int(page), size, digest, kind, refers and int(refers))
 
 
-def with_markers(pages: DataFrame, least: int) -> DataFrame:
+def with_markers(pages: DataFrame, least: int, tmp: Scratch) -> DataFrame:
     """``(page_id, sha, marks, url, html)``: pages, and before each page that revisits another a row that says which."""
     plain = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(plain, 256).alias("sha"), F.coalesce("url", F.lit("about:blank")).alias("url"), plain.alias("html"))
-    large = rows.filter(F.octet_length("html") >= least).select("page_id", "sha")
-    keepers = large.groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    twins = large.join(keepers.withColumnRenamed("sha", "_sha"), F.col("sha") == F.col("_sha")).filter("page_id is null or page_id < keeper").filter("keeper is not null")
-    marks = twins.select("page_id", "sha", "keeper").distinct().select("page_id", "sha", F.col("keeper").alias("marks"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    large = tmp.keep(rows.filter(F.octet_length("html") >= least).select("page_id", "sha"), "payloads")
+    keepers = large.groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1 and keeper is not null")
+    twins = with_group(large, tmp.keep(keepers, "keepers"), "sha", "n", large.count()).filter("page_id is null or page_id < keeper").filter("keeper is not null")
+    nothing = [F.lit(None).cast("string").alias(x) for x in ("url", "html")]
+    marks = twins.select("page_id", "sha", "keeper").distinct().select("page_id", "sha", F.col("keeper").alias("marks"), *nothing)
     return rows.select("page_id", "sha", F.lit(None).cast("long").alias("marks"), "url", "html").union(marks)
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = ROLL_BYTES) -> list[dict]:
+def borders(pages: DataFrame, size: int) -> list[int]:
+    """Ids that begin a new range, for ranges of about ``size`` bytes; at most ``RANGES`` ids and ``SAMPLE`` sampled ones."""
+    ids = pages.filter("page_id is not null").select(F.col("page_id").cast("long").alias("id"))
+    rows, total = pages.agg(F.count("page_id"), F.sum(F.octet_length("html"))).first()
+    parts = min(RANGES, -(-(total or 0) // size))
+    if parts < 2:
+        return []
+    # About half of SAMPLE ids: of equal hashes all or none, which no run, task or machine changes.
+    share = -(-2 * rows // SAMPLE)
+    picked = ids.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).distinct().orderBy("id").limit(SAMPLE).collect()
+    return sorted({picked[i * len(picked) // parts].id for i in range(1, parts)}) if picked else []
+
+
+def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES) -> list[dict]:
     """Write ``pages(page_id, url, html)`` and commit; the manifest's rows (one for each file) in id order."""
 
     @frugal
@@ -145,24 +167,27 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = RO
         files, root = pafs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         task = TaskContext.get()
-        rows, out, n, mark, last = [], None, 0, None, None
+        rows, out, part, n, mark, last = [], None, None, 0, None, None
 
         def close() -> None:
             nonlocal out, n
             out.close()
-            files.move(temporary, f"{root}/{name}")
-            rows.append((task.partitionId(), n, name, count, size))
+            rows.append((part, n, temporary, name, count, size))
             out, n = None, n + 1
 
         for b in batches:
-            for page_id, sha, marks, url, html in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for page_id, sha, marks, url, html, at in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if at != part:
+                    if out is not None:
+                        close()
+                    part, n = at, 0
                 if html is None:
                     mark = (page_id, sha), marks
                     continue
                 if out is None:
-                    name = f"part-{task.partitionId():06d}-{n:04d}.warc.gz"
-                    temporary = f"{root}/_tmp-{task.partitionId()}-{n}-{task.taskAttemptId()}"
-                    out, count = files.open_output_stream(temporary, compression=None), 0
+                    name = f"part-{part:06d}-{n:04d}.warc.gz"
+                    temporary = f"_tmp-{part}-{n}-{task.taskAttemptId()}"
+                    out, count = files.open_output_stream(f"{root}/{temporary}", compression=None), 0
                     size = out.write(info_record(name))
                 payload = html.encode()
                 refers = mark[1] if mark and mark[0] == (page_id, sha) else None
@@ -175,20 +200,24 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = RO
                     close()
         if out is not None:
             close()
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.string() if i == 2 else pa.int64()) for i, c in enumerate(cols)], ["part", "n", "name", "records", "bytes"]
+            [pa.array(c, pa.string() if i in (2, 3) else pa.int64()) for i, c in enumerate(cols)], ["part", "n", "temporary", "name", "records", "bytes"]
         )
 
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = with_markers(pages, least).repartitionByRange(parts, "page_id").sortWithinPartitions("page_id", "sha", F.col("marks").desc_nulls_last(), "url")
-    found = ranged.mapInArrow(run, "part long, n long, name string, records long, bytes long").collect()
-    manifest = [{"name": r.name, "records": r.records, "bytes": r.bytes} for r in sorted(found, key=lambda r: (r.part, r.n))]
-    files, root = pafs.FileSystem.from_uri(folder)
-    files.create_dir(root, recursive=True)
-    with files.open_output_stream(f"{root}/_tmp-manifest") as f:
-        f.write(json.dumps(manifest).encode())
-    files.move(f"{root}/_tmp-manifest", f"{root}/_MANIFEST.json")
+    starts = np.array(borders(pages, range_bytes), np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(starts, ids.fillna(0).astype("int64"), "right")))
+
+    tmp = Scratch()
+    dealt = with_markers(pages, least, tmp).withColumn("part", range_of("page_id"))
+    ranged = dealt.repartitionById(len(starts) + 1, F.col("part")).sortWithinPartitions("part", "page_id", "sha", F.col("marks").desc_nulls_last(), "url")
+    found = ranged.mapInArrow(run, "part long, n long, temporary string, name string, records long, bytes long").collect()  # a row a file
+    found = sorted(found, key=lambda r: (r.part, r.n))
+    manifest = [{"name": r.name, "records": r.records, "bytes": r.bytes} for r in found]
+    commit(folder, {r.temporary: r.name for r in found}, manifest)
     return manifest
 
 

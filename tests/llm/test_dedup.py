@@ -43,12 +43,28 @@ def test_filter_never_misses_a_repeat(spark):
     r = random.Random(4)
     rows = [(i, str(r.randint(0, 300))) for i in range(600)]
     hashed = docs(spark, rows).select("doc_id", exact_dedup.text_hash().alias("sha"))
-    for small in (1 << 20, 0):
-        marked = exact_dedup.possibly_repeated(hashed, bits_per_row=2, broadcast_bytes=small).collect()
-        n = collections.Counter(t for _, t in rows)
+    n = collections.Counter(t for _, t in rows)
+    for bits in (1 << 20, 500):
+        marked, bloom = exact_dedup.possibly_repeated(hashed, bits_per_row=2, slice_bits=bits)
+        marked = marked.collect()
+        assert bloom.slices == (1 if bits > 500 else 3) and len(marked) == 600
         assert all(m.maybe for m in marked if n[dict(rows)[m.doc_id]] > 1)
 
 
+def test_exact_groups_in_slices_and_of_hot_groups(spark):
+    r = random.Random(6)
+    rows = [(i, "hot" if i % 3 == 0 else str(r.randint(0, 400)) * 3) for i in range(900)] + [(7, "é" * 100_000), (8, "é" * 100_000)]
+    want = {}
+    for i, t in rows:
+        want.setdefault(t, []).append(i)
+    for options in ({}, {"slice_bits": 4000}):
+        out = exact_dedup.exact_groups(docs(spark, rows), **options).collect()
+        assert collections.Counter((x.doc_id, x.keep_id, x.group_size, x.kept) for x in out) == collections.Counter((i, max(want[t]), len(want[t]), i == max(want[t])) for i, t in rows)
+        kept = exact_dedup.exact_dedup(docs(spark, rows), **options).collect()
+        assert sorted((x.doc_id, x.text) for x in kept) == sorted((max(v), t) for t, v in want.items())
+    assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
+
+
 def brute_removed(rows, depth):
     count = collections.Counter(d[i : i + depth] for d in rows for i in range(len(d) - depth + 1))
     out = []
@@ -136,7 +152,7 @@ def test_similar_texts_become_candidates():
     def keys(words):
         text = " ".join(words)
         short = near_dedup.short_keys(text) if len(words) <= near_dedup.SHORT else []
-        return set(enumerate(near_dedup.sketch(near_dedup.shingles(text)))) | {(near_dedup.BANDS, k) for k in short}
+        return set(enumerate(near_dedup.sketch(near_dedup.shingles(near_dedup.hashed(text))))) | {(near_dedup.BANDS, k) for k in short}
 
     for n, least in ((6, 1.0), (12, 1.0), (20, 1.0), (30, 1.0), (50, 0.92), (200, 0.92)):
         found = 0

@@ -43,8 +43,39 @@ def test_damage_is_noticed():
         bad[at] ^= 1
         with pytest.raises(ValueError):
             media.decode_png(bytes(bad))
-    with pytest.raises(ValueError):
-        media.decode_png(good[:-12])
+    for cut in range(1, len(good)):
+        with pytest.raises(ValueError):
+            media.decode_png(good[:-cut])
+    for at in (26, 27, 28):  # compression, filter and interlace methods, with a right checksum
+        bad = bytearray(good)
+        bad[at] = 1
+        bad[29:33] = zlib.crc32(bytes(bad[12:29])).to_bytes(4, "big")
+        with pytest.raises(ValueError):
+            media.decode_png(bytes(bad))
+
+
+def plain_hash(image):
+    """The feature by definition: sums over cosines of a 32 x 32 mean image."""
+    h, w = image.shape
+    small = np.zeros((32, 32))
+    for i in range(32):
+        for j in range(32):
+            rows = range(i * h // 32, (i + 1) * h // 32) if h >= 32 else [i * h // 32]
+            cols = range(j * w // 32, (j + 1) * w // 32) if w >= 32 else [j * w // 32]
+            small[i, j] = np.mean([[float(image[y, x]) for x in cols] for y in rows])
+    low = np.zeros((8, 8))
+    for u in range(8):
+        for v in range(8):
+            low[u, v] = sum(small[i, j] * np.cos(np.pi * u * (2 * i + 1) / 64) * np.cos(np.pi * v * (2 * j + 1) / 64) for i in range(32) for j in range(32))
+    low = np.round(low, 4).ravel()
+    bits = "".join("01"[int(k > 0 and x > np.median(low[1:]))] for k, x in enumerate(low))
+    return f"{int(bits, 2):016x}"
+
+
+@pytest.mark.parametrize("height", [1, 5, 32, 70])
+def test_feature_equals_its_definition(height):
+    image = np.random.default_rng(height).integers(0, 256, (height, 576), dtype=np.uint8)
+    assert media.cosine_hash(image) == plain_hash(image)
 
 
 def test_media_columns(spark):
@@ -52,6 +83,12 @@ def test_media_columns(spark):
     assert len(out) == len(ROWS)
     want = sorted(repr((i, len((t or "").encode()), hashlib.sha256(media.pad((t or "").encode())).hexdigest())) for i, t in ROWS)
     assert sorted(repr((r.doc_id, r.n_bytes, r.payload_sha256)) for r in out) == want
+    stored = {(r.doc_id, r.n_bytes): r.media for r in media.with_media(docs(spark)).collect()}
+    for r in out:
+        png = stored[r.doc_id, r.n_bytes]
+        payload = media.decode_png(bytes(png)).tobytes()
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        assert (r.payload_bytes, r.tail_crc32, r.feature) == (len(payload), zlib.crc32(payload[-32:]), plain_hash(np.frombuffer(payload, np.uint8).reshape(-1, 576)))
     by = {}
     for r in out:
         by.setdefault(r.payload_sha256, set()).add((r.media_sha256, r.feature, r.tail_crc32, r.media_bytes))
@@ -88,6 +125,13 @@ def test_token_shards(spark):
         assert r.start == at
         at += r.n_tokens
     assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == sorted((i for i, _ in ROWS), key=lambda i: -1 if i is None else i)
+    rows = [(i, ids_of("byte_bpe_50k.json", t, 0)) for i, t in ROWS]
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in out) == sorted((str(i), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in rows)
+    wide = shared_dir(spark, "test")
+    token_shards.write_shards(docs(spark), wide, token_shards.Spec("byte_bpe_50k.json", 0, id_bytes=4))
+    assert sorted(map(repr, token_shards.read_shards(spark, wide).collect())) == sorted(map(repr, out))
+    for i in {i for i, _ in ROWS}:
+        assert sorted(x.tolist() for x in token_shards.lookup(wide, i)) == sorted(x for j, x in rows if j == i)
     want = ids_of("byte_bpe_50k.json", ROWS[0][1], 0)
     (got,) = token_shards.lookup(folder, 3)
     assert got.tolist() == want and token_shards.lookup(folder, 999) == [] and len(token_shards.lookup(folder, 2)) == 2
@@ -129,13 +173,24 @@ def test_packing(spark):
 @given(st.dictionaries(st.integers(1, 63), st.integers(1, 500), min_size=1, max_size=20))
 @settings(max_examples=30, deadline=None)
 def test_plan_never_overdraws_and_fills(hist):
-    fills = packing.solve(hist, 64)
-    used = {}
-    for fill, times in fills:
-        assert sum(fill) == 64 and times > 0
-        for c in fill:
-            used[c] = used.get(c, 0) + times
-    assert all(used[c] <= hist[c] for c in used)
+    used, before = {}, 0
+    for made in (packing.solve(hist, 64), packing.fills(hist, 64)):
+        used = {}
+        for fill, times in made:
+            assert sum(fill) == 64 and times > 0
+            for c in fill:
+                used[c] = used.get(c, 0) + times
+        assert all(used[c] <= hist[c] for c in used)
+        ids = sum(c * n for c, n in used.items())
+        assert ids >= before
+        before = ids
+
+
+def test_greedy_residuals_leave_little_to_cut():
+    r = np.random.default_rng(3)
+    hist = {c: int(n) for c, n in enumerate(r.geometric(0.01, 63), 1)}
+    total = sum(c * n for c, n in hist.items())
+    assert sum(sum(f) * t for f, t in packing.fills(hist, 64)) >= 0.95 * total
 
 
 def test_nnls():

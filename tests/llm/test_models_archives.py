@@ -117,6 +117,36 @@ def test_warc_round_trip(spark):
     assert warc.write_archives(pages.limit(0), empty) == [] and warc.read_archives(spark, empty).count() == 0
 
 
+def test_archives_do_not_depend_on_tasks(spark):
+    r = random.Random(2)
+    rows = [(i if i % 50 else None, f"http://x/{i}", r.choice(["same", "<p>" * r.randint(0, 60) + str(i)])) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = []
+    for parts in (3, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        folder = shared_dir(spark, "test")
+        manifest = warc.write_archives(pages.repartition(parts), folder, roll=3000, range_bytes=2000)
+        files, root = warc.pafs.FileSystem.from_uri(folder)
+        made.append([(m["name"], files.open_input_stream(f"{root}/{m['name']}", compression=None).read()) for m in manifest])
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert made[0] == made[1] and len(made[0]) > 5
+    ids = [x.page_id for x in warc.read_archives(spark, folder).collect()]
+    assert sorted(map(str, ids)) == sorted(str(x[0]) for x in rows)
+
+
+def test_warc_query_equals_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    keeper = {}
+    for x in pages:
+        keeper[x.html or ""] = max(keeper.get(x.html or "", -1), x.page_id)
+    want = []
+    for x in pages:
+        body, keep = (x.html or "").encode(), keeper[x.html or ""]
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        want.append((x.page_id, len(body), digest, "response" if keep == x.page_id else "revisit", None if keep == x.page_id else keep))
+    assert sorted(map(tuple, warc.op6_warc(spark, SF).collect())) == sorted(want)
+
+
 def test_damaged_records_are_refused():
     record = zlib.decompress(warc.page_record(1, "u", b"payload", None), 31)
     assert warc.page_of(record)[1:4] == (7, warc.sha1_base32(b"payload"), "response")
