@@ -96,6 +96,8 @@ def test_secret_scan(spark):
     assert not {x for x in found if x[0] in (100, 101, 102, 105)}
     assert len(out) == len(keys) + 1 + 4 + 2
     assert secrets.scan(docs.limit(0), [0.5]).count() == 0
+    long = spark.createDataFrame([(1, "word " * 200_000 + f'token = "{keys[3]}"')], "doc_id long, text string")
+    assert [x.candidate for x in secrets.scan(long, [0.5]).collect()] == [keys[3]]
 
 
 def test_warc_round_trip(spark):
@@ -117,6 +119,49 @@ def test_warc_round_trip(spark):
     assert warc.write_archives(pages.limit(0), empty) == [] and warc.read_archives(spark, empty).count() == 0
 
 
+def test_secrets_of_shapes_not_learnt_from(spark):
+    """Findings written by hand here, in formats and with words that ``example_findings`` does not use."""
+    r = random.Random(12)
+
+    def draw(chars, n):
+        return "".join(r.choice(chars) for _ in range(n))
+
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    every, hexa = low + up + num, "0123456789abcdef"
+    yes, no = [], []
+    for _ in range(25):
+        yes += [
+            (f"AWS_ACCESS_KEY_ID=AKIA{(k := draw(up + num, 16))}", f"AKIA{k}"),
+            (f"Please rotate ghp_{(k := draw(every, 36))} before Monday.", f"ghp_{k}"),
+            (f"DATABASE_URL=postgres://app:{(k := draw(every, 18))}@db.internal:5432/main", k),
+            (f"curl -H 'Authorization: Bearer {(k := draw(every, 40))}' https://api.shop.test", k),
+            (f'{{"clientSecret": "{(k := draw(every, 32))}", "region": "eu"}}', k),
+            (f"db_password: '{(k := 'Blue' + draw('!#%&', 1) + draw(num, 4) + draw(low, 3))}'", k),
+            (f"the signed cookie eyJ{(k := draw(every, 20) + '.' + draw(every, 40) + '.' + draw(every, 43))} leaked", f"eyJ{k}"),
+            (f"private_key = {(k := draw(low + up, 32))}", k),
+        ]
+        u = "-".join(draw(hexa, n) for n in (8, 4, 4, 4, 12))
+        no += [
+            f"token id: {u}",
+            f"Merge commit {draw(hexa, 40)} into main",
+            f'ETag: "{draw(hexa, 32)}"',
+            f"see https://cdn.shop.test/assets/{draw(low, 6)}/{draw(num, 8)}-{draw(low, 9)}.jpg for it",
+            f'"integrity": "sha512-{draw(every, 86)}=="',
+            f"request {u} took 13 ms",
+            "password: required field of the form",
+            "API_KEY=${API_KEY} docker compose up",
+            f"order {draw(num, 18)} was shipped",
+            "Your token: documentation explains everything",
+        ]
+    rows = [(i, t) for i, (t, _) in enumerate(yes)] + [(1000 + i, t) for i, t in enumerate(no)]
+    out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), secrets.fit_forest(spark, secrets.example_findings())).collect()
+    found = {(x.doc_id, x.candidate) for x in out if x.is_secret}
+    recall = np.mean([(i, k) in found for i, (_, k) in enumerate(yes)])
+    wrong = len({i for i, _ in found if i >= 1000}) / len(no)
+    by_kind = [np.mean([(i, k) in found for i, (_, k) in list(enumerate(yes))[j::8]]) for j in range(8)]
+    assert recall >= 0.9 and min(by_kind) >= 0.6 and wrong <= 0.05, (by_kind, wrong, {t[:60] for i, t in rows if i >= 1000 and i in {f[0] for f in found}})
+
+
 def test_archives_do_not_depend_on_tasks(spark):
     r = random.Random(2)
     rows = [(i if i % 50 else None, f"http://x/{i}", r.choice(["same", "<p>" * r.randint(0, 60) + str(i)])) for i in range(400)]
