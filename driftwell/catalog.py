@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.queries import corpus, decisions, extras, retrieval
+from driftwell.queries import corpus, decisions, extras, retrieval, workflow
 from driftwell.session import ship
 
-FAMILIES = (retrieval, decisions, corpus, extras)
+FAMILIES = (retrieval, decisions, corpus, extras, workflow)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,4 +18,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for f in FAMILIES for name, sql in f.ORACLE.items()}
+    return {name: sql for f in FAMILIES for name, sql in getattr(f, "ORACLE", {}).items()}
