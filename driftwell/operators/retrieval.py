@@ -42,6 +42,8 @@ class Rule:
 ONLINE = ("score", "ins", "id")
 EXHAUSTIVE = ("score", "cosine", "ins", "id")
 SEMANTIC = ("cosine", "ins", "id")
+#: Score alone, ties in insertion order; a leading minus means smallest first.
+STANDALONE = ("score", "-ins")
 
 
 def _blocks(df: DataFrame, keys: list[str], position: str, prefix: str) -> DataFrame:
@@ -81,7 +83,7 @@ def hits(queries: DataFrame, memory: DataFrame, rule: Rule, window: int | None =
                 at, of = np.nonzero((cosine > 0) & (cosine >= rule.tau) & (age >= oldest) & (age < last))
                 out = pd.DataFrame({"qid": qid[at], "id": ids[of], "ins": ins[of], "age": age[at, of], "cosine": cosine[at, of]})
                 out["score"] = out.cosine * np.power(rule.decay, out.age) if rule.decay < 1 else out.cosine
-                out = out.sort_values(["qid", *order], ascending=[True] + [False] * len(order))
+                out = out.sort_values(["qid", *[c.lstrip("-") for c in order]], ascending=[True] + [c[0] == "-" for c in order])
                 yield out.groupby("qid", sort=False).head(keep)
 
     return pairs.select("qrows", "mrows").mapInPandas(multiply, HITS)
@@ -89,7 +91,7 @@ def hits(queries: DataFrame, memory: DataFrame, rule: Rule, window: int | None =
 
 def ranked(found: DataFrame, k: int, order: tuple = EXHAUSTIVE, by: str = "qid") -> DataFrame:
     """The ``k`` best rows of each query with their rank from 1."""
-    w = Window.partitionBy(by).orderBy(*[F.col(c).desc() for c in order])
+    w = Window.partitionBy(by).orderBy(*[F.col(c[1:]).asc() if c[0] == "-" else F.col(c).desc() for c in order])
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 

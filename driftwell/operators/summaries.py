@@ -137,8 +137,11 @@ def per_run_metrics(trace: DataFrame, *run: str) -> DataFrame:
     for name, (of, hit) in scopes.items():
         n, k = F.count_if(of), F.count_if(of & hit)
         out += [k.alias(f"{name}_count"), n.alias(f"{name}_of"), F.when(n > 0, k * 100.0 / F.when(n > 0, n).otherwise(1)).alias(f"{name}_pct")]
+    # What paired runs must agree in: a sum over order and assignment that needs no order to be taken.
+    same = [F.bit_xor("assignment").alias("assignment")] if "assignment" in trace.columns else []
     return trace.filter(~F.col("extra")).groupBy(*run).agg(
         F.count("*").alias("tickets"),
+        *same,
         *[F.count_if(F.col("profile") == p).alias(f"assigned_{p}_count") for p in ("ceo", "domain_expert", "intern")],
         *out,
         F.max_by("fea_after", "position").alias("final_fea"),

@@ -44,3 +44,22 @@ def last_value(rows: DataFrame, run: str, value: str, order: str = "position") -
     """The last value that is neither null nor NaN."""
     ok = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     return rows.groupBy(run).agg(F.max_by(F.when(ok, F.col(value)), F.when(ok, F.col(order))).alias(value))
+
+
+def averaged(trace: DataFrame, run: str) -> DataFrame:
+    """``(label, position, mean, sd_pop)`` of the trajectories that a trace has.
+
+    Final and human-only error always; reliability and model-first replay only where some ticket had a controller.
+    """
+    w, nominal = running(run), ~F.col("extra")
+    values = {
+        "fea": F.col("fea_after"),
+        "final_error": running_rate(F.col("final_error"), nominal, w, 0.0),
+        "human_error": running_rate(~F.col("human_correct"), nominal, w, 0.0),
+        "replay_error": running_rate(replay_error(), F.lit(True), w),
+    }
+    rows = trace.select("position", *[v.cast("double").alias(f"_{k}") for k, v in values.items()])
+    rows = rows.select("position", F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.col(f"_{k}").alias("value")) for k in values])).alias("_v"))
+    out = rows.groupBy("_v.label", "position").agg(F.avg("_v.value").alias("mean"), F.stddev_pop("_v.value").alias("sd_pop"))
+    controlled = trace.agg(F.coalesce(F.bool_or(F.col("state_before") != "controller_free"), F.lit(False)).alias("_controlled"))  # one row
+    return out.crossJoin(F.broadcast(controlled)).filter(F.col("_controlled") | F.col("label").isin("final_error", "human_error")).drop("_controlled")

@@ -179,7 +179,8 @@ def per_run_metrics(spark, sf_dir):
 
 def _runs(spark, sf_dir, c=T.CONDITION):
     """The metrics of ten runs that share all users among them, with their fingerprints."""
-    t = T.trace(spark, sf_dir, c).withColumn("run", F.col(RUN) % RUNS).withColumn("position", F.struct("position", RUN))
+    t = T.trace(spark, sf_dir, c).withColumn("run", F.col(RUN) % RUNS)
+    t = t.withColumn("assignment", F.xxhash64(RUN, "event_id", "position", "profile")).withColumn("position", F.struct("position", RUN))
     return S.per_run_metrics(t, "run")
 
 
@@ -241,6 +242,10 @@ def pointwise_mean_std(spark, sf_dir):
     return out.select("position", r9("mean"), r9("sd_pop"), "runs")
 
 
+def averaged_trajectories(spark, sf_dir):
+    return J.averaged(T.trace(spark, sf_dir), RUN).select("label", "position", r9("mean"), r9("sd_pop"))
+
+
 def quarter_ranges(spark, sf_dir):
     return J.ranges(T.tickets(spark, sf_dir), RUN, "quarter")
 
@@ -261,7 +266,7 @@ def last_non_null(spark, sf_dir):
 
 
 def _diffs(spark, sf_dir):
-    return X.paired(_runs(spark, sf_dir), _runs(spark, sf_dir, PAIRED), "run", METRICS, equal=("tickets",))
+    return X.paired(_runs(spark, sf_dir), _runs(spark, sf_dir, PAIRED), "run", METRICS, equal=("tickets", "assignment"))
 
 
 def paired_differences(spark, sf_dir):
@@ -462,6 +467,10 @@ ORACLE = {
     "cumulative_replay_error": _run_sql("CASE WHEN abstain THEN NOT human_correct ELSE NOT gold_correct END", "true", "replay_rate", "NULL"),
     "cumulative_abstention_success": _run_sql("abstain", "extra", "success_rate", "NULL"),
     "pointwise_mean_std": _tr("SELECT position, round(avg(fea_after), 9) AS mean, round(stddev_pop(fea_after), 9) AS sd_pop, count(*) AS runs FROM trace GROUP BY position"),
+    "averaged_trajectories": _tr(f""", z AS (SELECT position, fea_after AS a, sum((NOT extra AND final_error)::INTEGER) {_W} / nullif(sum((NOT extra)::INTEGER) {_W}, 0)::DOUBLE AS b,
+      sum((NOT extra AND NOT human_correct)::INTEGER) {_W} / nullif(sum((NOT extra)::INTEGER) {_W}, 0)::DOUBLE AS c, avg((CASE WHEN abstain THEN NOT human_correct ELSE NOT gold_correct END)::INTEGER) {_W} AS d FROM trace),
+      v AS (SELECT 'fea' AS label, position, a AS x FROM z UNION ALL SELECT 'final_error', position, coalesce(b, 0) FROM z UNION ALL SELECT 'human_error', position, coalesce(c, 0) FROM z UNION ALL SELECT 'replay_error', position, d FROM z)
+      SELECT label, position, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS sd_pop FROM v GROUP BY ALL"""),
     "quarter_ranges": _tk(_islands("t", "quarter")),
     "state_ranges": _tr(_islands("trace", "state_after")),
     "drift_rate_by_quarter": _tk("SELECT user_id, round(avg(d::DOUBLE / n), 9) AS drift_rate FROM (SELECT user_id, quarter, count(*) AS n, count(*) FILTER (is_drift) AS d FROM t WHERE NOT extra GROUP BY ALL HAVING d > 0) GROUP BY user_id"),

@@ -43,6 +43,11 @@ def exhaustive_weighted_topk(spark, sf_dir):
     return retrieve_topk(spark, sf_dir, RULE, R.EXHAUSTIVE)
 
 
+def standalone_topk(spark, sf_dir):
+    """Ties of the score stay in insertion order."""
+    return retrieve_topk(spark, sf_dir, RULE, R.STANDALONE)
+
+
 def triangular_topk(spark, sf_dir):
     """Every record asks, over the whole prefix before it."""
     m = memory(spark, sf_dir)
@@ -235,6 +240,7 @@ ORACLE = {
     "retrieve_topk_no_decay": _sql(_top(_scored(1.0), _ON)),
     "retrieve_gate_empty": _sql(_top(_scored(RULE.decay, 0.7), _ON)),
     "exhaustive_weighted_topk": _sql(_TRUTH),
+    "standalone_topk": _sql(_top(_scored(RULE.decay), "score DESC, ins ASC")),
     "triangular_topk": _sql(_top(_scored(RULE.decay), _ON), "true"),
     "fixed_recency_topk": _sql(_RECENT),
     "semantic_candidates_rerank": _sql(_top(_scored(RULE.decay, source=f"({_CAND})"), _EX)),

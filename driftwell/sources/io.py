@@ -70,6 +70,20 @@ def attach_embeddings(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     return joined.withColumn("v", sure).drop("_id")
 
 
+def request_violations(request: DataFrame, canonical: DataFrame, embedded: DataFrame) -> DataFrame:
+    """``(id, reason)`` of requested tickets that are not the benchmark's: unknown id, other question, or none embedded."""
+    known = canonical.select(F.col("id").alias("_c"), F.col("question").alias("_cq"))
+    source = embedded.select(F.col("id").alias("_e"), F.col("question").alias("_eq"))
+    both = request.select("id", "question").join(known, F.col("id") == F.col("_c"), "left").join(source, F.col("id") == F.col("_e"), "left")
+    reason = (
+        F.when(F.col("_c").isNull(), "not part of the benchmark")
+        .when(~F.col("question").eqNullSafe(F.col("_cq")), "question differs from the benchmark")
+        .when(F.col("_e").isNull(), "no embedded question")
+        .when(~F.col("question").eqNullSafe(F.col("_eq")), "question differs from the embedded one")
+    )
+    return both.select("id", reason.alias("reason")).filter("reason is not null")
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """``(path, length, sha256)`` of files, hashed where they are read."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
