@@ -33,14 +33,22 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make the package importable in Python workers, once per application.
 
-    Workers that were started with the repository on PYTHONPATH, or in it, need nothing; others get a zip.
+    On a cluster it is always sent, as a zip: what the driver can import says nothing about other machines.  In one
+    process, workers that were started with the repository on PYTHONPATH, or in it, need nothing.
     """
     seen = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     app = spark.sparkContext.applicationId
-    if str(ROOT) not in seen and os.getcwd() != str(ROOT) and app not in _shipped:
+    at_hand = is_local(spark) and (str(ROOT) in seen or os.getcwd() == str(ROOT))
+    if not at_hand and app not in _shipped:
         folder = tempfile.mkdtemp(prefix="driftwell-")
         spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/driftwell", "zip", ROOT, "driftwell"))
         _shipped.add(app)
@@ -50,10 +58,14 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests, a laptop) a local
-    folder stands in.
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset a local folder stands in, but only in one
+    process (tests, a laptop): on a cluster no local folder is shared, so that is an error.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None) or FALLBACK_DIR
+    root = spark.conf.get(CHECKPOINT_KEY, None)
+    if not root:
+        if not is_local(spark):
+            raise ValueError(f"{CHECKPOINT_KEY} is unset; it must name a folder that all executors share")
+        root = FALLBACK_DIR
     return f"{root.rstrip('/')}/driftwell/{label}-{uuid.uuid4().hex[:12]}"
 
 
