@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 from driftwell.functions import vectors as V
 from driftwell.operators import controller as C
 from driftwell.operators import generation as G
+from driftwell.operators import index as I
+from driftwell.operators import retrieval as R
 from driftwell.operators import summaries as S
 from driftwell.operators.models import NearestAnswer
 from driftwell.plans import workflow as W
+from driftwell.queries import retrieval as E
 
 RUNS, SEED = 3, 20260717
+#: The vectors have no clusters, so a search must probe much of the index to reach a recall of 0.9.
+LISTS, PROBES = 24, 16
 CONDITION = C.Condition(alpha=0.3, beta=0.1, gamma=0.35, least_observations=5, review=10)
 SEARCH = W.Search(k=5, tau=0.2)
 
@@ -66,4 +71,22 @@ def workflow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("grp", "label", "decisions", "errors", *[F.round(x, 9).alias(x) for x in ("mean_rate", "sd_rate_pop", "pooled_rate")])
 
 
-QUERIES = {"workflow_trace": workflow_trace, "baseline_trace": baseline_trace, "workflow_summary": workflow_summary}
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m = E.memory(spark, sf_dir)
+    return E.asked(m), I.candidates(E.asked(m), m, I.fit(m, LISTS), E.RULE, E.LIMIT, PROBES)
+
+
+def ann_candidates_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of an index search, ranked by decayed score."""
+    _, found = _indexed(spark, sf_dir)
+    return E._out(R.rerank(found.drop("rank", "score"), E.RULE))
+
+
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean share of the exact candidates that the index search finds."""
+    q, found = _indexed(spark, sf_dir)
+    truth = R.semantic_candidates(q, E.memory(spark, sf_dir), E.RULE, E.LIMIT)
+    return I.recall(found, truth).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"))
+
+
+QUERIES = {"ann_candidates_rerank": ann_candidates_rerank, "ann_recall": ann_recall, "workflow_trace": workflow_trace, "baseline_trace": baseline_trace, "workflow_summary": workflow_summary}
