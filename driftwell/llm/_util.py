@@ -64,8 +64,11 @@ class Scratch:
     def __init__(self):
         self.paths: set[str] = set()
 
-    def keep(self, df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    def keep(self, df: DataFrame, label: str, compression: str = "snappy", fewer: int = 1) -> DataFrame:
+        """``fewer`` divides the number of files: narrow tables of numbers need no task for each partition of a shuffle."""
         path = shared_dir(df.sparkSession, label)
+        if fewer > 1:
+            df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // fewer))
         out = stored(df, label, compression, path)
         out._scratch = path
         self.paths.add(path)

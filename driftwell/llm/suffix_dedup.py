@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm._util import Scratch, frugal, stored, table
+from driftwell.llm._util import Scratch, frugal, table
 
 DEPTH, DIGIT, BLOCK = 400, 128, 32
 PIECE = 1 << 18
@@ -256,7 +256,7 @@ def radix(rows: DataFrame, tmp: Scratch) -> DataFrame:
         equal = rows.groupBy(*by).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
         before = rows
         rows = rows.join(equal.select(*[F.col(x).alias(f"_{x}") for x in by]), _same(by)).drop(*[f"_{x}" for x in by])
-        rows = tmp.keep(rows, f"radix-{digit[0]}")
+        rows = tmp.keep(rows, f"radix-{digit[0]}", fewer=3)
         tmp.drop(before)
     return rows.filter("need").select("a", "b", "s", F.lit(1).cast("long").alias("n"))
 
@@ -325,7 +325,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``(a, b, s, e)``: bytes s to e of a text are covered by windows that occur again; spans may touch."""
     tmp = Scratch()
     rows = tmp.keep(runs(docs, depth).withColumn("need", F.lit(True)), "runs")
-    first = tmp.keep(settle(rows), "met1")
+    first = tmp.keep(settle(rows), "met1", fewer=3)
     tmp.drop(rows)
     keyed = docs.select(*_key(), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     low = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("cast(octet_length(data) as long)"), F.lit(PIECE).cast("long"))).alias("low")
@@ -333,15 +333,16 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     wanted = first.filter("on").select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.expr(f"s - s % {PIECE}").alias("_low")).distinct()
     # Rows that repeat id and text stay apart here: all their runs are settled, and counterparts may be listed twice.
     pieces = keyed.select("a", "b", "data", low).join(wanted, _same(["a", "b", "low"]), "left_semi").select("a", "b", "low", cut)
-    pieces = tmp.keep(pieces, "pieces", "zstd")
+    pieces = tmp.keep(pieces, "pieces", "zstd", fewer=3)
     rows = tmp.keep(blocks(pieces.join(_parts(first), ["a", "b", "low"]), depth, BLOCK), "blocks")
-    second = tmp.keep(settle(rows), "met2")
+    second = tmp.keep(settle(rows), "met2", fewer=3)
     tmp.drop(rows)
     rows = tmp.keep(suffixes(pieces.join(_parts(second), ["a", "b", "low"]), depth), "suffixes")
     tmp.drop(pieces)
     last = radix(rows, tmp)
     spans = [x.filter("repeated").select("a", "b", "s", "n") for x in (first, second)]
-    out = stored(merged(spans[0].union(spans[1]).union(last), depth), "spans")
+    # Read by the result, so it stays.
+    out = tmp.keep(merged(spans[0].union(spans[1]).union(last), depth), "spans", fewer=3)
     tmp.drop(first, second)
     return out
 
