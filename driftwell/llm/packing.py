@@ -3,17 +3,18 @@
 Every document's ids are cut into whole windows, a main piece of a multiple of ``UNIT`` ids and a tail of
 under ``UNIT``.  The driver sees only the histogram of piece lengths (at most 127 classes, whatever the
 corpus).  For main pieces it enumerates the combinations of up to ``DEPTH`` lengths that fill a window,
-solves for repeat counts against the histogram, rounds them down and fills what is left greedily with the
-same combinations; tails fill blocks of one unit in the same way.  Pieces that no combination takes are cut
-once more at powers of two and laid out in descending size, which leaves no gap; only the corpus' last
-window can end early.
+solves for repeat counts against the histogram, rounds them down and repeats the same combinations while the
+counts allow.  Residuals are packed greedily, largest first, into windows that they fill exactly, of any depth; tails
+fill blocks of one unit in the same way.  The few pieces that are left then are cut once more at powers of two and
+laid out in descending size, which leaves no gap; only the corpus' last window can end early.
 
 The plan gives each class runs of places by rank.  A piece's rank is its number within its task and class
 plus what earlier tasks hold, so no class is ever gathered or sorted.  Checksums of the possible smaller cuts
 are taken while the ids are at hand: text is encoded once and ids are never stored.
 
-Defined cases: null text is an empty text, which packs its end id; null and repeated ids are kept as they
-are; an empty table gives no rows; other columns are not read.
+Defined cases: null text is an empty text, which packs its end id; very long texts are cut into as many windows as
+they fill; null and repeated ids and equal lengths are kept as they are, each row packed by itself; an empty table
+gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -74,13 +75,13 @@ def combinations(capacity: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
 
 def solve(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Combinations and how often to use each, never more of a length than the histogram has."""
-    fills = [c for c in combinations(capacity) if all(x in hist for x in c)]
-    if not fills:
+    combos = [c for c in combinations(capacity) if all(x in hist for x in c)]
+    if not combos:
         return []
     lengths = sorted(hist)
     row = {c: i for i, c in enumerate(lengths)}
-    a = np.zeros((len(lengths), len(fills)))
-    for j, fill in enumerate(fills):
+    a = np.zeros((len(lengths), len(combos)))
+    for j, fill in enumerate(combos):
         for c in fill:
             a[row[c], j] += 1
     have = np.array([hist[c] for c in lengths], float)
@@ -97,7 +98,37 @@ def solve(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], in
         more = np.floor((left[a[:, j] > 0] / a[a[:, j] > 0, j]).min())
         counts[j] += more
         left -= more * a[:, j]
-    return [(fills[j], int(counts[j])) for j in np.flatnonzero(counts)]
+    return [(combos[j], int(counts[j])) for j in np.flatnonzero(counts)]
+
+
+def greedy(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Residuals, largest first, each with the largest others that still fit; only exact fills count."""
+    left, out = dict(left), []
+    order = sorted(left, reverse=True)
+    for start in order:
+        while left[start]:
+            use, room = {start: 1}, capacity - start
+            for c in order:
+                k = min(room // c, left[c] - use.get(c, 0))
+                if k:
+                    use[c] = use.get(c, 0) + k
+                    room -= k * c
+            if room:
+                break
+            times = min(left[c] // k for c, k in use.items())
+            for c, k in use.items():
+                left[c] -= k * times
+            out.append((tuple(c for c, k in sorted(use.items()) for _ in range(k)), times))
+    return out
+
+
+def fills(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Least-squares combinations, then greedy ones of what they leave."""
+    out, left = solve(hist, capacity), dict(hist)
+    for fill, times in out:
+        for c in fill:
+            left[c] -= times
+    return out + greedy(left, capacity)
 
 
 def binary_cuts(length: int) -> list[int]:
@@ -117,8 +148,8 @@ def plan(hist: dict[int, int]) -> list[tuple]:
         runs.append((WINDOW, 0, hist[WINDOW], 0, 1, WINDOW, 0, 0, WINDOW, None, 0))
     used = dict.fromkeys(hist, 0)
 
-    def place(fills: list[tuple[tuple[int, ...], int]], unit: int, stride: int, at: int) -> int:
-        for fill, times in fills:
+    def place(found: list[tuple[tuple[int, ...], int]], unit: int, stride: int, at: int) -> int:
+        for fill, times in found:
             first = 0
             for c in sorted(set(fill)):
                 period, cls = fill.count(c), c * unit
@@ -129,8 +160,8 @@ def plan(hist: dict[int, int]) -> list[tuple]:
             at += times * stride
         return at
 
-    at = place(solve({c // UNIT: n for c, n in hist.items() if UNIT <= c < WINDOW}, WINDOW // UNIT), UNIT, WINDOW, at)
-    tails = solve({c: n for c, n in hist.items() if c < UNIT}, UNIT)
+    at = place(fills({c // UNIT: n for c, n in hist.items() if UNIT <= c < WINDOW}, WINDOW // UNIT), UNIT, WINDOW, at)
+    tails = fills({c: n for c, n in hist.items() if c < UNIT}, UNIT)
     size = WINDOW // 2
     while size:
         if size == UNIT:

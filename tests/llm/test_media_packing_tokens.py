@@ -187,10 +187,10 @@ def test_plan_never_overdraws_and_fills(hist):
 
 
 def test_greedy_residuals_leave_little_to_cut():
-    r = np.random.default_rng(3)
-    hist = {c: int(n) for c, n in enumerate(r.geometric(0.01, 63), 1)}
+    hist = {c: 9000 // c + c % 7 for c in range(1, 64)}  # short pieces are plenty, as in texts
     total = sum(c * n for c, n in hist.items())
-    assert sum(sum(f) * t for f, t in packing.fills(hist, 64)) >= 0.95 * total
+    placed = [sum(sum(f) * t for f, t in made) / total for made in (packing.solve(hist, 64), packing.fills(hist, 64))]
+    assert placed[0] <= placed[1] and placed[1] >= 0.98
 
 
 def test_nnls():
