@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.queries import corpus, decisions, extras, retrieval, workflow
+from driftwell.queries import corpus, decisions, extras, retrieval, support, workflow
 from driftwell.session import ship
 
-FAMILIES = (retrieval, decisions, corpus, extras, workflow)
+FAMILIES = (retrieval, decisions, corpus, extras, workflow, support)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,7 +11,7 @@ MULTIPLIER, MODULUS = 2654435761, 2147483647
 
 def shuffle_key(key: Column, seed: int) -> Column:
     """Pseudo-random order of ids below 2^31 by integer arithmetic; ties go by id."""
-    return (key % MODULUS * F.lit(MULTIPLIER % MODULUS) + F.lit(seed * 40503 % MODULUS)) % MODULUS
+    return (key.cast("long") % MODULUS * F.lit(MULTIPLIER % MODULUS) + F.lit(seed * 40503 % MODULUS)) % MODULUS
 
 
 def shuffled(df: DataFrame, key: str, seed: int, *by: str) -> DataFrame:
