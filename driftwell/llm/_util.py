@@ -55,6 +55,14 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: i
     return near.unionByName(far).drop("_group_key")
 
 
+LIGHT_BYTES = 8 << 20
+
+
+def light(df: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """A stored table of numbers, marked for broadcast if its rows, counted, take at most ``LIGHT_BYTES``."""
+    return F.broadcast(df) if df.count() * row_bytes <= LIGHT_BYTES else df
+
+
 class Scratch:
     """Tables in the shared folder for one operator's steps, deleted as soon as what was made of them is written.
 

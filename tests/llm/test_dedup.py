@@ -90,6 +90,33 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_texts_longer_than_a_piece(spark):
+    """A passage over a piece's border, one in two pieces of a text, and repeats on either side of the border."""
+    r = random.Random(9)
+    word = [f"v{i}" for i in range(50_000)]
+    long = " ".join(r.choice(word) for _ in range(100_000))[: 2 * suffix_dedup.PIECE + 5000]
+    border = suffix_dedup.PIECE
+    rows = [(1, long), (2, "x " + long[border - 700 : border + 300]), (3, long[border - 400 : border] + "!"), (4, long[border : border + 400] + "?"), (5, long[100:800] + "#" + long[2 * border - 200 : 2 * border + 450])]
+    wide = spark.createDataFrame([(i, t, 1, "d", "p") for i, t in rows], "doc_id long, text string, low int, data string, parts string")
+    out = {x.doc_id: tuple(x)[1:] for x in suffix_dedup.remove_repeats(wide).collect()}
+    data = [t.encode() for _, t in rows]
+    first = {}  # windows of the short texts, and where else they are
+    for k, d in enumerate(data[1:], 1):
+        for i in range(len(d) - 399):
+            first.setdefault(d[i : i + 400], set()).add((k, i))
+    gone = [[False] * len(d) for d in data]
+    for i in range(len(data[0]) - 399):
+        if data[0][i : i + 400] in first:
+            first[data[0][i : i + 400]].add((0, i))
+    for places in first.values():
+        if len(places) > 1:
+            for k, i in places:
+                gone[k][i : i + 400] = [True] * 400
+    for (i, _), d, g in zip(rows, data, gone, strict=True):
+        spans = sum(x and not (j and g[j - 1]) for j, x in enumerate(g))
+        assert out[i] == (len(d), sum(g), spans, hashlib.sha256(bytes(b for b, x in zip(d, g, strict=True) if not x)).hexdigest())
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -146,6 +173,50 @@ def test_original_joins_copies_that_differ_from_one_another(spark):
     assert max(x.class_size for x in out) >= 285
 
 
+def test_links_at_the_limit_of_similarity(spark):
+    r, rows = random.Random(13), []
+    for words, changed, pairs in ((120, 21, 60), (120, 24, 60), (300, 59, 40), (20, 4, 40), (30, 6, 40), (1000, 190, 10)):
+        for k in range(pairs):
+            a = [f"w{r.randrange(10**6)}" for _ in range(words)]
+            b = a[:]
+            for at in r.sample(range(words), changed):
+                b[at] = f"x{r.randrange(10**6)}"
+            assert near_dedup.similar(" ".join(a), " ".join(b))
+            rows += [(len(rows), " ".join(a), f"{words}/{changed}"), (len(rows) + 1, " ".join(b), f"{words}/{changed}")]
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    size = {x.doc_id: x.class_size for x in near_dedup.near_classes(frame).collect()}
+    for kind in {k for _, _, k in rows}:
+        ids = [i for i, _, k in rows if k == kind]
+        assert sum(size[i] == 2 for i in ids) >= 0.9 * len(ids), kind
+
+
+def test_chained_distance_is_an_alignment():
+    r = random.Random(2)
+    for _ in range(200):
+        a = [r.randrange(30) for _ in range(r.randrange(40))]
+        b = [x if r.random() > 0.2 else r.randrange(30) for x in a if r.random() > 0.1]
+        bound = near_dedup.chained_distance(*(near_dedup.np.array(v, near_dedup.np.uint64) for v in (a, b)))
+        assert edit_distance(a, b) <= bound <= max(len(a), len(b))
+
+
+def test_bins_never_rule_out_similar_texts():
+    r, np = random.Random(4), near_dedup.np
+    for n in (5, 40, 400):
+        a = [f"w{r.randrange(200)}" for _ in range(n)]
+        b = [x if r.random() > 0.15 else "other" for x in a]
+        if near_dedup.similar(" ".join(a), " ".join(b)):
+            x, y = (near_dedup.hashed(" ".join(v)) for v in (a, b))
+            for p, q in ((near_dedup.bins(x), near_dedup.bins(y)), (None, near_dedup.bins(y)), (None, None)):
+                assert near_dedup.may_be_similar(np.array([len(x)]), np.array([len(y)]), [p], [q]).all()
+    assert near_dedup.bins(near_dedup.hashed("again " * 300)) is None
+
+
+def test_near_dedup_keeps_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "a b c d e f", 1, "x"), (2, "a b c d e f", 2, "y"), (None, None, 3, "z")], "doc_id long, text string, _dropped int, node string")
+    out = near_dedup.near_dedup(frame)
+    assert out.columns == frame.columns and sorted(x["_dropped"] for x in out.collect()) == [1, 3]
+
+
 def test_similar_texts_become_candidates():
     r = random.Random(6)
 
