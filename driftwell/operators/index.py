@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,18 +63,13 @@ def candidates(queries: DataFrame, memory: DataFrame, centroids: np.ndarray, rul
     q = _blocks(assigned(queries.select("qid", "qins", "v"), centroids, probes), "qid", "qrows")
     m = _blocks(assigned(memory.select("id", "ins", "v"), centroids), "id", "mrows")
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for qrows, mrows in zip(batch.qrows, batch.mrows, strict=True):
-                qid, qins = (np.array([r[c] for r in qrows]) for c in ("qid", "qins"))
-                ids, ins = (np.array([r[c] for r in mrows]) for c in ("id", "ins"))
-                cosine = np.clip(np.array([r["v"] for r in qrows], float) @ np.array([r["v"] for r in mrows], float).T, -1, 1)
-                age = qins[:, None] - 1 - ins[None, :]
-                at, of = np.nonzero((cosine > 0) & (cosine >= rule.tau) & (age >= 0))
-                out = pd.DataFrame({"qid": qid[at], "id": ids[of], "ins": ins[of], "age": age[at, of], "cosine": cosine[at, of], "score": cosine[at, of]})
-                yield out.sort_values(["qid", "cosine", "ins", "id"], ascending=[True, False, False, False]).groupby("qid", sort=False).head(limit)
-
-    found = q.join(m, "list").select("qrows", "mrows").mapInPandas(multiply, R.HITS)
+            for i in range(batch.num_rows):
+                made = R.best_of(R.columns(batch.column(0), i), R.columns(batch.column(1), i), rule, R.SEMANTIC, limit, decay=1.0)
+                yield pa.RecordBatch.from_pandas(made, preserve_index=False)
+
+    found = q.join(m, "list").select("qrows", "mrows").mapInArrow(multiply, R.HITS)
     return R.ranked(found, limit, R.SEMANTIC)
 
 

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +55,51 @@ def _blocks(df: DataFrame, keys: list[str], position: str, prefix: str) -> DataF
     )
 
 
+def columns(rows: pa.ListArray, i: int) -> dict[str, np.ndarray]:
+    """The fields of row ``i``, a list of structs, as numpy columns; a field of vectors becomes a matrix."""
+    flat = rows[i].values
+    out = {}
+    for k in range(flat.type.num_fields):
+        values = flat.field(k)
+        if pa.types.is_list(values.type):
+            sizes = np.diff(values.offsets.to_numpy(zero_copy_only=False))
+            if len(sizes) and (sizes != sizes[0]).any():
+                raise ValueError("vectors differ in size")
+            out[flat.type.field(k).name] = values.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float64, copy=False)
+        else:
+            out[flat.type.field(k).name] = values.to_numpy(zero_copy_only=False)
+    return out
+
+
+def best_of(q: dict, m: dict, rule: Rule, order: tuple, keep: int, oldest: int = 0, last: int = 1 << 40, decay: float | None = None) -> pd.DataFrame:
+    """The ``keep`` best gated hits of each query of one block among the records of another."""
+    decay = rule.decay if decay is None else decay
+    if q["v"].shape[1] != m["v"].shape[1]:
+        raise ValueError("vectors differ in size")
+    cosine = np.clip(q["v"] @ m["v"].T, -1, 1)
+    age = q["qins"][:, None] - 1 - m["ins"][None, :]
+    ok = (cosine > 0) & (cosine >= rule.tau) & (age >= oldest) & (age < last)
+    newest, first = m["ins"].max(), q["qins"].min() - 1
+    if decay == 1:
+        score = cosine
+    elif newest <= first:  # ages split in two parts, neither of them negative
+        score = cosine * np.power(decay, q["qins"] - 1 - newest)[:, None] * np.power(decay, newest - m["ins"])[None, :]
+    else:
+        score = cosine * np.power(decay, np.maximum(age, 0))
+    lead = np.where(ok, score if order[0] == "score" else cosine, -1.0)
+    if keep < lead.shape[1]:  # all that reach the query's keep-th best, ties with it included
+        ok &= lead >= np.partition(lead, lead.shape[1] - keep, axis=1)[:, -keep][:, None]
+    at, of = np.nonzero(ok)
+    out = pd.DataFrame({"qid": q["qid"][at], "id": m["id"][of], "ins": m["ins"][of], "age": age[at, of], "cosine": cosine[at, of], "score": score[at, of]})
+    out = out.sort_values(["qid", *[c.lstrip("-") for c in order]], ascending=[True] + [c[0] == "-" for c in order])
+    return out.groupby("qid", sort=False).head(keep)
+
+
 def hits(queries: DataFrame, memory: DataFrame, rule: Rule, window: int | None = None, order: tuple = EXHAUSTIVE, keep: int | None = None, oldest: int = 0) -> DataFrame:
     """Gated hits: the best ``keep`` (K unless given) per query and pair of blocks, of ages ``oldest`` to ``window`` - 1."""
     keep = keep or rule.k
     last = window if window is not None else 1 << 40
-    q = _blocks(queries.select("qid", "qins", F.col("v").alias("qv")), ["qid", "qins", "qv"], "qins", "q")
+    q = _blocks(queries.select("qid", "qins", "v"), ["qid", "qins", "v"], "qins", "q")
     m = _blocks(memory.select("id", "ins", "v"), ["id", "ins", "v"], "ins", "m")
     # Blocks are joined by number where windows bound their distance, and otherwise as a stated query set
     # against all blocks; either way by bounds, not by rows.
@@ -71,22 +112,13 @@ def hits(queries: DataFrame, memory: DataFrame, rule: Rule, window: int | None =
         q = q.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qblock"))))
         pairs = q.join(m, (F.col("_at") == F.col("mblock")) & near)
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for qrows, mrows in zip(batch.qrows, batch.mrows, strict=True):
-                qid, qins = (np.array([r[c] for r in qrows]) for c in ("qid", "qins"))
-                ids, ins = (np.array([r[c] for r in mrows]) for c in ("id", "ins"))
-                qv = np.array([r["qv"] for r in qrows], np.float64)
-                mv = np.array([r["v"] for r in mrows], np.float64)
-                age = qins[:, None] - 1 - ins[None, :]
-                cosine = np.clip(qv @ mv.T, -1, 1)
-                at, of = np.nonzero((cosine > 0) & (cosine >= rule.tau) & (age >= oldest) & (age < last))
-                out = pd.DataFrame({"qid": qid[at], "id": ids[of], "ins": ins[of], "age": age[at, of], "cosine": cosine[at, of]})
-                out["score"] = out.cosine * np.power(rule.decay, out.age) if rule.decay < 1 else out.cosine
-                out = out.sort_values(["qid", *[c.lstrip("-") for c in order]], ascending=[True] + [c[0] == "-" for c in order])
-                yield out.groupby("qid", sort=False).head(keep)
-
-    return pairs.select("qrows", "mrows").mapInPandas(multiply, HITS)
+            for i in range(batch.num_rows):
+                made = best_of(columns(batch.column(0), i), columns(batch.column(1), i), rule, order, keep, oldest, last)
+                yield pa.RecordBatch.from_pandas(made, preserve_index=False)
+
+    return pairs.select("qrows", "mrows").mapInArrow(multiply, HITS)
 
 
 def ranked(found: DataFrame, k: int, order: tuple = EXHAUSTIVE, by: str = "qid") -> DataFrame:
@@ -219,22 +251,23 @@ def nearest(left: DataFrame, right: DataFrame, same_table: bool = False, same: s
 
     q, m = blocks(left, "qid", "qrows"), blocks(right, "id", "mrows")
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for qrows, mrows in zip(batch.qrows, batch.mrows, strict=True):
-                qid, ids = np.array([r["id"] for r in qrows]), np.array([r["id"] for r in mrows])
-                c = np.clip(np.array([r["v"] for r in qrows], float) @ np.array([r["v"] for r in mrows], float).T, -1, 1)
+            for i in range(batch.num_rows):
+                x, y = columns(batch.column(0), i), columns(batch.column(1), i)
+                order = np.argsort(-y["id"], kind="stable")
+                ids = y["id"][order]
+                c = np.clip(x["v"] @ y["v"].T, -1, 1)[:, order]
                 if other:
-                    c[np.array([r["g"] for r in qrows])[:, None] == np.array([r["g"] for r in mrows])[None, :]] = -2
+                    c[x["g"][:, None] == y["g"][order][None, :]] = -2
                 if same_table:
-                    c[qid[:, None] == ids[None, :]] = -2
-                order = np.argsort(-ids, kind="stable")
-                c, ids = c[:, order], ids[order]
+                    c[x["id"][:, None] == ids[None, :]] = -2
                 at = c.argmax(1)
-                keep = c[np.arange(len(qid)), at] > -2
-                yield pd.DataFrame({"qid": qid, "id": ids[at], "cosine": c[np.arange(len(qid)), at]})[keep]
+                best = c[np.arange(len(at)), at]
+                keep = best > -2
+                yield pa.RecordBatch.from_arrays([pa.array(x["id"][keep]), pa.array(ids[at][keep]), pa.array(best[keep])], ["qid", "id", "cosine"])
 
     pairs = q.join(m, "g") if same else q.join(m.hint("shuffle_replicate_nl"), how="cross")
-    found = pairs.select("qrows", "mrows").mapInPandas(multiply, "qid long, id long, cosine double")
+    found = pairs.select("qrows", "mrows").mapInArrow(multiply, "qid long, id long, cosine double")
     best = found.groupBy("qid").agg(F.max(F.struct("cosine", "id")).alias("m"))
     return best.select("qid", "m.id", "m.cosine")
