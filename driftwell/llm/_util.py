@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import json
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -103,15 +104,21 @@ def commit(folder: str, moves: dict[str, str], manifest: object) -> None:
     files.move(f"{root}/_tmp-manifest", f"{root}/_MANIFEST.json")
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """``run`` for mapInArrow; at a task's end its worker, which lives on, gives freed memory back to the system."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        release_memory()
 
     return wrapped

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm._util import stored, table
+from driftwell.llm._util import release_memory, stored, table
 from driftwell.llm.word_rows import Rows, labelled_sample, vocabulary, worker_rows
 
 TRAIN_ROWS, TRAIN_CHARS, WORDS, LEAST = 6000, 20_000, 4000, 8
@@ -66,17 +66,19 @@ def fit_domains(sample: list[tuple[str, str]], names: tuple[str, ...] = DOMAINS,
     weights = np.zeros((len(known) + 1, len(names)))
     if known:
         rows = Rows(known)
-        x = np.zeros((len(sample), len(known) + 1), np.float32)
-        for i, (t, _) in enumerate(sample):
-            word, n = np.unique(rows.of(t), return_counts=True)
-            x[i, word] = np.log1p(n)
-        y = np.array([[v == d for d in names] for _, v in sample], np.float32)
+        made = [np.unique(rows.of(t), return_counts=True) for t, _ in sample]
+        # Counts as a sparse matrix: document, word and value of each entry.
+        doc = np.repeat(np.arange(len(made)), [len(w) for w, _ in made])
+        word = np.concatenate([w for w, _ in made])
+        value = np.log1p(np.concatenate([n for _, n in made]))
+        y = np.array([[v == d for d in names] for _, v in sample], float)
         p, m, v = [weights, bias], [0.0, 0.0], [0.0, 0.0]
         for t in range(1, epochs + 1):
-            z = x @ p[0].astype(np.float32) + p[1]
+            z = np.stack([np.bincount(doc, value * p[0][word, k], len(y)) for k in range(len(names))], 1) + p[1]
             e = np.exp(z - z.max(1, keepdims=True))
             error = (e / e.sum(1, keepdims=True) - y) / len(y)
-            for k, g in enumerate((x.T @ error + 1e-4 * p[0], error.sum(0))):
+            back = np.stack([np.bincount(word, value * error[doc, k], len(weights)) for k in range(len(names))], 1)
+            for k, g in enumerate((back + 1e-4 * p[0], error.sum(0))):
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                 p[k] = p[k] - 0.02 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
         weights, bias = p
@@ -145,7 +147,9 @@ def copies(r: Column, key: Column, seed: int = 11) -> Column:
 
 
 def fit_model(docs: DataFrame, labels: DataFrame) -> Domains:
-    return fit_domains(labelled_sample(docs, labels, DOMAIN_SQL, TRAIN_ROWS, TRAIN_CHARS))
+    model = fit_domains(labelled_sample(docs, labels, DOMAIN_SQL, TRAIN_ROWS, TRAIN_CHARS))
+    release_memory()
+    return model
 
 
 def _steps(members: DataFrame, model: Domains, weights: dict[str, float], most: float | None) -> list[list[float]]:

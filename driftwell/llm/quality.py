@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm._util import held_out, table
+from driftwell.llm._util import held_out, release_memory, table
 from driftwell.llm.word_rows import Rows, labelled_sample, vocabulary, worker_rows
 
 TRAIN_ROWS, TRAIN_CHARS = 6000, 20_000
@@ -75,8 +75,8 @@ def word_vectors(docs: list[np.ndarray], known: dict[str, int]) -> np.ndarray:
         both = (a >= 0) & (b >= 0)
         pair, n = np.unique(a[both] * size + b[both], return_counts=True)
         for left, right in ((pair // size, pair % size), (pair % size, pair // size)):
-            for i in range(0, len(pair), 200_000):
-                part = slice(i, i + 200_000)
+            for i in range(0, len(pair), 20_000):
+                part = slice(i, i + 20_000)
                 np.add.at(context, left[part], index[right[part]] * n[part, None].astype(np.float32))
     seen = np.bincount(flat[flat >= 0], minlength=size)[:, None]
     out = index + context / np.maximum(1, 2 * REACH * seen)
@@ -142,7 +142,9 @@ def score(model: Model, text: Column) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
-    return fit(labelled_sample(docs, labels, "quality", rows, chars))
+    model = fit(labelled_sample(docs, labels, "quality", rows, chars))
+    release_memory()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
