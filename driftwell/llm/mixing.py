@@ -8,6 +8,8 @@ damped curvature over documents of positive rate, and is projected at zero (and
 a largest rate).  The damping fades from step to step.  A step is one aggregate over the table of (n, p); the
 driver sees a vector of domains.  Rates become whole copies by rounding up or down at random, by a hash of the id.
 
+Without ``most``, a domain that hardly occurs can ask for any number of copies; a caller whose corpus may lack one gives it.
+
 Targets are weights.  Their common scale gives the ``anchor`` domain ``anchor_rate`` times its natural
 tokens, so documents of that domain stay; domains without a weight are to keep their natural tokens.
 
