@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm import exact_dedup, media, mixing, near_dedup, packing, quality, secrets, suffix_dedup, token_shards, warc
+from driftwell.llm import (
+    exact_dedup,
+    html_text,
+    media,
+    mixing,
+    near_dedup,
+    packing,
+    periodic_runs,
+    quality,
+    ranked_search,
+    secrets,
+    suffix_dedup,
+    token_shards,
+    warc,
+)
 from driftwell.session import ship
 
 
@@ -22,9 +36,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_quality": quality.op9_quality,
         "op10_token_shards": token_shards.op10_token_shards,
+        "op11_main_text": html_text.op11_main_text,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_ranked_search": ranked_search.op13_ranked_search,
     }
     return {name: lambda spark, sf_dir, run=run: run(ship(spark), sf_dir) for name, run in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE_OP3}
+    return {"op3_exact_dedup": exact_dedup.ORACLE_OP3, "op13_ranked_search": ranked_search.ORACLE_OP13}
