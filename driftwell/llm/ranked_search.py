@@ -146,7 +146,7 @@ def _postings(docs: DataFrame, known) -> DataFrame:
                 length = counts[doc].astype("<i4")
                 ids = b.column(0).slice(i, j - i).fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 rows = [("", int((counts > 0).sum()), int(counts.sum()), ids.astype("<i8").tobytes(), None, None)]
-                stop = np.append(edge[1:], len(term))
+                stop = np.append(edge, len(term))[1:]
                 spelled = names.take(pa.array(term[edge])).to_pylist()
                 for name, s, e in zip(spelled, edge.tolist(), stop.tolist(), strict=True):
                     rows.append((name.decode(), e - s, 0, doc[s:e].tobytes(), tf[s:e].tobytes(), length[s:e].tobytes()))
