@@ -16,8 +16,9 @@ def norm(a: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """Unit vector; null for a zero, empty or non-finite vector."""
-    n = norm(a)
-    return F.when((n > 0) & (n < float("inf")), F.transform(a, lambda x: x.cast("double") / n))
+    # The norm is bound to a variable: inside the inner function it would be evaluated for each element.
+    scaled = F.transform(F.array(norm(a)), lambda n: F.when((n > 0) & (n < float("inf")), F.transform(a, lambda x: x.cast("double") / n)))
+    return F.get(scaled, F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

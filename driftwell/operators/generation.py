@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A permutation key: a multiplier and modulus every engine can compute in 64 bits.
@@ -54,11 +59,55 @@ def expanded(articles: DataFrame, variants: int, quarters: int = 4) -> DataFrame
     return rows.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(variants))))
 
 
-def clustered_vectors(spark, n: int, dims: int, cluster: int, noise: float, seed: int) -> DataFrame:
-    """Unit vectors around one prototype per ``cluster`` rows, in parallel and from seeds alone."""
-    proto = F.expr(f"transform(sequence(0, {dims - 1}), i -> sin(1.0D * (abs(xxhash64({seed}L, id div {cluster}, i)) % 1000003)))")
-    jitter = F.expr(f"transform(sequence(0, {dims - 1}), i -> {noise!r}D * sin(1.0D * (abs(xxhash64({seed + 1}L, id, i)) % 1000003)))")
-    rows = spark.range(n).select("id", F.zip_with(proto, jitter, lambda a, b: a + b).alias("v"))
-    from driftwell.functions.vectors import normalised
+def _normals(seed: int, stream: int, number: int, dims: int) -> np.ndarray:
+    """Standard normals from a counter-based generator: the same for a number wherever it is drawn."""
+    return np.random.Generator(np.random.Philox(key=[seed, (stream << 56) + number])).standard_normal(dims, dtype=np.float32)
+
+
+def clusters(n: int, cluster: int) -> int:
+    return -(-n // cluster)
+
+
+def cluster_of(number: np.ndarray, n: int, cluster: int, seed: int) -> np.ndarray:
+    """The cluster of each row: clusters are equally large, give or take one, and their rows lie scattered."""
+    step = MULTIPLIER % n or 1
+    while math.gcd(step, n) != 1:
+        step += 1
+    return (number * step + seed) % n % clusters(n, cluster)
+
+
+def _drawn(spark: SparkSession, n: int, vector: Callable[[int], np.ndarray]) -> DataFrame:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                ids = b.column(0).slice(i, 500)
+                rows = np.stack([vector(k) for k in ids.to_pylist()])
+                rows /= np.sqrt((rows.astype(np.float64) ** 2).sum(1, keepdims=True)).astype(np.float32)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(ids.to_numpy() + 1), values], ["id", "ins", "v"])
+
+    return spark.range(n).mapInArrow(draw, "id long, ins long, v array<float>")
+
+
+def clustered_vectors(spark: SparkSession, n: int, dims: int, cluster: int, noise: float, seed: int) -> DataFrame:
+    """``(id, ins, v)``: unit vectors in clusters of ``cluster`` rows, each a Gaussian prototype with Gaussian ``noise``.
+
+    Each vector follows from the seed and its number alone, so tasks draw in any order and a lost one draws the same again.
+    """
+    kept: dict[int, np.ndarray] = {}
+
+    def vector(k: int) -> np.ndarray:
+        c = int(cluster_of(np.int64(k), n, cluster, seed))
+        if c not in kept:
+            if len(kept) * dims > 1 << 24:
+                kept.clear()
+            kept[c] = _normals(seed, 1, c, dims)
+            kept[c] /= np.sqrt((kept[c].astype(np.float64) ** 2).sum())
+        return kept[c] + np.float32(noise) * _normals(seed, 2, k, dims)
+
+    return _drawn(spark, n, vector)
+
 
-    return rows.select("id", (F.col("id") + 1).alias("ins"), normalised(F.col("v")).alias("v"))
+def clustered_queries(spark: SparkSession, asked: int, n: int, dims: int, cluster: int, seed: int) -> DataFrame:
+    """``(id, ins, v)``: prototypes of ``clustered_vectors`` drawn with replacement, as queries."""
+    return _drawn(spark, asked, lambda k: _normals(seed, 1, int(np.random.Generator(np.random.Philox(key=[seed, (3 << 56) + k])).integers(clusters(n, cluster))), dims))

@@ -6,6 +6,7 @@ offline; a hosted one is ``chat_model`` over the caller's transport.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -88,6 +89,11 @@ def missing_models(required: DataFrame, available: DataFrame, name: str = "model
     return required.select(name).distinct().join(have, F.col(name) == F.col("_have"), "left_anti")
 
 
+#: What a hosted model is told; the message itself is one JSON object.
+DECIDE = "You get a question and cases that were settled before. Say only what these cases support, list the ids you relied on in evidence_ids, and set abstain where they leave the question open."
+JUDGE = "You get a candidate answer and the standard it is held against. Set covered if nothing of weight in the standard is missing from the candidate or contradicted by it."
+
+
 def chat_model(post: Callable[[dict], dict], generation: str, auxiliary: str, retry: Retry | None = None) -> Model:
     """A hosted model behind ``post``, which sends a request and returns the structured answer.
 
@@ -102,11 +108,11 @@ def chat_model(post: Callable[[dict], dict], generation: str, auxiliary: str, re
 
     class Chat:
         def decide(self, question: str, retrieved: list[dict]) -> dict:
-            shown = "\n\n".join(f"RECORD {r['record_id']}\nQuestion: {r['question']}\nFinal answer: {r['final_answer']}" for r in retrieved) or "None."
-            return ask(generation, "Answer from the records alone, cite those used, abstain if they do not suffice.", f"TICKET:\n{question}\n\nRECORDS:\n{shown}", checked_decision, DECISION_SCHEMA)
+            known = [{"id": r["record_id"], "asked": r["question"], "answered": r["final_answer"]} for r in retrieved]
+            return ask(generation, DECIDE, json.dumps({"question": question, "known": known}, ensure_ascii=False), checked_decision, DECISION_SCHEMA)
 
         def judge(self, answer: str, human: str) -> dict:
-            return ask(auxiliary, "Does the answer cover all that matters in the reference?", f"ANSWER:\n{answer}\n\nREFERENCE:\n{human}", checked_judgment, JUDGMENT_SCHEMA)
+            return ask(auxiliary, JUDGE, json.dumps({"candidate": answer, "standard": human}, ensure_ascii=False), checked_judgment, JUDGMENT_SCHEMA)
 
         judge_gold = judge
 

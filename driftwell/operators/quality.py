@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,13 @@ def violations(rules: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, rows)
 
 
+def row_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """``(rule, violations)`` of conditions on single rows, all counted in one scan; a condition that is null offends."""
+    counted = df.agg(*[F.count_if(F.coalesce(c, F.lit(True))).alias(f"r{i}") for i, c in enumerate(rules.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("violations")) for i, name in enumerate(rules)])
+    return counted.select(F.inline(rows))
+
+
 def duplicated(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).count().filter("count > 1")
 

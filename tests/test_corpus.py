@@ -1,23 +1,26 @@
 import pytest
 from pyspark.sql import functions as F
 
-from driftwell.operators.quality import violations
+from driftwell.operators.quality import row_violations, violations
 from driftwell.plans import corpus as K
 from driftwell.sources import io as S
 
 SF = "/root/testdata/sf0.01"
 
 
+SIZE = (20, 10)
+
+
 @pytest.fixture(scope="module")
 def made(spark):
-    articles = K.example_articles(spark, SF)
+    articles = K.example_articles(spark, SF).filter("key < 'part_000100'")
     return K.corpus(articles, K.example_changes(articles), 7).cache()
 
 
 def test_a_generated_corpus_breaks_no_rule(spark, made):
     assert made.count() == 2000
-    found = {r.rule: r.violations for r in violations(K.rules(made)).collect()}
-    assert len(found) >= 43 and {k for k, n in found.items() if n} == set()
+    found = {r.rule: r.violations for r in K.report(made, *SIZE).collect()}
+    assert len(found) >= 60 and {k for k, n in found.items() if n} == set()
     assert {r.rule for r in violations(S.ticket_violations(made)).filter("violations > 0").collect()} == set()
 
 
@@ -44,7 +47,67 @@ def test_rules_notice(made, rule, change):
     broken = made
     for name, sql in change.items():
         broken = broken.withColumn(name, F.expr(sql))
-    assert not K.rules(broken)[rule].isEmpty() and K.rules(made)[rule].isEmpty()
+    assert not K.rules(broken, *SIZE)[rule].isEmpty() and K.rules(made, *SIZE)[rule].isEmpty()
+
+
+#: A change of one ticket, or of all in a quarter, for each rule of single tickets.
+BROKEN = {
+    "ids follow the pattern": ("id", "'q1-1'"),
+    "ids name their quarter": ("id", "replace(id, '-Q', '-R')"),
+    "ids name their category": ("id", "replace(id, 'BIL', 'XXX')"),
+    "quarters are known": ("quarter", "'Q9'"),
+    "difficulties are known": ("difficulty", "'odd'"),
+    "policies name their category": ("policy_key", "'x'"),
+    "questions ask": ("question", "'" + "no question is put here at all. " * 2 + "'"),
+    "questions are long enough": ("question", "'So?'"),
+    "questions leave no mark open": ("question", "concat(question, '{q}')"),
+    "titles are given": ("article_title", "' '"),
+    "answers are given": ("gold_answer", "''"),
+    "sequence numbers are positive": ("sequence_in_quarter", "0"),
+    "the first quarter has no drift": ("quarter", "'Q1'"),
+    "drift records are where drift is": ("drift", "null"),
+    "sources are where drift is": ("near_duplicate_of", "null"),
+    "sources differ from the ticket": ("near_duplicate_of", "id"),
+    "sources share the ticket's number": ("near_duplicate_of", "concat(near_duplicate_of, '1')"),
+    "sources come first among the relatives": ("similar_question_ids", "reverse(similar_question_ids)"),
+    "rules of a drift differ": ("drift.previous_rule", "drift.current_rule"),
+    "rules of a drift differ in words, not only in numbers": ("drift.previous_rule", "concat(drift.current_rule, ' 12')"),
+    "answers of a drift differ": ("drift.previous_gold_answer", "drift.current_gold_answer"),
+    "answers of a drift state its rules": ("drift.previous_gold_answer", "'x'"),
+    "the current answer of a drift is gold": ("gold_answer", "'x'"),
+    "drifts change two dimensions": ("drift.change_dimensions", "array('rule')"),
+    "dimensions of a drift are distinct": ("drift.change_dimensions", "array('rule', 'rule')"),
+    "drifts are introduced in their quarter": ("drift.introduced_in", "'Q1'"),
+    "drifts name their policy": ("drift.changed_article", "'x'"),
+    "drifts are of the kind that is real": ("drift.type", "'virtual'"),
+    "the trusted answer is gold": ("profile_answers.ceo.answer", "'x'"),
+    "out of domain is wrong": ("profile_answers.domain_expert_out_of_domain.answer", "gold_answer"),
+    "errors out of domain are named": ("profile_answers.domain_expert_out_of_domain.error_type", "null"),
+    "the intern knows easy, stable tickets alone": ("profile_answers.intern.is_correct", "true"),
+    "the intern's answer is gold where known": ("profile_answers.intern.answer", "gold_answer"),
+    "the intern's errors are named": ("profile_answers.intern.error_type", "null"),
+    "the intern's stale answers are the drift's": ("profile_answers.intern.answer", "'x'"),
+    "all profiles answer": ("profile_answers.ceo.answer", "null"),
+    "siblings are listed": ("similar_question_ids", "slice(similar_question_ids, 1, 2)"),
+    "siblings are listed once": ("similar_question_ids", "array_repeat(near_duplicate_of, 5)"),
+    "a ticket is not its own sibling": ("similar_question_ids", "array_append(similar_question_ids, id)"),
+    "anchors name the quarter's document": ("documentation_anchor", "replace(documentation_anchor, 'Q', 'R')"),
+    "anchors name the policy": ("documentation_anchor", "concat(documentation_anchor, 'x')"),
+    "nominal tickets need no abstention": ("requires_model_abstention", "true"),
+}
+
+
+def test_each_rule_of_single_tickets_notices_its_break(spark, made):
+    assert set(BROKEN) == set(K.row_rules())
+    one = made.filter("is_changed_answer_near_duplicate and category = 'billing' and difficulty = 'hard' and quarter = 'Q3'").limit(1).cache()
+    assert one.count() == 1
+    for rule, (column, sql) in BROKEN.items():
+        top, *rest = column.split(".")
+        value = F.expr(sql)
+        broken = one.withColumn(top, value if not rest else F.col(top).withField(".".join(rest), value))
+        found = {r.rule: r.violations for r in row_violations(broken, {rule: K.row_rules()[rule]}).collect()}
+        assert found == {rule: 1}, rule
+    assert row_violations(one, K.row_rules()).filter("violations > 0").isEmpty()
 
 
 def test_abstention_split(spark, made):

@@ -120,13 +120,13 @@ def test_hosted_model_over_a_transport():
         sent.append(request)
         if len(sent) == 1:
             raise ConnectionError
-        if "RECORDS" in request["user"]:
+        if "known" in json.loads(request["user"]):
             return {"answer": "yes", "abstain": False, "evidence_ids": ["r1"], "reason": "found"}
         return {"covered": True, "confidence": 0.9, "reason": "same"}
 
     model = M.chat_model(post, "g", "a", M.Retry(sleep=waits.append))
     found = [{"record_id": "r1", "question": "q", "final_answer": "yes"}]
-    assert model.decide("q?", found)["answer"] == "yes" and waits == [1.0] and sent[0]["model"] == "g" and "RECORD r1" in sent[1]["user"]
+    assert model.decide("q?", found)["answer"] == "yes" and waits == [1.0] and sent[0]["model"] == "g" and json.loads(sent[1]["user"])["known"][0]["id"] == "r1"
     assert model.judge_gold("yes", "yes")["covered"] and sent[-1]["model"] == "a" and "None." not in sent[1]["user"]
 
 
