@@ -7,7 +7,7 @@ positive and at least ``tau``; its score is the cosine times ``decay ^ age``.
 Queries and memory are packed into blocks of at most ``BLOCK`` rows, by position, so a task holds two blocks
 however large the memory is.  A pair of blocks is multiplied at once and gives at most K rows per query;
 these partial results are ranked again.  Pairs of blocks that the age window rules out are never made.
-With decay, ``certified`` reads newest blocks first and only for queries that are not settled.
+Searches that stop by certificate are in ``scan``.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions import vectors as V
-from driftwell.session import stored
 
 BLOCK = 2048
 HITS = "qid long, id long, ins long, age long, cosine double, score double"
@@ -99,6 +98,10 @@ def hits(queries: DataFrame, memory: DataFrame, rule: Rule, window: int | None =
     """Gated hits: the best ``keep`` (K unless given) per query and pair of blocks, of ages ``oldest`` to ``window`` - 1."""
     keep = keep or rule.k
     last = window if window is not None else 1 << 40
+    if window is not None:
+        # The records that any window reaches, as a filter that a Parquet scan of the memory takes over.
+        reach = queries.agg(F.min("qins").alias("low"), F.max("qins").alias("high")).first()
+        memory = memory.filter((F.col("ins") >= (reach.low or 0) - window) & (F.col("ins") < (reach.high or 0)))
     q = _blocks(queries.select("qid", "qins", "v"), ["qid", "qins", "v"], "qins", "q")
     m = _blocks(memory.select("id", "ins", "v"), ["id", "ins", "v"], "ins", "m")
     # Blocks are joined by number where windows bound their distance, and otherwise as a stated query set
@@ -158,74 +161,6 @@ def rerank(candidates: DataFrame, rule: Rule, first: str | None = None) -> DataF
     return ranked(rows.withColumn("score", score), rule.k)
 
 
-def _settled(found: DataFrame, queries: DataFrame, rule: Rule) -> DataFrame:
-    """Per query of ``(qid, qins, horizon)``: its hits so far as a count and K-th score, and whether it may stop."""
-    kth = found.groupBy("qid").agg(F.count("*").alias("found"), F.min("score").alias("kth"))
-    out = queries.join(kth, "qid", "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    all_seen = F.col("horizon") >= F.col("qins") - 1
-    return out.withColumn("done", all_seen | V.pruning_is_safe(rule.decay, F.col("horizon"), F.col("found"), F.col("kth"), rule.k))
-
-
-def expanding(queries: DataFrame, memory: DataFrame, rule: Rule, first: int, grow) -> tuple[DataFrame, DataFrame]:
-    """Widening windows for queries that no certificate has settled yet.
-
-    ``grow(h)`` is the window after ``h``.  Returns the ranked hits and ``(qid, horizon, calls)``, the horizon
-    cut at the records there are.  Each round reads only the ages that are new to it.
-    """
-    seen = queries.count()
-    open_q, closed, found, h, calls, oldest = queries, None, None, first, 1, 0
-    newest = queries.agg(F.max("qins")).first()[0] or 1
-    if rule.decay == 1:  # nothing ever certifies; one search over everything
-        h = max(newest - 1, 1)
-    while seen:
-        ring = hits(open_q, memory, rule, window=h, oldest=oldest)
-        merged = ring if found is None else found.join(open_q.select("qid"), "qid", "left_semi").unionByName(ring)
-        # The hits of open queries are at most K rows each; they are kept, so that rings are not read again.
-        best = stored(ranked(merged, rule.k).drop("rank"), "hits")
-        reach = F.least(F.lit(h).cast("long"), F.greatest(F.col("qins") - 1, F.lit(0)))
-        state = stored(_settled(best, open_q.withColumn("horizon", reach), rule), "settled")
-        done = best.join(state.filter("done").select("qid", "horizon"), "qid").withColumn("calls", F.lit(calls))
-        ends = state.filter("done").select("qid", "horizon", F.lit(calls).cast("long").alias("calls"))
-        closed = (done, ends) if closed is None else (closed[0].unionByName(done), closed[1].unionByName(ends))
-        open_q, found = state.filter("not done").select("qid", "qins", "v"), best
-        seen = open_q.count()
-        oldest, h, calls = h, grow(h), calls + 1
-    if closed is None:
-        empty = hits(queries, memory, rule)
-        return ranked(empty, rule.k), queries.select("qid", F.lit(0).cast("long").alias("horizon"), F.lit(0).cast("long").alias("calls"))
-    return ranked(closed[0].drop("horizon", "calls"), rule.k), closed[1]
-
-
-def adaptive(queries: DataFrame, memory: DataFrame, rule: Rule, initial: int = 250, growth: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """Windows that grow by a factor until certified."""
-    return expanding(queries, memory, rule, initial, lambda h: max(h + 1, int(-(-h * growth // 1))))
-
-
-def certified_horizon(queries: DataFrame, memory: DataFrame, rule: Rule, block: int = 32, initial: int = 256) -> DataFrame:
-    """``(qid, horizon)``: where a newest-first scan in blocks of ``block`` records may stop.
-
-    The windows of ``adaptive`` find each query's hits; the scan's first certified block end within them is
-    then a running K-th best over those hits, as far as the ring that certified.
-    """
-    n = F.greatest(F.col("qins") - 1, F.lit(0))
-    if rule.decay == 1:
-        return queries.select("qid", n.alias("horizon"))
-    _, ends = adaptive(queries, memory, rule, initial=initial)
-    reach = ends.agg(F.max("horizon")).first()[0] or 1
-    near = hits(queries, memory, rule, window=reach, keep=1 << 30).withColumn("end", (F.floor(F.col("age") / block) + 1) * block)
-    # Within a query, after each block that has hits: the K-th best so far.
-    w = Window.partitionBy("qid").orderBy("end").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    best = near.withColumn("best", F.slice(F.sort_array(F.collect_list("score").over(w), asc=False), 1, rule.k))
-    steps = best.filter(F.size("best") >= rule.k).groupBy("qid", "end").agg(F.min(F.col("best")[rule.k - 1]).alias("kth"))
-    # From that block on the K-th score holds until the next one with hits; the first end below the bound stops.
-    after = Window.partitionBy("qid").orderBy("end")
-    until = F.coalesce(F.lead("end").over(after) - block, F.lit(1 << 40))
-    needed = F.ceil(V.minimum_safe_horizon(rule.decay, F.col("kth")) / block) * block
-    stop = steps.withColumn("stop", F.greatest(F.col("end"), needed)).withColumn("until", until).filter("stop <= until")
-    first = stop.groupBy("qid").agg(F.min("stop").alias("stop"))
-    return queries.join(first, "qid", "left").select("qid", F.least(n, F.coalesce("stop", n)).cast("long").alias("horizon"))
-
-
 def context_text(found: DataFrame, text: Column) -> DataFrame:
     """One text per query: its hits in rank order, apart by a blank line; queries without hits read ``None.``."""
     rows = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", text.alias("t")))).alias("r"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from driftwell.functions import vectors as V
 from driftwell.operators import retrieval as R
+from driftwell.operators import scan as S
+from driftwell.session import stored
 
 RULE = R.Rule()
 LAMBDAS = (1.0, 0.9995, 0.99861, 0.995, 0.99)
@@ -73,27 +75,59 @@ def rerank_dedup(spark, sf_dir):
     return _out(R.rerank(a.unionByName(b).drop("rank"), RULE, first="source"))
 
 
-def adaptive_window_topk(spark, sf_dir):
+FAST = R.Rule(decay=0.99)
+
+
+def _walked(spark, sf_dir, *searches: tuple[R.Rule, S.Schedule, int | None]) -> list[DataFrame]:
+    """The memory packed once and walked for each search; the blocks go when all results are written."""
     m = memory(spark, sf_dir)
-    found, _ = R.adaptive(asked(m), m, RULE, initial=WINDOW, growth=2.0)
-    return _out(found)
+    store = S.BlockStore.write(m)
+    out = [stored(S.walk(asked(m), store, *search), "walk") for search in searches]
+    store.drop(spark)
+    return out
+
+
+def adaptive_window_topk(spark, sf_dir):
+    (found,) = _walked(spark, sf_dir, (RULE, S.growing(WINDOW), None))
+    return _out(S.hits_of(found, RULE))
 
 
 def adaptive_window_horizon(spark, sf_dir):
-    m = memory(spark, sf_dir)
-    _, ends = R.adaptive(asked(m), m, R.Rule(decay=0.99), initial=WINDOW, growth=2.0)
-    return ends
+    (found,) = _walked(spark, sf_dir, (FAST, S.growing(WINDOW), None))
+    return found.select("qid", "horizon", "calls")
 
 
 def certified_topk(spark, sf_dir):
-    m = memory(spark, sf_dir)
-    found, _ = R.expanding(asked(m), m, R.Rule(decay=0.99), BLOCK, lambda h: 2 * h)
-    return _out(found)
+    (found,) = _walked(spark, sf_dir, (FAST, S.steps(BLOCK), None))
+    return _out(S.hits_of(found, FAST))
 
 
 def certified_horizon(spark, sf_dir):
-    m = memory(spark, sf_dir)
-    return R.certified_horizon(asked(m), m, R.Rule(decay=0.99), BLOCK, initial=WINDOW)
+    (found,) = _walked(spark, sf_dir, (FAST, S.steps(BLOCK), None))
+    return found.select("qid", "horizon")
+
+
+def recent_blocks_topk(spark, sf_dir):
+    """The newest records alone, from the blocks that hold them."""
+    (found,) = _walked(spark, sf_dir, (RULE, S.steps(WINDOW), WINDOW))
+    return _out(S.hits_of(found, RULE))
+
+
+STRATEGIES = {"adaptive_window": (S.growing(WINDOW), None), "certified_scan": (S.steps(BLOCK), None), "fixed_recency": (S.steps(WINDOW), WINDOW)}
+
+
+def search_metrics(spark, sf_dir):
+    """What each strategy costs at each decay: windows asked for, records passed, horizon and its share of the memory."""
+    runs = [(decay, name, R.Rule(decay=decay), *STRATEGIES[name]) for decay in LAMBDAS for name in STRATEGIES]
+    out = None
+    for (decay, name, *_), found in zip(runs, _walked(spark, sf_dir, *(run[2:] for run in runs)), strict=True):
+        share = F.when(F.col("qins") > 1, F.col("horizon") / (F.col("qins") - 1)).otherwise(0.0)
+        spread = [F.round(F.percentile(c, q), 9).alias(f"{c}_p{round(100 * q)}") for c in ("horizon", "candidates") for q in (0.5, 0.95)]
+        means = [F.round(F.avg(c), 9).alias(f"mean_{n}") for n, c in (("horizon", F.col("horizon")), ("share", share), ("candidates", F.col("candidates")), ("calls", F.col("calls")))]
+        row = found.agg(F.count("*").alias("queries"), *means, F.round(F.stddev_pop("candidates"), 9).alias("sd_candidates_pop"), *spread)
+        row = row.select(F.lit(decay).alias("decay"), F.lit(name).alias("strategy"), "*")
+        out = row if out is None else out.union(row)
+    return out
 
 
 def safe_horizon(spark, sf_dir):
@@ -235,6 +269,34 @@ def _near(left: str, right: str) -> str:
         FROM m a JOIN m b ON {left} AND {right}) WHERE n = 1"""
 
 
+def _ends_sql(decay: float, name: str) -> str:
+    """``(qid, qins, horizon, calls)`` of a strategy."""
+    all_of_it = "SELECT qid, qins, qins - 1 AS horizon, 1::BIGINT AS calls FROM q"
+    if name == "fixed_recency":
+        return all_of_it.replace("qins - 1 AS", f"least(qins - 1, {WINDOW}) AS")
+    if decay == 1:
+        return all_of_it
+    ends = _ADAPT if name == "adaptive_window" else _SCAN
+    body = _windows(decay, ends).split(", s AS (", 1)[1]
+    calls = f"(1 + log2(a.h / {WINDOW}))::BIGINT" if name == "adaptive_window" else f"greatest(1, a.h // {BLOCK})"
+    return f"""WITH s AS ({body}, a AS (SELECT k.qid, min(k.h) AS h FROM k LEFT JOIN ok USING (qid) WHERE k.h = ok.h OR k.h >= k.qins - 1 GROUP BY k.qid)
+      SELECT q.qid, q.qins, least(coalesce(a.h, 0), q.qins - 1) AS horizon, coalesce({calls}, 1) AS calls FROM q LEFT JOIN a USING (qid)"""
+
+
+def _metrics_sql() -> str:
+    rows = []
+    for decay in LAMBDAS:
+        for name in STRATEGIES:
+            spread = ", ".join(f"round(quantile_cont({c}, {q}), 9) AS {c}_p{round(100 * q)}" for c in ("horizon", "candidates") for q in (0.5, 0.95))
+            rows.append(
+                f"""SELECT {decay!r}::DOUBLE AS decay, '{name}' AS strategy, count(*) AS queries, round(avg(horizon), 9) AS mean_horizon,
+              round(avg(CASE WHEN qins > 1 THEN horizon / (qins - 1)::DOUBLE ELSE 0 END), 9) AS mean_share, round(avg(candidates), 9) AS mean_candidates,
+              round(avg(calls), 9) AS mean_calls, round(stddev_pop(candidates), 9) AS sd_candidates_pop, {spread}
+              FROM (SELECT e.*, (SELECT count(*) FROM p WHERE p.qid = e.qid AND p.age < e.horizon AND cosine > 0 AND cosine >= 0.2::DOUBLE) AS candidates FROM ({_ends_sql(decay, name)}) e)"""
+            )
+    return f"WITH {_pairs()} " + " UNION ALL ".join(rows)
+
+
 ORACLE = {
     "retrieve_topk": _sql(_top(_scored(RULE.decay), _ON)),
     "retrieve_topk_no_decay": _sql(_top(_scored(1.0), _ON)),
@@ -243,6 +305,8 @@ ORACLE = {
     "standalone_topk": _sql(_top(_scored(RULE.decay), "score DESC, ins ASC")),
     "triangular_topk": _sql(_top(_scored(RULE.decay), _ON), "true"),
     "fixed_recency_topk": _sql(_RECENT),
+    "recent_blocks_topk": _sql(_RECENT),
+    "search_metrics": _metrics_sql(),
     "semantic_candidates_rerank": _sql(_top(_scored(RULE.decay, source=f"({_CAND})"), _EX)),
     "rerank_dedup": _sql(_top(_scored(RULE.decay, source=f"({_CAND} UNION SELECT qid, qins, id, ins, age, cosine FROM ({_RECENT}))"), _EX)),
     "adaptive_window_topk": _sql(_TRUTH),

@@ -1,8 +1,12 @@
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driftwell.functions import vectors as V
 from driftwell.operators import retrieval as R
+from driftwell.operators import scan as S
 
 
 def memory(spark, vectors):
@@ -55,32 +59,124 @@ def test_recall(spark):
     assert [round(r.r, 9) for r in rows] == [round(2 / 3, 9), 1.0]
 
 
+def walked(q, m, rule, schedule, window=None):
+    return S.walk(q, S.BlockStore.write(m), rule, schedule, window)
+
+
 def test_certified_scan_equals_exhaustive(spark):
     m = memory(spark, [(1, 0)] * 6)
     q, rule = query(spark, (1, 0), 6), R.Rule(0.5, 0.7, 2)
-    found, _ = R.expanding(q, m, rule, 2, lambda h: h + 2)
-    assert ids(found) == ids(R.retrieve(q, m, rule, R.EXHAUSTIVE)) == [(6, 1.0), (5, 0.5)]
-    assert R.certified_horizon(q, m, rule, 2, initial=2).first().horizon == 2
+    found = walked(q, m, rule, S.steps(2))
+    assert ids(S.hits_of(found, rule)) == ids(R.retrieve(q, m, rule, R.EXHAUSTIVE)) == [(6, 1.0), (5, 0.5)]
+    assert found.first().horizon == 2
 
 
 def test_no_pruning_without_decay(spark):
     m = memory(spark, [(1, 0, 0), (0, 1, 0), (0, 0, 1)])
-    rule = R.Rule(1.0, 0.7, 1)
-    assert R.certified_horizon(query(spark, (1, 0, 0), 3), m, rule, 1).first().horizon == 3
-    _, ends = R.adaptive(query(spark, (1, 0, 0), 3), m, rule, initial=1)
-    assert tuple(ends.first()) == (99, 3, 1)
-
-
-@pytest.mark.parametrize("decay", [0.5, 0.9, 0.99])
-def test_windows_agree_on_real_vectors(spark, decay):
-    from driftwell.queries.retrieval import asked
-    from driftwell.queries.retrieval import memory as table
-
-    m = table(spark, "/root/testdata/sf0.001")
-    rule, q = R.Rule(decay), asked(m)
-    a, _ = R.adaptive(q, m, rule, initial=30)
-    cols = ("qid", "rank", "id")
-    assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, R.retrieve(q, m, rule, R.EXHAUSTIVE).select(*cols).collect()))
+    r = walked(query(spark, (1, 0, 0), 3), m, R.Rule(1.0, 0.7, 1), S.steps(1)).first()
+    assert (r.horizon, r.calls, r.candidates) == (3, 1, 1)
+
+
+def test_growing_window_stops_at_its_first_certificate(spark):
+    m = memory(spark, [(0, 1)] * 9 + [(1, 0)])
+    for decay, want in ((0.5, (2, 1)), (1.0, (10, 1))):
+        r = walked(query(spark, (1, 0), 10), m, R.Rule(decay, 0.7, 1), S.growing(2)).first()
+        assert (r.horizon, r.calls) == want and [h.id for h in r.hits] == [10]
+
+
+def by_definition(q, qins, vectors, rule, schedule, window):
+    """One query's scan, window by window, over all records before it."""
+    size = max(qins - 1, 0)
+    cosine = np.clip(vectors[:size] @ q, -1, 1)
+    age = qins - 1 - np.arange(1, size + 1)
+    rows = [(c * rule.decay**a, c, qins - 1 - a) for c, a in zip(cosine.tolist(), age.tolist(), strict=True) if c > 0 and c >= rule.tau]
+    end, calls = window or (max(size, 1) if rule.decay == 1 else schedule(0)), 1
+    while True:
+        inside = sorted((r for r in rows if qins - 1 - r[2] < end), reverse=True)
+        top = inside[: rule.k]
+        sure = len(top) == rule.k and rule.decay < 1 and rule.decay**end < top[-1][0]
+        if window or end >= size or sure:
+            return min(end, size), calls, len(inside), [r[2] for r in top]
+        end, calls = schedule(end), calls + 1
+
+
+@pytest.mark.parametrize("window", [None, 7, 40])
+@pytest.mark.parametrize("decay", [0.6, 0.93, 0.995, 1.0])
+def test_walks_by_definition(spark, monkeypatch, decay, window):
+    monkeypatch.setattr(S, "BLOCK", 16)
+    monkeypatch.setattr(S, "TOGETHER", 5)
+    r = np.random.default_rng(3)
+    vectors = r.standard_normal((90, 4))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[40:60] = vectors[0]
+    m = memory(spark, vectors.tolist())
+    asked = [(k, int(i), vectors[r.integers(90)]) for k, i in enumerate([1, 2, 91, 91, 91, 17, 16, 33, 60, 75, 90])]
+    q = spark.createDataFrame([(k, i, v.tolist()) for k, i, v in asked], "qid long, qins long, v array<double>")
+    for rule in (R.Rule(decay, 0.3, 3), R.Rule(decay, 0.9, 2)):
+        for schedule in (S.steps(6), S.growing(5), S.steps(50)):
+            got = {x.qid: (x.horizon, x.calls, x.candidates, [h.id for h in x.hits]) for x in walked(q, m, rule, schedule, window).collect()}
+            assert got == {k: by_definition(v, i, vectors, rule, schedule, window) for k, i, v in asked}
+
+
+def test_walks_open_only_what_they_need(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 16)
+    m = memory(spark, [(1, 0)] * 160)
+    store = S.BlockStore.write(m)
+    assert len(store.bounds) == 10
+    q = query(spark, (1, 0), 160)
+    opened = [S.walk(q, store, R.Rule(0.5, 0.7, 2), S.steps(4), w).first().files for w in (None, 16, 48, 160)]
+    assert opened == [1, 1, 3, 10]
+
+
+def test_walks_of_nothing(spark):
+    m, rule = memory(spark, [(1, 0)]), R.Rule(0.5, 0.7, 2)
+    r = walked(query(spark, (1, 0), 0), m, rule, S.steps(2)).first()
+    assert (r.horizon, r.calls, r.files, r.hits) == (0, 1, 0, [])
+    r = walked(query(spark, (1, 0), 5), m.limit(0), rule, S.steps(2)).first()
+    assert r.hits == [] and r.candidates == 0
+    assert walked(query(spark, (1, 0), 1).limit(0), m, rule, S.steps(2)).count() == 0
+    with pytest.raises(Exception, match="differ in size"):
+        walked(query(spark, (1, 0, 0), 1), m, rule, S.steps(2)).collect()
+
+
+def test_recency_reaches_the_scan(spark, tmp_path):
+    memory(spark, [(1, 0)] * 50).write.parquet(f"{tmp_path}/m")
+    m = spark.read.parquet(f"{tmp_path}/m")
+    found = R.fixed_recency(query(spark, (1, 0), 50), m, R.Rule(0.5, 0.7, 2), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ins,46)" in plan and "LessThan(ins,51)" in plan
+    assert ids(found) == [(50, 1.0), (49, 0.5)]
+
+
+def test_norms_are_evaluated_once_a_vector(spark):
+    """The time of a normalised vector grows with its size, not with the square of it."""
+    took = []
+    for dims in (2000, 8000):
+        rows = spark.createDataFrame([([0.5] * dims,)] * 40, "v array<double>").cache()
+        rows.count()
+        began = time.perf_counter()
+        assert rows.select(F.sum(V.norm(V.normalised(F.col("v"))))).first()[0] == pytest.approx(40)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 1
+    odd = spark.createDataFrame([([0.0, 0.0],), ([],), ([float("inf")],), (None,), ([3.0, 4.0],)], "v array<double>")
+    assert [r[0] for r in odd.select(V.normalised(F.col("v"))).collect()] == [None, None, None, None, [0.6, 0.8]]
+
+
+def test_clustered_vectors(spark):
+    from driftwell.operators import generation as G
+
+    rows = G.clustered_vectors(spark, 203, 64, 10, 0.01, 5).repartition(7)
+    v = np.array([r.v for r in rows.orderBy("id").collect()])
+    assert np.allclose(np.linalg.norm(v, axis=1), 1, atol=1e-6)
+    of = G.cluster_of(np.arange(203), 203, 10, 5)
+    sizes = np.bincount(of)
+    assert len(sizes) == 21 and sizes.max() - sizes.min() <= 1 and (np.diff(of) != 0).mean() > 0.9
+    same = of[:, None] == of[None, :]
+    cosine = v @ v.T
+    assert cosine[same].min() > 0.98 and cosine[~same].max() < 0.7
+    assert np.allclose(np.array([r.v for r in G.clustered_vectors(spark, 203, 64, 10, 0.01, 5).orderBy("id").collect()]), v)
+    q = np.array([r.v for r in G.clustered_queries(spark, 9, 203, 64, 10, 5).collect()])
+    assert ((q @ v.T) > 0.98).sum(1).min() >= 9
 
 
 def test_bad_parameters():
