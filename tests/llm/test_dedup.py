@@ -241,3 +241,23 @@ def test_similar_ignores_case_and_marks():
     assert near_dedup.similar(text, text.upper())
     assert near_dedup.similar(text, ", ".join(f'"{w}"' for w in text.split()[:-5]) + " other")
     assert not near_dedup.similar(text, prose(random.Random(9), 60))
+
+
+@pytest.mark.parametrize("words, share, edits", [(180, 0.5, 36), (180, 1 / 3, 34), (400, 0.6, 80)])
+def test_near_pairs_among_texts_that_share_a_passage(spark, words, share, edits):
+    """Pairs at the limit whose edits all lie outside a passage that every text has."""
+    r = random.Random(words)
+    known = [f"w{i}" for i in range(5000)]
+    passage, rows = [r.choice(known) for _ in range(int(words * share))], []
+    for k in range(60):
+        own = [r.choice(known) for _ in range(words - len(passage))]
+        at = r.randrange(len(own) + 1)
+        a = own[:at] + passage + own[at:]
+        b = a[:]
+        for i in r.sample([i for i in range(words) if not at <= i < at + len(passage)], edits):
+            b[i] = r.choice(known)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    got = {x.doc_id: x.class_id for x in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alike = [k for k in range(60) if near_dedup.similar(rows[2 * k][1], rows[2 * k + 1][1])]
+    assert len(alike) > 50 and sum(got[2 * k] == got[2 * k + 1] for k in alike) >= 0.9 * len(alike)
+    assert all(got[2 * k] == 2 * k for k in range(60))
