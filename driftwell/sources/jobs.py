@@ -8,8 +8,10 @@ All paths go through the cluster's file systems.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,15 +54,24 @@ def find_job(spark: SparkSession, root: str, job: str) -> str:
 
 
 def write_json(spark: SparkSession, path: str, value: object) -> None:
-    """A small JSON file; readers see the old one or the whole new one."""
+    """A small JSON file; readers see the old one or the whole new one, on file systems whose rename can replace (HDFS, a local disk)."""
     fs, place = _fs(spark, path)
-    temporary = _path(spark, f"{path}.tmp-{uuid.uuid4().hex[:8]}")
-    out = fs.create(temporary, True)
-    out.write(json.dumps(value, indent=2, ensure_ascii=False).encode())
+    text, temporary = json.dumps(value, indent=2, ensure_ascii=False), f"{path}.tmp-{uuid.uuid4().hex[:8]}"
+    if fs.getUri().getScheme() == "file":
+        # Hadoop's local rename deletes first, and keeps checksums beside the file.
+        to, made = Path(place.toUri().getPath()), Path(_path(spark, temporary).toUri().getPath())
+        to.parent.mkdir(parents=True, exist_ok=True)
+        made.write_text(text, encoding="utf-8")
+        to.with_name(f".{to.name}.crc").unlink(missing_ok=True)
+        os.replace(made, to)
+        return
+    out = fs.create(_path(spark, temporary), True)
+    out.write(text.encode())
     out.close()
-    fs.delete(place, False)
-    if not fs.rename(temporary, place):
-        raise OSError(f"cannot rename to {path}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(_path(spark, temporary), place, overwrite)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
@@ -86,7 +97,7 @@ def append_tickets(tickets: DataFrame, folder: str, run: int) -> None:
 def finalize_run(spark: SparkSession, folder: str, run: int, position: str = "global_position") -> str:
     """Lines of the partial run become the finished one, in order; the partial goes last, so a crash loses nothing.
 
-    Lines are moved as they are; a repeated position (a batch written twice) counts once.
+    Lines are moved as they are; a repeated position (a batch written twice) counts once, lines without one all stay, first.
     """
     partial, final = partial_path(folder, run), run_path(folder, run)
     fs, source = _fs(spark, partial)
@@ -96,7 +107,8 @@ def finalize_run(spark: SparkSession, folder: str, run: int, position: str = "gl
         raise ValueError(f"run {run} has no tickets")
     lines = spark.read.text(partial).filter(F.trim("value") != "")
     place = F.get_json_object("value", f"$.{position}").cast("long").alias("p")
-    rows = lines.select(place, "value").groupBy("p").agg(F.min("value").alias("value"))
+    lines = lines.select(place, "value")
+    rows = lines.filter("p is not null").groupBy("p").agg(F.min("value").alias("value")).unionByName(lines.filter("p is null"))
     temporary = f"{folder}/_tmp-run-{run:03d}-{uuid.uuid4().hex[:8]}"
     rows.repartitionByRange(1, "p").sortWithinPartitions("p").select("value").write.text(temporary)  # one repetition, one file
     fs.delete(_path(spark, final), True)

@@ -113,7 +113,7 @@ class VectorStore:
         """Upserts by insertion index in batches; their number, rate and latencies."""
         ends = rows.agg(F.min("ins"), F.max("ins"), F.count("*")).first()
         took, began = [], time.perf_counter()
-        for k, low in enumerate(range(ends[0] or 1, (ends[1] or 0) + 1, batch_size)):
+        for k, low in enumerate(range(ends[0], ends[1] + 1, batch_size) if ends[2] else ()):
             t = time.perf_counter()
             self.upsert(rows.filter((F.col("ins") >= low) & (F.col("ins") < low + batch_size)), k)
             took.append((time.perf_counter() - t) * 1000)
@@ -137,7 +137,17 @@ class VectorStore:
         return now
 
 
+GAP_BLOCK = 100_000
+
+
 def without_gaps(rows: DataFrame) -> DataFrame:
-    """Rows whose insertion index does not follow the one before by 1; none in an append-only memory."""
-    w = Window.partitionBy(F.floor(F.col("ins") / 100_000)).orderBy("ins")
-    return rows.select("ins", F.lag("ins").over(w).alias("before")).filter("before is not null and ins <> before + 1")
+    """Rows whose insertion index does not follow the one before by 1; none in an append-only memory.
+
+    Blocks of indices are looked through apart, and then the last of each block with the first of the next.
+    """
+    block = F.floor(F.col("ins") / GAP_BLOCK)
+    inner = rows.select("ins", F.lag("ins").over(Window.partitionBy(block).orderBy("ins")).alias("before"))
+    ends = rows.groupBy(block.alias("b")).agg(F.min("ins").alias("ins"), F.max("ins").alias("last"))
+    # One row a block.
+    border = ends.select("ins", F.lag("last").over(Window.orderBy("b")).alias("before"))
+    return inner.unionByName(border).filter("before is not null and ins <> before + 1")

@@ -1,4 +1,6 @@
 import json
+import os
+import threading
 
 import numpy as np
 import pytest
@@ -135,3 +137,38 @@ def test_controller_free_traces_have_two_trajectories(spark):
     assert {r.label for r in J.averaged(t, "user_id").collect()} == {"fea", "final_error", "human_error", "replay_error"}
     free = t.withColumn("state_before", F.lit("controller_free"))
     assert {r.label for r in J.averaged(free, "user_id").collect()} == {"final_error", "human_error"}
+
+
+def test_gaps_at_the_borders_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "GAP_BLOCK", 10)
+    present = [i for i in range(45) if i not in (7, 20, 30, 31, 32, 33, 34, 35, 36, 37, 38, 39)]
+    rows = spark.createDataFrame([(i,) for i in present], "ins long").repartition(5)
+    assert sorted(map(tuple, vectors.without_gaps(rows).collect())) == [(8, 6), (21, 19), (40, 29)]
+    assert vectors.without_gaps(spark.range(100).withColumnRenamed("id", "ins")).isEmpty()
+
+
+def test_replaced_files_are_never_missing(spark, tmp_path):
+    path = f"{tmp_path}/state.json"
+    jobs.write_json(spark, path, {"n": 0})
+    seen, over = [], threading.Event()
+
+    def watch():
+        while not over.is_set():
+            with open(path) as f:
+                seen.append(json.load(f)["n"])
+
+    reader = threading.Thread(target=watch)
+    reader.start()
+    for n in range(1, 30):
+        jobs.write_json(spark, path, {"n": n})
+    over.set()
+    reader.join()
+    assert seen == sorted(seen) and jobs.read_json(spark, path) == {"n": 29}
+    assert [x for x in os.listdir(tmp_path) if "tmp" in x and not x.startswith(".")] == []
+
+
+def test_lines_without_a_position_are_kept(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(2, "b"), (1, "a"), (1, "a"), (None, "x"), (None, "y")], "global_position long, v string").coalesce(1).write.json(jobs.partial_path(folder, 1))
+    found = [json.loads(r.value) for r in spark.read.text(jobs.finalize_run(spark, folder, 1)).collect()]
+    assert sorted(x["v"] for x in found[:2]) == ["x", "y"] and [x["v"] for x in found[2:]] == ["a", "b"]
