@@ -7,11 +7,15 @@ offline; a hosted one is ``chat_model`` over the caller's transport.
 from __future__ import annotations
 
 import json
+import random
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
-from contextvars import ContextVar
+from contextvars import ContextVar, copy_context
 from dataclasses import dataclass
+from functools import partial
 from typing import Protocol
 
 import pandas as pd
@@ -94,7 +98,7 @@ DECIDE = "You get a question and cases that were settled before. Say only what t
 JUDGE = "You get a candidate answer and the standard it is held against. Set covered if nothing of weight in the standard is missing from the candidate or contradicted by it."
 
 
-def chat_model(post: Callable[[dict], dict], generation: str, auxiliary: str, retry: Retry | None = None) -> Model:
+def chat_model(post: Callable[[dict], dict], generation: str, auxiliary: str, retry: Retry | Retries | None = None) -> Model:
     """A hosted model behind ``post``, which sends a request and returns the structured answer.
 
     The transport (address, credentials, protocol) is the caller's; requests name the model, the two messages
@@ -157,6 +161,10 @@ class Retry:
     on: tuple[type[Exception], ...] = (ConnectionError, TimeoutError, Malformed)
     sleep: Callable[[float], None] = time.sleep
 
+    @property
+    def fail_safe(self) -> tuple[type[Exception], ...]:
+        return self.on
+
     def call(self, run: Callable[[], dict]) -> dict:
         for i in range(self.attempts):
             try:
@@ -168,34 +176,134 @@ class Retry:
         raise AssertionError
 
 
-def decisions(tickets: DataFrame, model: Model, retry: Retry = Retry(), calls: int | None = None) -> DataFrame:
-    """``tickets(id, question, retrieved)`` with ``decision``; a model that keeps failing abstains.
+class Throttled(ConnectionError):
+    """The service takes no more calls for now; ``after`` is the wait in seconds that it names, if any."""
+
+    def __init__(self, message: str = "throttled", after: float | None = None):
+        super().__init__(message, after)
+        self.after = after
+
+
+class Unavailable(ConnectionError):
+    """The service failed on its side."""
+
+    def __init__(self, message: str = "service failed", after: float | None = None):
+        super().__init__(message, after)
+        self.after = after
+
+
+@dataclass(frozen=True)
+class Backoff:
+    """How often a kind of failure is tried again, and how long before: ``first`` doubled each time, ``longest`` at most."""
 
-    ``calls`` bounds how many tasks, and so calls, run at once.
+    retries: int
+    first: float = 5.0
+    longest: float = 60.0
+
+    def wait(self, failed: int, draw: float) -> float:
+        """Seconds after the ``failed``-th failure: between half and all of the bound, as ``draw`` in [0, 1) says."""
+        bound = min(self.longest, self.first * 2.0 ** min(failed - 1, 6))
+        return bound * (1 + draw) / 2
+
+
+@dataclass(frozen=True)
+class Retries:
+    """Four kinds of failure, each counted and waited for by itself; any other error is raised at once.
+
+    A wait that the service names is kept to as it is.  Where answers stay malformed a decision abstains; a service
+    that stays away fails the query, for nothing is known of the ticket then.
     """
 
+    throttled: Backoff = Backoff(12, 5.0, 120.0)
+    unavailable: Backoff = Backoff(6)
+    connection: Backoff = Backoff(6)
+    malformed: Backoff = Backoff(3, 1.0, 8.0)
+    sleep: Callable[[float], None] = time.sleep
+    draw: Callable[[], float] = random.random
+    fail_safe: tuple[type[Exception], ...] = (Malformed,)
+
+    def kind(self, e: Exception) -> str | None:
+        kinds = ((Throttled, "throttled"), (Unavailable, "unavailable"), (Malformed, "malformed"), ((ConnectionError, TimeoutError), "connection"))
+        return next((name for types, name in kinds if isinstance(e, types)), None)
+
+    def call(self, run: Callable[[], dict]) -> dict:
+        failed: dict[str, int] = {}
+        while True:
+            try:
+                return run()
+            except Exception as e:
+                kind = self.kind(e)
+                if kind is None or failed.get(kind, 0) >= getattr(self, kind).retries:
+                    raise
+                failed[kind] = failed.get(kind, 0) + 1
+                after = getattr(e, "after", None)
+                self.sleep(getattr(self, kind).wait(failed[kind], self.draw()) if after is None else after)
+
+
+def in_order(calls: Iterable[Callable[[], dict]], width: int) -> Iterator[dict]:
+    """Results of ``calls`` in their order, at most ``width`` under way; the context of calls goes along.
+
+    Calls are taken up as results leave, so what is held is bounded by ``width`` however many there are.  The first
+    failure is raised once the calls under way have ended, and no other is begun.
+    """
+    if width < 1:
+        raise ValueError("width is positive")
+    if width == 1:
+        for c in calls:
+            yield c()
+        return
+    with ThreadPoolExecutor(width) as pool:
+        under_way: deque[Future] = deque()
+        try:
+            for c in calls:
+                if len(under_way) == width:
+                    yield under_way.popleft().result()
+                under_way.append(pool.submit(copy_context().run, c))
+            while under_way:
+                yield under_way.popleft().result()
+        finally:
+            for f in under_way:
+                f.cancel()
+
+
+def decisions(tickets: DataFrame, model: Model, retry: Retry | Retries = Retry(), calls: int | None = None, width: int = 1) -> DataFrame:
+    """``tickets(id, question, retrieved)`` with ``decision``; a model that keeps failing in a fail-safe way abstains.
+
+    ``calls`` bounds how many calls run at once, in all tasks together: ``calls // width`` tasks of ``width`` calls each.
+    """
+    if calls is not None and calls < width:
+        raise ValueError("calls in all are no fewer than those of a task")
+
+    def decide(question: str, found) -> dict:
+        rows = [dict(r) for r in (found if found is not None else [])]
+        try:
+            return retry.call(lambda: checked_decision(model.decide(question, rows)))
+        except retry.fail_safe as e:
+            return {"answer": "", "abstain": True, "evidence_ids": [], "reason": f"failed: {e}"}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for question, found in zip(b.question, b.retrieved, strict=True):
-                rows = [dict(r) for r in (found if found is not None else [])]
-                try:
-                    out.append(retry.call(lambda q=question, r=rows: checked_decision(model.decide(q, r))))
-                except retry.on as e:
-                    out.append({"answer": "", "abstain": True, "evidence_ids": [], "reason": f"failed: {e}"})
-            yield pd.DataFrame(out).assign(id=b.id.values)[["id", "answer", "abstain", "evidence_ids", "reason"]]
+            out = list(in_order((partial(decide, q, r) for q, r in zip(b.question, b.retrieved, strict=True)), width))
+            yield pd.DataFrame(out, columns=["answer", "abstain", "evidence_ids", "reason"]).assign(id=b.id.values)[["id", "answer", "abstain", "evidence_ids", "reason"]]
 
     rows = tickets.select(F.col("id").cast("string").alias("id"), "question", "retrieved")
-    return (rows.coalesce(calls) if calls else rows).mapInPandas(run, f"id string, {DECISION}")
+    return (rows.coalesce(calls // width) if calls else rows).mapInPandas(run, f"id string, {DECISION}")
 
 
-def judgments(answers: DataFrame, model: Model, gold: bool = False, retry: Retry = Retry()) -> DataFrame:
-    """``answers(id, answer, reference)`` judged; a judge that keeps failing fails the query."""
+def judgments(answers: DataFrame, model: Model, gold: bool = False, retry: Retry | Retries = Retry(), calls: int | None = None, width: int = 1) -> DataFrame:
+    """``answers(id, answer, reference)`` judged; a judge that keeps failing fails the query.  Bounds are those of ``decisions``."""
+    if calls is not None and calls < width:
+        raise ValueError("calls in all are no fewer than those of a task")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = model.judge_gold if gold else model.judge
+
+        def judge(answer: str, reference: str) -> dict:
+            return retry.call(lambda: checked_judgment(ask(answer, reference)))
+
         for b in batches:
-            out = [retry.call(lambda x=x, y=y: checked_judgment(ask(x, y))) for x, y in zip(b.answer, b.reference, strict=True)]
+            out = list(in_order((partial(judge, x, y) for x, y in zip(b.answer, b.reference, strict=True)), width))
             yield pd.DataFrame(out, columns=["covered", "confidence", "reason"]).assign(id=b.id.values)[["id", "covered", "confidence", "reason"]]
 
-    return answers.select(F.col("id").cast("string").alias("id"), "answer", "reference").mapInPandas(run, f"id string, {JUDGMENT}")
+    rows = answers.select(F.col("id").cast("string").alias("id"), "answer", "reference")
+    return (rows.coalesce(calls // width) if calls else rows).mapInPandas(run, f"id string, {JUDGMENT}")

@@ -13,12 +13,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Exponent of e that a block's powers reach.
-REACH = 300.0
+#: Exponent of e that a block's powers reach, and the most rows of a block.
+REACH, BLOCK = 300.0, 65_536
 
 
 def block_rows(decay: float) -> int:
-    """Rows of a block of prefix sums."""
+    """Rows after which a power of the decay leaves what a double can tell."""
     return 1 << 62 if decay == 1 else max(1, int(REACH / -math.log(decay)))
 
 
@@ -30,22 +30,35 @@ def final(rows: DataFrame, run: str, value: str, order: str, decay: float) -> Da
     return out.select(run, "observations", (F.col("_n") / F.col("_d")).alias("fea"))
 
 
-def running(rows: DataFrame, run: str, value: str, order: str, decay: float, start: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+def running(rows: DataFrame, run: str, value: str, order: str, decay: float, start: tuple[float, float] = (0.0, 0.0), most: int = BLOCK) -> DataFrame:
     """``rows`` with the reliability after each observation; ``order`` counts them from 1, ``start`` is num and den before."""
-    size = block_rows(decay)
-    n = F.col(order)
+    sums = _running_sums(rows, run, F.col(value), F.lit(1.0), order, decay, start, most)
+    return sums.withColumn("fea", F.col("_n") / F.col("_d")).drop("_o", "_n", "_d")
+
+
+def _running_sums(rows: DataFrame, run: str, num: Column, den: Column, order: str, decay: float, start: tuple[float, float], most: int) -> DataFrame:
+    """``rows`` with num and den after each observation as ``_n`` and ``_d``, both divided by the decay of the row's place in its block (``_o``)."""
+    fades = block_rows(decay)
+    size, n = min(fades, most), F.col(order)
     marked = rows.withColumn("_b", F.floor((n - 1) / F.lit(size)).cast("long"))
     marked = marked.withColumn("_o", (n - F.col("_b") * F.lit(size)).cast("double")).withColumn("_up", F.pow(F.lit(decay), -F.col("_o")))
     w = Window.partitionBy(run, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = marked.withColumn("_n", F.sum(F.col(value) * F.col("_up")).over(w)).withColumn("_d", F.sum("_up").over(w))
-    ends = marked.groupBy(F.col(run).alias("_run"), (F.col("_b") + 1).alias("_next")).agg(F.max("_o").alias("_m"), F.sum(F.col(value) * F.col("_up")).alias("_s"), F.sum("_up").alias("_t"))
-    # Sums of the block before, as they stand at its end; the first block takes over the start instead.
+    ends = marked.groupBy(F.col(run).alias("_run"), (F.col("_b") + 1).alias("_next")).agg(F.max("_o").alias("_m"), F.sum(num * F.col("_up")).alias("_s"), F.sum(den * F.col("_up")).alias("_t"))
+    marked = marked.withColumn("_n", F.sum(num * F.col("_up")).over(w)).withColumn("_d", F.sum(den * F.col("_up")).over(w))
+    # A block's sums as they stand at its end.
     faded = F.pow(F.lit(decay), F.col("_m"))
     ends = ends.select("_run", "_next", (faded * F.col("_s")).alias("_s"), (faded * F.col("_t")).alias("_t"))
+    if size < fades:  # blocks before the last one count too; the last block of a run may be short, but nothing follows it
+        whole = decay**size
+        own = ends.select(F.col("_run").alias("_own"), F.col("_next").alias("_at"), F.col("_s").alias("_x"), F.col("_t").alias("_y"))
+        carried = _running_sums(own, "_own", F.col("_x"), F.col("_y"), "_at", whole, start, 1 << 62)
+        at = F.pow(F.lit(whole), F.col("_o"))
+        ends = carried.select(F.col("_own").alias("_run"), F.col("_at").alias("_next"), (at * F.col("_n")).alias("_s"), (at * F.col("_d")).alias("_t"))
     both = marked.join(ends, (F.col(run) == F.col("_run")) & (F.col("_b") == F.col("_next")), "left")
+    # The first block takes over the start instead.
     num = F.col("_n") + F.coalesce("_s", F.when(F.col("_b") == 0, F.lit(float(start[0]))).otherwise(0.0))
     den = F.col("_d") + F.coalesce("_t", F.when(F.col("_b") == 0, F.lit(float(start[1]))).otherwise(0.0))
-    return both.withColumn("fea", num / den).drop("_b", "_o", "_up", "_n", "_d", "_run", "_next", "_s", "_t")
+    return both.withColumn("_n", num).withColumn("_d", den).drop("_b", "_up", "_run", "_next", "_s", "_t")
 
 
 def trailing_mean(value: Column, run: str, order: str, window: int) -> Column:

@@ -170,21 +170,27 @@ def context_text(found: DataFrame, text: Column) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, same_table: bool = False, same: str | None = None, other: str | None = None) -> DataFrame:
     """``(qid, id, cosine)``: for each left vector ``(qid, v)`` the right ``(id, v)`` most like it, larger ids on ties.
 
-    ``left`` is a stated query set, searched exactly against all rows of ``right``: both sides come in blocks of
-    ``BLOCK`` rows and block pairs meet by number.  Only rows that agree in column ``same``, or differ in ``other``,
-    are compared.  A block pair returns one row a query, and those are reduced before they are shuffled again.
+    ``left`` is a stated query set, searched exactly against all rows of ``right``.  Ids are hashed into as many blocks as
+    the count asks for (of each label, where only equal labels meet), and pairs of blocks meet by number, so a label with
+    most of the rows is spread like any other.  Only rows that agree in column ``same``, or differ in ``other``, are
+    compared; rows without a label agree with none and differ from none.  A block pair returns one row a query, and those
+    are reduced before they are shuffled again.
     """
     group = same or other
-    label = F.col(group) if group else F.lit(None).cast("string")
-    split = [F.col("g")] if same else []
+    label = F.col(group) if group else F.lit(0)
 
-    def blocks(rows: DataFrame, key: str, name: str) -> DataFrame:
-        rows = rows.select(F.col(key).alias("id"), "v", label.cast("string").alias("g"))
-        number = F.floor(F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(1 << 12)), *split).orderBy("id")) / BLOCK)
-        rows = rows.withColumn("_b", number).withColumn("_h", F.pmod(F.xxhash64("id"), F.lit(1 << 12)))
-        return rows.groupBy("_b", "_h", *split).agg(F.collect_list(F.struct("id", "v", "g")).alias(name)).drop("_b", "_h")
+    def blocks(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        """Rows with their block, and the number of blocks of each label."""
+        rows = rows.select(F.col(key).alias("id"), "v", label.cast("string").alias("g")).filter("g is not null").withColumn("s", F.col("g") if same else F.lit(""))
+        # Half full on average, so that blocks of hashed ids stay under BLOCK rows.
+        many = rows.groupBy("s").agg(F.ceil(F.count("*") * 2 / BLOCK).alias("many"))
+        own = many.select(F.col("s").alias("_s"), "many")
+        cell = rows.join(own, F.col("s") == F.col("_s")).withColumn("b", F.pmod(F.xxhash64("id"), F.col("many")))
+        return cell.groupBy("s", "b").agg(F.collect_list(F.struct("id", "v", "g")).alias("rows")), own
 
-    q, m = blocks(left, "qid", "qrows"), blocks(right, "id", "mrows")
+    (q, _), (m, there) = blocks(left, "qid"), blocks(right, "id")
+    q = q.join(there, F.col("s") == F.col("_s")).select("s", F.col("rows").alias("qrows"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("b"))
+    pairs = q.join(m.withColumnRenamed("rows", "mrows"), ["s", "b"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +208,6 @@ def nearest(left: DataFrame, right: DataFrame, same_table: bool = False, same: s
                 keep = best > -2
                 yield pa.RecordBatch.from_arrays([pa.array(x["id"][keep]), pa.array(ids[at][keep]), pa.array(best[keep])], ["qid", "id", "cosine"])
 
-    pairs = q.join(m, "g") if same else q.join(m.hint("shuffle_replicate_nl"), how="cross")
     found = pairs.select("qrows", "mrows").mapInArrow(multiply, "qid long, id long, cosine double")
     best = found.groupBy("qid").agg(F.max(F.struct("cosine", "id")).alias("m"))
     return best.select("qid", "m.id", "m.cosine")

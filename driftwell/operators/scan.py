@@ -27,7 +27,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.operators.retrieval import BLOCK, Rule, ranked
+from driftwell.operators.retrieval import BLOCK, EXHAUSTIVE, Rule, ranked
 from driftwell.session import delete, shared_dir
 
 #: Queries that walk together, and the parts that the queries of one block of positions are dealt to.
@@ -133,12 +133,13 @@ class _Reader:
         return self.kept[1]
 
 
-def _walk(reader: _Reader, qid: np.ndarray, qins: np.ndarray, v: np.ndarray, rule: Rule, schedule: Schedule, window: int | None) -> list[tuple]:
-    """One group of queries: ``(qid, qins, horizon, calls, candidates, files, hits)`` each."""
+def _walk(
+    reader: _Reader, qid: np.ndarray, qins: np.ndarray, v: np.ndarray, rule: Rule, schedule: Schedule, window: int | None, first: np.ndarray | None = None, order: tuple = EXHAUSTIVE
+) -> list[tuple]:
+    """One group of queries: ``(qid, qins, horizon, calls, candidates, files, hits)`` each; ``first`` is the oldest index that a query sees."""
     n = len(qid)
-    size = np.maximum(qins - 1, 0)
-    first = schedule(0)
-    end, calls = np.full(n, first), np.ones(n, np.int64)
+    size = np.maximum(qins - (1 if first is None else first), 0)
+    end, calls = np.full(n, schedule(0)), np.ones(n, np.int64)
     horizon, candidates, opened = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
     top = np.zeros((n, rule.k))
     kept: list[tuple] = []
@@ -147,6 +148,8 @@ def _walk(reader: _Reader, qid: np.ndarray, qins: np.ndarray, v: np.ndarray, rul
     elif rule.decay == 1:
         end = np.maximum(size, 1)
     horizon[(size == 0)] = 0
+    # No window is longer than what its query sees, so a slice never reaches another memory's records.
+    end = np.minimum(end, np.maximum(size, 1))
 
     def settle(q: np.ndarray) -> None:
         """Queries whose window ``end`` has been seen: stop, or ask for the next one."""
@@ -158,7 +161,7 @@ def _walk(reader: _Reader, qid: np.ndarray, qins: np.ndarray, v: np.ndarray, rul
             done[:] = True
         horizon[q[done]] = np.minimum(end[q[done]], size[q[done]])
         for i in q[~done]:
-            end[i] = schedule(int(end[i]))
+            end[i] = min(schedule(int(end[i])), int(size[i]))
             calls[i] += 1
 
     for number, low in reader.older_than(int(qins.max())):
@@ -216,18 +219,19 @@ def _walk(reader: _Reader, qid: np.ndarray, qins: np.ndarray, v: np.ndarray, rul
     hits: list[list[dict]] = [[] for _ in range(n)]
     if kept:
         who, ids, ins, age, cosine, score = (np.concatenate(x) for x in zip(*kept, strict=True))
-        order = np.lexsort((-ids, -ins, -cosine, -score, who))
-        for i in order.tolist():
+        by = {"id": ids, "ins": ins, "cosine": cosine, "score": score}
+        for i in np.lexsort((*[-by[x] for x in reversed(order)], who)).tolist():
             own = hits[who[i]]
             if len(own) < rule.k:
                 own.append({"id": int(ids[i]), "ins": int(ins[i]), "age": int(age[i]), "cosine": float(cosine[i]), "score": float(score[i])})
     return list(zip(qid.tolist(), qins.tolist(), horizon.tolist(), calls.tolist(), candidates.tolist(), opened.tolist(), hits, strict=True))
 
 
-def walk(queries: DataFrame, store: BlockStore, rule: Rule, schedule: Schedule, window: int | None = None) -> DataFrame:
-    """A row for each query ``(qid, qins, v)``: where its search stopped, what it cost, and its best K hits.
+def walk(queries: DataFrame, store: BlockStore, rule: Rule, schedule: Schedule, window: int | None = None, order: tuple = EXHAUSTIVE) -> DataFrame:
+    """A row for each query ``(qid, qins, v)``: where its search stopped, what it cost, and its best K hits in ``order``.
 
-    With ``window`` only the newest ``window`` records count and no certificate is asked for.
+    With ``window`` only the newest ``window`` records count and no certificate is asked for.  A store may hold several
+    memories one after the other: queries then have a column ``first``, the index of their own memory's oldest record.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,13 +244,15 @@ def walk(queries: DataFrame, store: BlockStore, rule: Rule, schedule: Schedule,
                 # Neighbours in position, at most a block apart.
                 e = min(s + TOGETHER, int(np.searchsorted(qins, qins[s] + BLOCK, "left")))
                 part = b.slice(s, e - s)
-                found = _walk(reader, part.column(0).to_numpy(), qins[s:e], _matrix(part.column(2)).astype(np.float64), rule, schedule, window)
+                first = part.column(3).to_numpy()
+                found = _walk(reader, part.column(0).to_numpy(), qins[s:e], _matrix(part.column(2)).astype(np.float64), rule, schedule, window, first, order)
                 *numbers, hits = zip(*found, strict=True)
                 names = ["qid", "qins", "horizon", "calls", "candidates", "files", "hits"]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(hits, kind)], names)
                 s = e
 
-    rows = queries.select(F.col("qid").cast("long").alias("qid"), F.col("qins").cast("long").alias("qins"), "v")
+    first = F.col("first") if "first" in queries.columns else F.lit(1)
+    rows = queries.select(F.col("qid").cast("long").alias("qid"), F.col("qins").cast("long").alias("qins"), "v", first.cast("long").alias("first"))
     rows = rows.repartition(F.floor((F.col("qins") - 1) / BLOCK), F.pmod(F.xxhash64("qid"), F.lit(PARTS))).sortWithinPartitions("qins", "qid")
     return rows.mapInArrow(run, WALK)
 

@@ -1,7 +1,8 @@
 """Running rates along a run and their means across runs.
 
-Running frames need the order of a run, so a run is the unit of parallel work; across runs everything is
-partial aggregation by position.
+Sums along a run are taken in two levels: blocks of neighbouring positions apart, each by a task of its own, and then
+the totals of a run's blocks, one row a block.  So one run may be the whole table.  Across runs everything is partial
+aggregation by position.
 """
 
 from __future__ import annotations
@@ -10,15 +11,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(run: str, order: str = "position") -> Window:
-    return Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+#: Positions of one block of a run.
+BLOCK = 65_536
 
 
-def running_rate(hit: Column, counted: Column, w: Window, empty: float | None = None) -> Column:
-    """Share of hits among counted rows so far; ``empty`` before the first one."""
-    n = F.sum(F.when(counted, 1).otherwise(0)).over(w)
-    hits = F.sum(F.when(counted & hit, 1).otherwise(0)).over(w)
-    return F.when(n > 0, hits / F.when(n > 0, n).otherwise(1)).otherwise(F.lit(empty).cast("double"))
+def prefix_sums(rows: DataFrame, run: str, measures: dict[str, Column], order: str = "position", keep: tuple[str, ...] = (), size: int = BLOCK) -> DataFrame:
+    """``(run, order, *keep, *measures)``: each measure summed from the run's first row to this one.
+
+    ``order`` is a whole number, unique in a run, gaps allowed; null measures count as nothing.  Rows without a run are one
+    run.  Rows are shuffled once, by run and block; what meets them again is a block's total.
+    """
+    block = F.floor(F.col(order) / F.lit(size)).cast("long")
+    # A struct is equal to its like also where it holds null, so the runs' name may be missing.
+    marked = rows.select(F.struct(run).alias("_run"), block.alias("_block"), order, *keep, *[m.alias(f"_{n}") for n, m in measures.items()])
+    w = Window.partitionBy("_run", "_block").orderBy(order)
+    here = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = marked.select("_run", "_block", order, *keep, *[F.sum(f"_{n}").over(here).alias(f"_{n}") for n in measures])
+    totals = inner.groupBy("_run", "_block").agg(*[F.max_by(f"_{n}", order).alias(f"_{n}") for n in measures])
+    before = Window.partitionBy("_run").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("_run").alias("_r"), F.col("_block").alias("_b"), *[F.sum(f"_{n}").over(before).alias(f"_before_{n}") for n in measures])
+    both = inner.join(starts, (F.col("_run") == F.col("_r")) & (F.col("_block") == F.col("_b")))
+    return both.select(F.col(f"_run.{run}").alias(run), order, *keep, *[(F.coalesce(f"_{n}", F.lit(0)) + F.coalesce(f"_before_{n}", F.lit(0))).alias(n) for n in measures])
+
+
+def running_rates(
+    rows: DataFrame, run: str, rates: dict[str, tuple[Column, Column, float | None]], order: str = "position", keep: tuple[str, ...] = (), size: int = BLOCK
+) -> DataFrame:
+    """``(run, order, *keep, *rates)``: of ``(hit, counted, empty)`` the share of hits among the counted rows so far, ``empty`` before the first."""
+    sums = {}
+    for name, (hit, counted, _) in rates.items():
+        sums |= {f"{name}_n": F.when(counted, 1).otherwise(0), f"{name}_h": F.when(counted & hit, 1).otherwise(0)}
+    made = prefix_sums(rows, run, sums, order, keep, size)
+
+    def rate(name: str, empty: float | None) -> Column:
+        n = F.col(f"{name}_n")
+        return F.when(n > 0, F.col(f"{name}_h") / F.when(n > 0, n).otherwise(1)).otherwise(F.lit(empty).cast("double")).alias(name)
+
+    return made.select(run, order, *keep, *[rate(name, empty) for name, (_, _, empty) in rates.items()])
 
 
 def replay_error(trace_abstain: str = "abstain") -> Column:
@@ -51,14 +80,11 @@ def averaged(trace: DataFrame, run: str) -> DataFrame:
 
     Final and human-only error always; reliability and model-first replay only where some ticket had a controller.
     """
-    w, nominal = running(run), ~F.col("extra")
-    values = {
-        "fea": F.col("fea_after"),
-        "final_error": running_rate(F.col("final_error"), nominal, w, 0.0),
-        "human_error": running_rate(~F.col("human_correct"), nominal, w, 0.0),
-        "replay_error": running_rate(replay_error(), F.lit(True), w),
-    }
-    rows = trace.select("position", *[v.cast("double").alias(f"_{k}") for k, v in values.items()])
+    nominal = ~F.col("extra")
+    rates = {"final_error": (F.col("final_error"), nominal, 0.0), "human_error": (~F.col("human_correct"), nominal, 0.0), "replay_error": (replay_error(), F.lit(True), None)}
+    rows = running_rates(trace, run, rates, keep=("fea_after",)).withColumnRenamed("fea_after", "fea")
+    values = ("fea", *rates)
+    rows = rows.select("position", *[F.col(k).cast("double").alias(f"_{k}") for k in values])
     rows = rows.select("position", F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.col(f"_{k}").alias("value")) for k in values])).alias("_v"))
     out = rows.groupBy("_v.label", "position").agg(F.avg("_v.value").alias("mean"), F.stddev_pop("_v.value").alias("sd_pop"))
     controlled = trace.agg(F.coalesce(F.bool_or(F.col("state_before") != "controller_free"), F.lit(False)).alias("_controlled"))  # one row

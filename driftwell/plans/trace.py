@@ -6,7 +6,7 @@ can repeat them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwell.operators import controller as C
@@ -53,9 +53,10 @@ def tickets(spark: SparkSession, sf_dir: str, c: C.Condition = CONDITION) -> Dat
     )
 
 
-def trace(spark: SparkSession, sf_dir: str, c: C.Condition = CONDITION) -> DataFrame:
-    """One row per ticket; ``fea_*`` are reliabilities, ``final_error`` the outcome; ``gold_reused`` where one judgment served twice."""
-    t = C.fold(tickets(spark, sf_dir, c), "user_id", c)
+def trace(spark: SparkSession, sf_dir: str, c: C.Condition = CONDITION, users: Column | None = None) -> DataFrame:
+    """One row per ticket, of all users or of those that ``users`` picks before the fold; ``fea_*`` are reliabilities, ``final_error`` the outcome; ``gold_reused`` where one judgment served twice."""
+    rows = tickets(spark, sf_dir, c)
+    t = C.fold(rows if users is None else rows.filter(users), "user_id", c)
     called, judged = F.lit(c.enabled), F.lit(c.enabled) & ~F.col("abstain")
     return t.select(
         "*",

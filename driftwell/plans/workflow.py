@@ -2,7 +2,8 @@
 
 A repetition is one ordered group: every ticket retrieves from what the repetition has decided so far, so answers
 feed later answers.  Repetitions and conditions are independent and run as groups of one job.  ``rollout`` is the
-three-state workflow; with ``baseline`` it is the controller-free one, whose phases say who answers.
+three-state workflow; with ``baseline`` it is the controller-free one, whose phases say who answers.  Here a
+repetition is one task's work, vectors included; ``long_runs`` takes repetitions of any length.
 
 Saved tickets of a prefix are restored without model calls: their outcomes are applied again and must lead to the
 same states, observations and reliabilities, or the group fails.
@@ -81,10 +82,9 @@ class Memory:
 class Repetition:
     """One repetition under way."""
 
-    def __init__(self, c: C.Condition, model: Model, rule: Search, tickets: int, dims: int, baseline: bool = False):
-        self.c, self.model, self.baseline = c, model, baseline
-        self.memory = Memory(rule, tickets, dims)
-        self.control = C.Controller(c)
+    def __init__(self, c: C.Condition, model: Model, memory, baseline: bool = False, control: C.Controller | None = None):
+        self.c, self.model, self.baseline, self.memory = c, model, baseline, memory
+        self.control = control or C.Controller(c)
 
     def _decide(self, t: dict) -> tuple[list[dict], dict]:
         found = self.memory.search(t["v"])
@@ -184,7 +184,7 @@ def play(tickets: list[dict], c: C.Condition, model: Model, rule: Search, baseli
     """The trace of one repetition's tickets, in order; ``saved`` is a prefix of such a trace."""
     if not tickets:
         return []
-    run = Repetition(c, model, rule, len(tickets), len(tickets[0]["v"]), baseline)
+    run = Repetition(c, model, Memory(rule, len(tickets), len(tickets[0]["v"])), baseline)
     held = saved or []
     out = []
     for i, t in enumerate(tickets):
@@ -193,22 +193,25 @@ def play(tickets: list[dict], c: C.Condition, model: Model, rule: Search, baseli
     return out
 
 
+def native(rows: pd.DataFrame) -> list[dict]:
+    """Rows as plain Python values, nulls as None."""
+
+    def plain(x):
+        if isinstance(x, dict):
+            return {k: plain(v) for k, v in x.items()}
+        if isinstance(x, np.ndarray | list):
+            return [plain(v) for v in x]
+        if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)):
+            return None
+        return x.item() if isinstance(x, np.generic) else x
+
+    return [{k: plain(v) for k, v in r.items()} for r in rows.to_dict("records")]
+
+
 def rollout(tickets: DataFrame, c: C.Condition, model: Model, rule: Search = Search(), baseline: bool = False, saved: DataFrame | None = None) -> DataFrame:
     """The trace of every repetition of ``tickets`` (the columns of ``TICKET``); ``model`` is sent to the workers."""
     options, names = asdict(c), list(TICKET)
 
-    def native(rows: pd.DataFrame) -> list[dict]:
-        def plain(x):
-            if isinstance(x, dict):
-                return {k: plain(v) for k, v in x.items()}
-            if isinstance(x, np.ndarray | list):
-                return [plain(v) for v in x]
-            if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)):
-                return None
-            return x.item() if isinstance(x, np.generic) else x
-
-        return [{k: plain(v) for k, v in r.items()} for r in rows.to_dict("records")]
-
     def run(rows: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
         rows = rows.sort_values("position", ignore_index=True)
         if rows["v"].isna().any():

@@ -17,6 +17,8 @@ PAIRED = C.Condition(alpha=0.6, gamma=0.75, least_observations=3, review=3, deca
 METRICS = ["final_error_pct", "stable_error_pct", "drift_error_pct", "model_finalized_pct"]
 #: Matched statistics compare ten runs of a condition; run r is the tickets of all users whose id ends in r.
 RUNS = 10
+#: Rows of a block where all tickets are one run; small, so that the sample tables have several.
+WHOLE_BLOCK = 4096
 #: Two cohorts of users (by the tens of their ids) under four controllers.
 CONDITIONS = [(cohort, name, c) for cohort in (0, 1) for name, c in (
     ("slow", T.CONDITION), ("flat", C.Condition(least_observations=5, review=3, decay=1.0)),
@@ -213,8 +215,19 @@ def latency_percentiles(spark, sf_dir):
 
 
 def _running(spark, sf_dir, hit, counted, name, empty):
-    t = T.trace(spark, sf_dir)
-    return t.select(RUN, "position", F.round(J.running_rate(hit, counted, J.running(RUN), empty), 9).alias(name))
+    rates = J.running_rates(T.trace(spark, sf_dir), RUN, {name: (hit, counted, empty)})
+    return rates.select(RUN, "position", r9(name))
+
+
+def whole_run_rates(spark, sf_dir):
+    """All tickets as one run in the order of their ids, in blocks of 4,096: share of drift, of trusted answers, and unfading reliability."""
+    t = T.tickets(spark, sf_dir).withColumn("whole", F.lit(0))
+    rates = {"drift_rate": (F.col("is_drift"), ~F.col("extra"), None), "ceo_rate": (F.col("profile") == "ceo", F.lit(True), None)}
+    rows = J.running_rates(t, "whole", rates, "event_id", ("covers",), WHOLE_BLOCK)
+    # Places from 1 are a prefix sum too.
+    place = J.prefix_sums(rows.withColumn("delta", F.when(F.col("covers"), 1.0).otherwise(0.0)), "whole", {"n": F.lit(1)}, "event_id", ("drift_rate", "ceo_rate", "delta"), WHOLE_BLOCK)
+    out = L.running(place, "whole", "delta", "n", 1.0, most=WHOLE_BLOCK)
+    return out.select("event_id", "n", r9("drift_rate"), r9("ceo_rate"), r9("fea"))
 
 
 def cumulative_error(spark, sf_dir):
@@ -307,7 +320,7 @@ def _against(spark, sf_dir, left, right):
     """Mean difference of two percentages in eight conditions, exact tests corrected over all eight."""
     rows = None
     for cohort, name, c in CONDITIONS:
-        t = T.trace(spark, sf_dir, c).filter(F.floor(F.col(RUN) / 10) % 2 == cohort).withColumn("run", F.col(RUN) % RUNS).withColumn("position", F.struct("position", RUN))
+        t = T.trace(spark, sf_dir, c, F.floor(F.col(RUN) / 10) % 2 == cohort).withColumn("run", F.col(RUN) % RUNS).withColumn("position", F.struct("position", RUN))
         d = S.per_run_metrics(t, "run").select("run", F.lit(cohort).alias("cohort"), F.lit(name).alias("controller"), (F.col(left) - F.col(right)).alias("diff"))
         rows = d if rows is None else rows.union(d)
     by = ("cohort", "controller")
@@ -461,6 +474,8 @@ ORACLE = {
       FROM (SELECT *, NOT abstain AND NOT human_correct AND NOT gold_correct AND event_id % 2 = 0 AS h FROM trace WHERE NOT extra))"""),
     "order_fingerprint": _tk("SELECT user_id, sha256(string_agg(event_id || '|' || profile, chr(10) ORDER BY position)) AS fingerprint FROM t GROUP BY user_id"),
     "latency_percentiles": "SELECT event_type, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS sd_pop, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95 FROM events GROUP BY event_type",
+    "whole_run_rates": _tk("""SELECT event_id, row_number() OVER w AS n, round(avg(CASE WHEN NOT extra THEN is_drift::INTEGER END) OVER w, 9) AS drift_rate,
+      round(avg((profile = 'ceo')::INTEGER) OVER w, 9) AS ceo_rate, round(avg(covers::INTEGER) OVER w, 9) AS fea FROM t WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)"""),
     "cumulative_error": _run_sql("final_error", "NOT extra", "error_rate", "0.0"),
     "cumulative_human_error": _run_sql("NOT human_correct", "NOT extra", "human_error_rate", "0.0"),
     "cumulative_llm_gold_error": _run_sql("NOT gold_correct", "NOT abstain AND NOT extra", "llm_error_rate", "NULL"),

@@ -16,6 +16,7 @@ from driftwell.operators import index as I
 from driftwell.operators import retrieval as R
 from driftwell.operators import summaries as S
 from driftwell.operators.models import NearestAnswer
+from driftwell.plans import long_runs as LR
 from driftwell.plans import workflow as W
 from driftwell.queries import retrieval as E
 
@@ -51,7 +52,7 @@ def tickets(spark: SparkSession, sf_dir: str, c: C.Condition = CONDITION) -> Dat
 
 def workflow_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ticket's outcome under the three-state controller."""
-    t = W.rollout(tickets(spark, sf_dir), CONDITION, NearestAnswer(), SEARCH)
+    t = LR.rollout(tickets(spark, sf_dir), CONDITION, NearestAnswer(), SEARCH)
     return t.select(
         "repetition", "global_position", "ticket_id", "state_before", "state_after", "suggestion_accepted", "gold_judgment_reused", "model_evidence_is_valid",
         F.size("retrieved").alias("retrieved"), F.round("fea_after", 9).alias("fea_after"), "final_answer", "final_origin", "metric_component", "final_decision_error",
@@ -60,13 +61,13 @@ def workflow_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def baseline_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ticket's outcome without a controller: trusted phases, then the model unless it abstains."""
-    t = W.rollout(tickets(spark, sf_dir), CONDITION, NearestAnswer(), SEARCH, baseline=True)
+    t = LR.rollout(tickets(spark, sf_dir), CONDITION, NearestAnswer(), SEARCH, baseline=True)
     return t.select("repetition", "global_position", "ticket_id", "phase", F.size("retrieved").alias("retrieved"), "final_answer", "final_origin", "metric_component", "final_decision_error")
 
 
 def workflow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates by group over the three repetitions."""
-    t = W.in_trace_terms(W.rollout(tickets(spark, sf_dir), CONDITION, NearestAnswer(), SEARCH))
+    t = W.in_trace_terms(LR.rollout(tickets(spark, sf_dir), CONDITION, NearestAnswer(), SEARCH))
     out = S.over_runs(S.summary(t, "repetition"))
     return out.select("grp", "label", "decisions", "errors", *[F.round(x, 9).alias(x) for x in ("mean_rate", "sd_rate_pop", "pooled_rate")])
 

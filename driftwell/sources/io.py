@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions import vectors as V
@@ -103,14 +103,21 @@ def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """``(file, line, value)`` of lines that do not parse; numbers count every line of each file.
+    """``(file, line, value)`` of lines that do not parse; numbers count every line of each file, from 1.
 
-    For diagnosis: each file is read whole by one task.
+    A file is read in as many splits as it has.  A line's number is its place in its split and the lines of the splits
+    before it, which is one count a split.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.split(F.col("content").cast("string"), "\n").alias("l"))
-    lines = files.select("file", F.posexplode("l").alias("line", "value")).withColumn("line", F.col("line") + 1).filter(F.trim("value") != "")
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at")]
+    # Ids grow along a partition, and a partition reads its splits one after the other, each from its start.
+    lines = spark.read.option("lineSep", "\n").text(path).select(*split, F.monotonically_increasing_id().alias("_id"), "value")
+    counts = lines.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col("file").alias("_f"), F.col("_at").alias("_s"), "_first", F.coalesce(before, F.lit(0)).alias("_before"))
     broken = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})["_corrupt"]
-    return lines.filter(broken.isNotNull())
+    bad = lines.filter((F.trim("value") != "") & broken.isNotNull())
+    found = bad.join(starts, (F.col("file") == F.col("_f")) & (F.col("_at") == F.col("_s")))
+    return found.select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
 
 
 def read_runs(spark: SparkSession, path: str, schema: str, expected: int) -> DataFrame:

@@ -89,9 +89,37 @@ def partial_path(folder: str, run: int) -> str:
     return f"{folder}/run-{run:03d}.partial.jsonl"
 
 
-def append_tickets(tickets: DataFrame, folder: str, run: int) -> None:
-    """One batch of finished tickets of a repetition under way."""
-    tickets.write.mode("append").json(partial_path(folder, run))
+def commit_batch(rows: DataFrame, folder: str, number: int) -> bool:
+    """Write one numbered batch of JSON lines as ``batch=<number>``; whether it was new.
+
+    The batch appears by one rename, whole.  A batch that is there stays as it is, so whoever repeats a number after a
+    crash, with whatever rows, adds nothing.  Numbers belong to one writer at a time.
+    """
+    spark = rows.sparkSession
+    fs, place = _fs(spark, f"{folder}/batch={number}")
+    if fs.exists(place):
+        return False
+    temporary = f"{folder}/_tmp-{number}-{uuid.uuid4().hex[:8]}"
+    rows.write.json(temporary)
+    if not fs.rename(_path(spark, temporary), place):
+        raise OSError(f"cannot rename to {place}")
+    return True
+
+
+def read_batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All rows of the committed batches with their number as ``batch``; none where nothing has been committed."""
+    fs, place = _fs(spark, f"{folder}/batch=*")
+    if not fs.globStatus(place):
+        return spark.createDataFrame([], f"{schema}, batch int")
+    return spark.read.schema(f"{schema}, batch int").option("basePath", folder).option("mode", "FAILFAST").json(f"{folder}/batch=*")
+
+
+def append_tickets(tickets: DataFrame, folder: str, run: int, batch: int | None = None) -> None:
+    """One batch of finished tickets of a repetition under way; a numbered one that is there already adds nothing."""
+    if batch is None:
+        tickets.write.mode("append").json(partial_path(folder, run))
+    else:
+        commit_batch(tickets, partial_path(folder, run), batch)
 
 
 def finalize_run(spark: SparkSession, folder: str, run: int, position: str = "global_position") -> str:
@@ -105,7 +133,7 @@ def finalize_run(spark: SparkSession, folder: str, run: int, position: str = "gl
         if fs.exists(_path(spark, final)):
             return final
         raise ValueError(f"run {run} has no tickets")
-    lines = spark.read.text(partial).filter(F.trim("value") != "")
+    lines = spark.read.option("recursiveFileLookup", "true").text(partial).filter(F.trim("value") != "")
     place = F.get_json_object("value", f"$.{position}").cast("long").alias("p")
     lines = lines.select(place, "value")
     rows = lines.filter("p is not null").groupBy("p").agg(F.min("value").alias("value")).unionByName(lines.filter("p is null"))
@@ -125,7 +153,7 @@ def read_result(spark: SparkSession, path: str, schema: str, condition: int = 1,
     of ``repetitions`` of ``tickets`` (a suite; numbers count from 1).  No tickets is an error.
     """
     if path.rstrip("/").endswith(".jsonl"):
-        rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        rows = spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(path)
     else:
         whole = spark.read.text(path, wholetext=True).withColumnRenamed("value", "v")
         kinds = whole.select(F.get_json_object("v", "$.tickets").isNotNull().alias("run"), F.get_json_object("v", "$.conditions").isNotNull().alias("suite"))

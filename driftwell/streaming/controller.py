@@ -7,7 +7,7 @@ pass without effect, so a restarted source repeats nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict
 
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftwell.operators import controller as C
+from driftwell.sources.jobs import commit_batch
 
 STATE = "state string, numerator double, denominator double, observations int, last int, recent array<boolean>"
 INPUTS = ("quarter_position", "extra", "bootstrap", "abstain", "covers", "gold_correct", "human_correct", "coin")
@@ -55,3 +56,18 @@ def windowed_counts(events: DataFrame, late: str = "2 hours", width: str = "1 ho
 def to_folder(stream: DataFrame, folder: str, checkpoint: str):
     """Write what has arrived and stop; offsets and state stay in ``checkpoint``."""
     return stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def flushed(stream: DataFrame, folder: str, checkpoint: str, told: Callable[[int, bool], None] | None = None):
+    """Write what has arrived as numbered batches of JSON lines and stop.
+
+    A micro-batch is replayed under its own number where the stream died between its write and its commit, and
+    ``jobs.commit_batch`` takes a number once; ``told(number, new)`` hears of each.  ``jobs.read_batches`` reads them.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        new = commit_batch(rows, folder, number)
+        if told:
+            told(number, new)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,6 +11,7 @@ from driftwell.operators import trajectories as J
 from driftwell.plans import trace as T
 from driftwell.sources import io as S
 from driftwell.sources import jobs, vectors
+from driftwell.streaming import controller as streaming
 
 TICKET = "global_position int, ticket_id string"
 
@@ -99,6 +100,65 @@ def test_vector_store(spark, tmp_path):
     assert store.status()["points"] == 20 and store.rows().filter("id = 3").first().v == [0.0, 1.0]
     with pytest.raises(TimeoutError):
         store.wait_until(21, seconds=0.1)
+    before = store.rows()
+    store.delete(spark.createDataFrame([(5,), (77,)], "id long"))
+    store.upsert(spark.createDataFrame([(6, 40, [0.0, 2.0]), (6, 41, [3.0, 0.0])], "id long, ins long, v array<double>"), batch=1)
+    want = {i: i + 1 for i in range(20) if i not in (5, 6)} | {6: 41}
+    assert {r.id: r.ins for r in store.rows().collect()} == want and store.rows(41, 41).first().v == [1.0, 0.0]
+    assert before.count() == 20  # readers under way keep what they saw
+    assert {r.id for r in store.rows(3, 8).collect()} == {i for i, at in want.items() if 3 <= at <= 8}
+    store.compact()
+    assert {r.id: r.ins for r in store.rows().collect()} == want and store.rows().filter("id = 3").first().v == [0.0, 1.0]
+    assert "GreaterThanOrEqual(ins,3)" in store.rows(3, 8)._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "store" / "run-00000099-dead").mkdir()  # a write that broke off
+    store.MOST_RUNS = 2
+    for k in range(3):
+        store.upsert(data.filter(f"id = {k}"), batch=k)
+    state = store._state()
+    assert len(state["runs"]) == 0 and store.status()["points"] == 19 and store.status()["files"] >= 1
+    with pytest.raises(FileExistsError):
+        store.create(replace=False)
+    store.create()
+    assert store.rows().isEmpty() and store.status()["files"] == 0
+
+
+def test_a_batch_is_committed_once(spark, tmp_path):
+    folder = f"file://{tmp_path}/run"
+    assert jobs.read_batches(spark, folder, TICKET).isEmpty()
+    assert jobs.commit_batch(rows(spark, (1, 2)), folder, 0) and not jobs.commit_batch(rows(spark, (1, 2, 3)), folder, 0) and jobs.commit_batch(rows(spark, (3,)), folder, 1)
+    (tmp_path / "run" / "_tmp-2-dead").mkdir()
+    (tmp_path / "run" / "_tmp-2-dead" / "part-0.json").write_text("{")
+    assert sorted((r.batch, r.global_position) for r in jobs.read_batches(spark, folder, TICKET).collect()) == [(0, 1), (0, 2), (1, 3)]
+    job = f"file://{tmp_path}/x__job-1"
+    for _ in range(2):  # the whole run is repeated after a crash
+        jobs.append_tickets(rows(spark, (1, 2)), job, 1, batch=0)
+        jobs.append_tickets(rows(spark, (4, 3)), job, 1, batch=1)
+    assert jobs.read_result(spark, jobs.partial_path(job, 1), TICKET).columns == ["global_position", "ticket_id"]
+    final = jobs.finalize_run(spark, job, 1)
+    assert [json.loads(r.value)["global_position"] for r in spark.read.text(final).collect()] == [1, 2, 3, 4]
+
+
+def test_a_stream_that_dies_adds_no_row_twice(spark, tmp_path):
+    source, folder, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "out", "check"))
+    heard = []
+
+    def told(number, new):
+        heard.append((number, new))
+        if heard == [(0, True)]:
+            raise RuntimeError("the driver dies between write and commit")
+
+    def flow():
+        stream = spark.readStream.schema(TICKET).json(source)
+        return streaming.flushed(stream, folder, checkpoint, told)
+
+    rows(spark, (1, 2, 3)).coalesce(1).write.json(source)
+    with pytest.raises(Exception, match="between write and commit"):
+        flow().awaitTermination()
+    flow().awaitTermination()
+    rows(spark, (4, 5)).coalesce(1).write.mode("append").json(source)
+    flow().awaitTermination()
+    assert heard == [(0, True), (0, False), (1, True)]
+    assert sorted((r.batch, r.global_position) for r in jobs.read_batches(spark, folder, TICKET).collect()) == [(0, 1), (0, 2), (0, 3), (1, 4), (1, 5)]
 
 
 def test_request_must_be_the_benchmark(spark):

@@ -1,5 +1,8 @@
 import hashlib
 import json
+import threading
+import time
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +68,17 @@ def test_checksums_checkpoints_and_runs(spark, tmp_path):
     assert [(r.line, r.value) for r in io.bad_lines(spark, f"{tmp_path}/q.jsonl", "a int").collect()] == [(3, '{"a": ')]
     with pytest.raises(Exception):
         io.read_checkpoint(spark, f"{tmp_path}/q.jsonl", "a int").collect()
+    # Many splits of two files, with blank lines and a last line that does not end.
+    text = [['{"a": %d}' % i if i % 7 else "" if i % 3 else '{"a": %d' % i for i in range(n)] for n in (400, 91)]
+    for name, rows in zip("xy", text, strict=True):
+        (tmp_path / f"{name}.jsonl").write_bytes("\n".join(rows).encode())
+    want = {(f"{name}.jsonl", i + 1, v) for name, rows in zip("xy", text, strict=True) for i, v in enumerate(rows) if v and not v.endswith("}")}
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for most in ("100", "777", held):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        found = io.bad_lines(spark, f"{tmp_path}/[xy].jsonl", "a int")
+        assert {(r.file.split("/")[-1], r.line, r.value) for r in found.collect()} == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", held)
     (tmp_path / "run-001.json").write_text('{"a": 1}\n')
     assert io.read_runs(spark, str(tmp_path), "a int", 1).first().run == 1
     with pytest.raises(ValueError, match="2"):
@@ -111,6 +125,79 @@ def test_retries_and_fail_safe():
         M.checked_judgment({"covered": True, "confidence": 2, "reason": ""})
 
 
+def test_each_kind_of_failure_has_its_own_retries():
+    waits = []
+    rule = M.Retries(M.Backoff(2, 5.0, 8.0), M.Backoff(1), M.Backoff(1, 3.0), M.Backoff(1, 1.0), sleep=waits.append, draw=lambda: 0.0)
+
+    def failing(*errors):
+        left = list(errors)
+
+        def ask():
+            if left:
+                raise left.pop(0)
+            return {"ok": 1}
+
+        return ask
+
+    assert rule.call(failing(M.Throttled(), M.Unavailable(), TimeoutError(), M.Malformed(), M.Throttled(after=0.5))) == {"ok": 1}
+    assert waits == [2.5, 2.5, 1.5, 0.5, 0.5]
+    waits.clear()
+    with pytest.raises(M.Throttled):
+        rule.call(failing(*[M.Throttled()] * 3))
+    assert waits == [2.5, 4.0]  # the second wait is bounded
+    with pytest.raises(M.Unavailable):
+        rule.call(failing(M.Unavailable(), M.Unavailable()))
+    with pytest.raises(KeyError):
+        rule.call(failing(KeyError("x")))
+    assert [M.Backoff(9, 1.0, 100.0).wait(n, 0.0) for n in (1, 2, 7, 8, 9)] == [0.5, 1.0, 32.0, 32.0, 32.0]
+
+
+def test_calls_run_side_by_side_within_their_bound():
+    lock, now, most, begun = threading.Lock(), [0], [0], []
+
+    def call(i):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+            begun.append((i, M.current_call()["stage"]))
+        time.sleep(0.02 * (1 + i % 3))
+        with lock:
+            now[0] -= 1
+        if i == 30:
+            raise ValueError("thirty")
+        return {"i": i}
+
+    with M.call_context(stage="decide"):
+        start = time.perf_counter()
+        got = list(M.in_order((partial(call, i) for i in range(24)), 6))
+        took = time.perf_counter() - start
+    assert [x["i"] for x in got] == list(range(24)) and most[0] == 6 and took < 24 * 0.04 / 2
+    assert {s for _, s in begun} == {"decide"}
+    begun.clear()
+    with M.call_context(stage="x"), pytest.raises(ValueError, match="thirty"):
+        list(M.in_order((partial(call, i) for i in range(28, 1000)), 3))
+    assert len(begun) <= 7
+    with pytest.raises(ValueError):
+        list(M.in_order([], 0))
+
+
+def test_slow_models_side_by_side_in_spark(spark):
+    class Slow:
+        """Answers late, and not at all where the question says so."""
+
+        def decide(self, question, retrieved):
+            time.sleep(0.05)
+            return {} if question == "bad" else {"answer": question, "abstain": False, "evidence_ids": [], "reason": "late"}
+
+    rows = spark.createDataFrame([(str(i), "bad" if i == 7 else f"q{i}", []) for i in range(40)], "id string, question string, retrieved array<struct<id:string,final_answer:string>>")
+    quick = M.Retries(malformed=M.Backoff(1, 0.0), sleep=lambda s: None)
+    out = {r.id: r for r in M.decisions(rows, Slow(), quick, calls=8, width=4).collect()}
+    assert len(out) == 40 and all(r.answer == f"q{i}" for i, r in out.items() if i != "7") and out["7"].abstain
+    assert M.decisions(rows, Slow(), quick, calls=8, width=4).rdd.getNumPartitions() <= 2
+    with pytest.raises(ValueError):
+        M.decisions(rows, Slow(), quick, calls=2, width=4)
+
+
 def test_samples_rules_and_text(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") < 400, "drift").otherwise("stable").alias("s"))
     got = {r.s: r["count"] for r in G.stratified(df, "id", "s", 20, 1).groupBy("s").count().collect()}
