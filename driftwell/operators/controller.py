@@ -187,22 +187,35 @@ class Controller:
         return before, self.state, taken, seen, obs, self.obs, fea, self.fea, self.num, self.den, origin, component, correct, trigger, mean, graded
 
 
+INPUTS = ("quarter_position", "extra", "bootstrap", "abstain", "covers", "gold_correct", "human_correct", "coin")
+
+
 def fold(tickets: DataFrame, by: str, c: Condition) -> DataFrame:
-    """``tickets`` with the outcome of every step, each repetition in the order of ``position``."""
-    names = [f for f in tickets.schema.fields if f.name != "row"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names) + ", " + STEP
+    """``tickets`` with the outcome of every step, each repetition in the order of ``position``.
+
+    A task reads its repetitions one after the other as sorted batches and holds one batch and one controller, however
+    long a repetition is.  Tickets without a repetition are one.
+    """
+    fields = [f for f in tickets.schema.fields if f.name != "row"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", " + STEP
     made = [x.split()[0] for x in STEP.split(", ")]
     options = asdict(c)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position", ignore_index=True)
-        state = Controller(Condition(**options))
-        inputs = zip(*(rows[x] for x in ("quarter_position", "extra", "bootstrap", "abstain", "covers", "gold_correct", "human_correct", "coin")), strict=True)
-        out = pd.DataFrame([state.step(*x) for x in inputs], columns=made)
-        out["observation"] = out["observation"].astype("Int32")
-        return pd.concat([rows, out], axis=1)
-
-    return tickets.groupBy(by).applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, of = None, None
+        for rows in batches:
+            out = []
+            for key, *inputs in zip(rows[by], *(rows[x] for x in INPUTS), strict=True):
+                key = None if key != key else key  # a missing number reads as NaN
+                if state is None or key != of:
+                    state, of = Controller(Condition(**options)), key
+                out.append(state.step(*inputs))
+            steps = pd.DataFrame(out, columns=made, index=rows.index)
+            steps["observation"] = steps["observation"].astype("Int32")
+            yield pd.concat([rows, steps], axis=1)
+
+    rows = tickets.select(*[f.name for f in fields])
+    return rows.repartition(F.col(by)).sortWithinPartitions(by, "position").mapInPandas(run, schema)
 
 
 def chunked(rows: Iterator, size: int) -> Iterator[list]:

@@ -21,7 +21,8 @@ def prefix_sums(rows: DataFrame, run: str, measures: dict[str, Column], order: s
     ``order`` is a whole number, unique in a run, gaps allowed; null measures count as nothing.  Rows without a run are one
     run.  Rows are shuffled once, by run and block; what meets them again is a block's total.
     """
-    block = F.floor(F.col(order) / F.lit(size)).cast("long")
+    # Never null, so that no filter tells the two uses of the shuffled rows apart and they are made once.
+    block = F.coalesce(F.floor(F.col(order) / F.lit(size)).cast("long"), F.lit(0))
     # A struct is equal to its like also where it holds null, so the runs' name may be missing.
     marked = rows.select(F.struct(run).alias("_run"), block.alias("_block"), order, *keep, *[m.alias(f"_{n}") for n, m in measures.items()])
     w = Window.partitionBy("_run", "_block").orderBy(order)

@@ -30,8 +30,14 @@ def score_bands(spark, sf_dir):
 
 
 def decay_titles(spark, sf_dir):
-    grid = spark.createDataFrame([(a, b) for a in Q.LAMBDAS for b in Q.LAMBDAS], "retrieval double, reliability double")
-    return grid.groupBy(B.decay_title(F.col("retrieval"), F.col("reliability")).alias("title")).agg(F.count("*").alias("n"))
+    """Vectors by the title of their condition: their place names the decay of retrieval, their label that of reliability."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    decays = F.array(*[F.lit(x) for x in Q.LAMBDAS])
+
+    def decay(name: str):
+        return F.get(decays, F.pmod(F.col(name), F.lit(len(Q.LAMBDAS))).cast("int"))
+
+    return e.groupBy(B.decay_title(decay("vec_id"), decay("label")).alias("title")).agg(F.count("*").alias("n"))
 
 
 def resource_types(spark, sf_dir):
@@ -84,7 +90,8 @@ ORACLE = {
         UNION ALL SELECT o.user_id, o.event_id, o.n, {DEMO_DECAY}::DOUBLE * f.a + o.delta, {DEMO_DECAY}::DOUBLE * f.b + 1 FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
       SELECT user_id, event_id, round(a / b, 9) AS fea, n + {DEMO_SEEN} >= {DEMO_LEAST} AND a / b > {DEMO_FEA}::DOUBLE AS open FROM f WHERE n > 0""",
     "score_bands": T.trace_sql() + "SELECT position, round(greatest(0.0::DOUBLE, avg(fea_after) - stddev_pop(fea_after)), 9) AS low, round(least(1.0::DOUBLE, avg(fea_after) + stddev_pop(fea_after)), 9) AS high FROM trace GROUP BY position",
-    "decay_titles": f"SELECT CASE WHEN a < 1 AND b < 1 THEN 'decay' WHEN a < 1 THEN 'retrieval decay only' WHEN b < 1 THEN 'reliability decay only' ELSE 'no decay' END AS title, count(*) AS n FROM (SELECT unnest([{', '.join(map(str, Q.LAMBDAS))}]) AS a), (SELECT unnest([{', '.join(map(str, Q.LAMBDAS))}]) AS b) GROUP BY 1",
+    "decay_titles": f"""SELECT CASE WHEN a < 1 AND b < 1 THEN 'decay' WHEN a < 1 THEN 'retrieval decay only' WHEN b < 1 THEN 'reliability decay only' ELSE 'no decay' END AS title, count(*) AS n
+      FROM (SELECT [{', '.join(map(str, Q.LAMBDAS))}][vec_id % 5 + 1] AS a, [{', '.join(map(str, Q.LAMBDAS))}][label % 5 + 1] AS b FROM embeddings) GROUP BY 1""",
     "resource_types": "SELECT CASE WHEN starts_with(p_type, 'STANDARD') THEN 'profile' WHEN starts_with(p_type, 'SMALL') THEN 'model' ELSE 'custom' END AS kind, count(*) AS n FROM part GROUP BY 1",
     "strategy_summary": f"WITH {_P}, "
     + "r AS ("

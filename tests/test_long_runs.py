@@ -91,3 +91,25 @@ def test_reliability_in_blocks_equals_the_fold(spark, decay):
         got = L.running(rows, "run", "x", "n", decay, (2.0, 3.0), most)
         assert got.columns == ["run", "n", "x", "fea"]
         assert {(r.run, r.n): r.fea for r in got.collect()} == pytest.approx(want, abs=1e-12)
+
+
+def test_a_fold_over_many_batches_equals_one_fold_a_run(spark):
+    """Runs of unequal length, one without a name, in batches that cut through them."""
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    c = C.Condition(0.5, 0.3, 0.6, 3, 2, 0.9)
+    for run, n in ((1, 120), (2, 1), (None, 33), (4, 70)):
+        control = C.Controller(c)
+        for p in range(1, n + 1):
+            x = (1 + (p - 1) % 25, *(bool(v) for v in rng.random(7) < (0.05, 0.05, 0.2, 0.7, 0.7, 0.6, 0.5)))
+            rows.append((run, p, *x))
+            want[run, p] = control.step(*x)
+    tickets = spark.createDataFrame(rows, "run int, position int, quarter_position int, " + ", ".join(f"{x} boolean" for x in C.INPUTS[1:])).orderBy(F.rand(1))
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = {(r.run, r.position): r for r in C.fold(tickets, "run", c).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    names = [x.split()[0] for x in C.STEP.split(", ")]
+    assert got.keys() == want.keys()
+    for k, out in want.items():
+        assert [got[k][x] for x in names] == list(out)
