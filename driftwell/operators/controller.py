@@ -16,7 +16,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -191,31 +191,48 @@ INPUTS = ("quarter_position", "extra", "bootstrap", "abstain", "covers", "gold_c
 
 
 def fold(tickets: DataFrame, by: str, c: Condition) -> DataFrame:
-    """``tickets`` with the outcome of every step, each repetition in the order of ``position``.
+    """``tickets`` with the outcome of every step, each repetition in the order of ``position``; see ``fold_each``."""
+    return fold_each(tickets, by, {"": c}, "_condition").drop("_condition")
 
-    A task reads its repetitions one after the other as sorted batches and holds one batch and one controller, however
-    long a repetition is.  Tickets without a repetition are one.
+
+def fold_each(tickets: DataFrame, by: str, conditions: dict[str, Condition], label: str = "condition") -> DataFrame:
+    """The tickets once for each condition, which ``label`` names, with the outcome of every step.
+
+    Tickets are shuffled and sorted once; a controller for each condition walks them side by side.  A task reads its
+    repetitions one after the other as sorted batches and holds one batch and these controllers, however long a
+    repetition is.  Tickets without a repetition are one.  Phases and routing are columns of the tickets, so all
+    conditions must route alike.  The shuffle has as many tasks as the session sets: adaptive execution would join
+    them by bytes, and these rows are few bytes and much work.
     """
+    if len({(c.enabled, c.review, c.bootstrap, c.strategy, c.single_profile) for c in conditions.values()}) > 1:
+        raise ValueError("conditions that route tickets differently need a fold each")
+    if label in tickets.columns:
+        raise ValueError(f"the tickets have a column {label!r}")
     fields = [f for f in tickets.schema.fields if f.name != "row"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", " + STEP
-    made = [x.split()[0] for x in STEP.split(", ")]
-    options = asdict(c)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", {STEP}, `{label}` string"
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64()}
+    made = [(name, kinds[kind]) for name, kind in (x.split() for x in STEP.split(", "))]
+    options = {name: asdict(c) for name, c in conditions.items()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, of = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walkers, of = None, None
         for rows in batches:
-            out = []
-            for key, *inputs in zip(rows[by], *(rows[x] for x in INPUTS), strict=True):
-                key = None if key != key else key  # a missing number reads as NaN
-                if state is None or key != of:
-                    state, of = Controller(Condition(**options)), key
-                out.append(state.step(*inputs))
-            steps = pd.DataFrame(out, columns=made, index=rows.index)
-            steps["observation"] = steps["observation"].astype("Int32")
-            yield pd.concat([rows, steps], axis=1)
-
+            out = {name: [] for name in options}
+            for key, *inputs in zip(*(rows.column(x).to_pylist() for x in (by, *INPUTS)), strict=True):
+                if walkers is None or key != of:
+                    walkers, of = {name: Controller(Condition(**o)) for name, o in options.items()}, key
+                for name, controller in walkers.items():
+                    out[name].append(controller.step(*inputs))
+            for name, steps in out.items():
+                columns = zip(*steps, strict=True) if steps else [()] * len(made)
+                steps = [pa.array(values, kind) for values, (_, kind) in zip(columns, made, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, *steps, pa.array([name] * rows.num_rows, pa.string())], [*rows.schema.names, *(x for x, _ in made), label]
+                )
+
+    tasks = int(tickets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = tickets.select(*[f.name for f in fields])
-    return rows.repartition(F.col(by)).sortWithinPartitions(by, "position").mapInPandas(run, schema)
+    return rows.repartition(tasks, F.col(by)).sortWithinPartitions(by, "position").mapInArrow(run, schema)
 
 
 def chunked(rows: Iterator, size: int) -> Iterator[list]:

@@ -6,7 +6,7 @@ can repeat them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwell.operators import controller as C
@@ -53,11 +53,20 @@ def tickets(spark: SparkSession, sf_dir: str, c: C.Condition = CONDITION) -> Dat
     )
 
 
-def trace(spark: SparkSession, sf_dir: str, c: C.Condition = CONDITION, users: Column | None = None) -> DataFrame:
-    """One row per ticket, of all users or of those that ``users`` picks before the fold; ``fea_*`` are reliabilities, ``final_error`` the outcome; ``gold_reused`` where one judgment served twice."""
-    rows = tickets(spark, sf_dir, c)
-    t = C.fold(rows if users is None else rows.filter(users), "user_id", c)
-    called, judged = F.lit(c.enabled), F.lit(c.enabled) & ~F.col("abstain")
+def trace(spark: SparkSession, sf_dir: str, c: C.Condition = CONDITION, answers: bool = True) -> DataFrame:
+    """One row per ticket; ``fea_*`` are reliabilities, ``final_error`` the outcome; ``gold_reused`` where one judgment served twice.
+
+    Without ``answers`` the three answer texts are left out before the shuffle and the fold.
+    """
+    return traces(spark, sf_dir, {"": c}, answers).drop("condition")
+
+
+def traces(spark: SparkSession, sf_dir: str, conditions: dict[str, C.Condition], answers: bool = True) -> DataFrame:
+    """The trace of each condition, which ``condition`` names, from one pass over the tickets; all must route alike."""
+    one = next(iter(conditions.values()))
+    rows = tickets(spark, sf_dir, one)
+    t = C.fold_each(rows if answers else rows.drop("gold_answer", "human_answer", "model_answer"), "user_id", conditions)
+    called, judged = F.lit(one.enabled), F.lit(one.enabled) & ~F.col("abstain")
     return t.select(
         "*",
         (~F.col("final_is_correct")).alias("final_error"),

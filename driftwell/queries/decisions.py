@@ -11,6 +11,7 @@ from driftwell.operators import statistics as X
 from driftwell.operators import summaries as S
 from driftwell.operators import trajectories as J
 from driftwell.plans import trace as T
+from driftwell.session import stored
 
 DECAY, RUN = 0.99861, "user_id"
 PAIRED = C.Condition(alpha=0.6, gamma=0.75, least_observations=3, review=3, decay=1.0)
@@ -29,6 +30,11 @@ def r9(name: str):
     return F.round(name, 9).alias(name)
 
 
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace without the answer texts, which only the judges' audit reads."""
+    return T.trace(spark, sf_dir, answers=False)
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
@@ -50,7 +56,7 @@ def fea_running_fold(spark, sf_dir):
 
 def recent_gold_window(spark, sf_dir):
     """Mean of the last 30 answers graded beside a human (SO and SC), at each such ticket."""
-    t = T.trace(spark, sf_dir).filter(F.col("judged") & (F.col("state_before") != "DS"))
+    t = _steps(spark, sf_dir).filter(F.col("judged") & (F.col("state_before") != "DS"))
     mean = L.trailing_mean(F.col("gold_correct").cast("double"), RUN, "position", T.CONDITION.gold_window)
     return t.select(RUN, "position", F.round(mean, 9).alias("recent_gold"))
 
@@ -61,27 +67,27 @@ def controller_states(spark, sf_dir):
 
 
 def trace(spark, sf_dir):
-    t = T.trace(spark, sf_dir)
+    t = _steps(spark, sf_dir)
     return t.select(RUN, "event_id", "position", "quarter", "quarter_position", "profile", "state_before", "state_after", "accepted", "observation",
                     "observations_after", "final_origin", "component", "final_error", "trigger", "gold_reused", "recent_graded", r9("recent_gold"), r9("fea_before"), r9("fea_after"))
 
 
 def controller_transitions(spark, sf_dir):
-    return S.transitions(T.trace(spark, sf_dir), RUN).select(RUN, "position", "quarter", "from_state", "to_state", "cause", "observations", r9("fea"), r9("recent_gold"), "recent_graded", r9("fea_minus_gold"))
+    return S.transitions(_steps(spark, sf_dir), RUN).select(RUN, "position", "quarter", "from_state", "to_state", "cause", "observations", r9("fea"), r9("recent_gold"), "recent_graded", r9("fea_minus_gold"))
 
 
 def transition_summary(spark, sf_dir):
-    out = S.transition_summary(S.transitions(T.trace(spark, sf_dir), RUN))
+    out = S.transition_summary(S.transitions(_steps(spark, sf_dir), RUN))
     return out.select("transition", "n", *[r9(f"mean_{x}") for x in ("observations", "position", "fea", "recent_gold", "fea_minus_gold")])
 
 
 def quarter_reset(spark, sf_dir):
-    t = T.trace(spark, sf_dir).filter("quarter_position = 1")
+    t = _steps(spark, sf_dir).filter("quarter_position = 1")
     return t.groupBy("quarter", "state_before").agg(F.count("*").alias("runs"))
 
 
 def final_origin_mix(spark, sf_dir):
-    return T.trace(spark, sf_dir).groupBy("final_origin", "component").agg(F.count("*").alias("n"))
+    return _steps(spark, sf_dir).groupBy("final_origin", "component").agg(F.count("*").alias("n"))
 
 
 def baseline_phase(spark, sf_dir):
@@ -133,7 +139,7 @@ def replay_error(spark, sf_dir):
 
 
 def ticket_summary_groups(spark, sf_dir):
-    return S.summary(T.trace(spark, sf_dir)).select("grp", "label", "decisions", "errors", r9("error_rate"))
+    return S.summary(_steps(spark, sf_dir)).select("grp", "label", "decisions", "errors", r9("error_rate"))
 
 
 def profile_drift_rates(spark, sf_dir):
@@ -141,37 +147,37 @@ def profile_drift_rates(spark, sf_dir):
 
 
 def repetition_aggregate(spark, sf_dir):
-    out = S.over_runs(S.summary(T.trace(spark, sf_dir), RUN))
+    out = S.over_runs(S.summary(_steps(spark, sf_dir), RUN))
     return out.select("grp", "label", "decisions", "errors", r9("mean_rate"), r9("sd_rate_pop"), r9("pooled_rate"))
 
 
 def scope_counts(spark, sf_dir):
     """Overall, by quarter, by drift, and by both."""
-    t = T.trace(spark, sf_dir)
+    t = _steps(spark, sf_dir)
     drift = F.when(F.col("is_drift"), "drift").otherwise("stable")
     t = t.withColumn("scope", F.explode(F.array(*[F.struct(q.alias("quarter"), d.alias("drift")) for q in (F.lit(0), F.col("quarter")) for d in (F.lit("all"), drift)])))
     return S.scope_counts(t, "scope").select("scope.*", *S.SCOPE)
 
 
 def count_distribution(spark, sf_dir):
-    per_run = S.scope_counts(T.trace(spark, sf_dir), RUN, "quarter")
+    per_run = S.scope_counts(_steps(spark, sf_dir), RUN, "quarter")
     out = S.count_distribution(per_run, "model_abstentions", "quarter")
     return out.select("quarter", "total", r9("mean"), r9("sd_pop"), "least", "most")
 
 
 def rate_distribution(spark, sf_dir):
-    per_run = S.scope_counts(T.trace(spark, sf_dir), RUN, "quarter")
+    per_run = S.scope_counts(_steps(spark, sf_dir), RUN, "quarter")
     out = S.rate_distribution(per_run, "final_errors", "final_decisions", "quarter")
     return out.select("quarter", r9("mean_rate"), r9("sd_rate_pop"), r9("pooled_rate"))
 
 
 def sc_acceptance(spark, sf_dir):
-    out = S.rate_distribution(S.suggestions(T.trace(spark, sf_dir), RUN), "taken", "decisions")
+    out = S.rate_distribution(S.suggestions(_steps(spark, sf_dir), RUN), "taken", "decisions")
     return out.select(r9("mean_rate"), r9("sd_rate_pop"), r9("pooled_rate"))
 
 
-def _metrics(spark, sf_dir, c=T.CONDITION):
-    return S.per_run_metrics(T.trace(spark, sf_dir, c), RUN)
+def _metrics(spark, sf_dir):
+    return S.per_run_metrics(_steps(spark, sf_dir), RUN)
 
 
 def per_run_metrics(spark, sf_dir):
@@ -179,16 +185,20 @@ def per_run_metrics(spark, sf_dir):
     return m.select(*[r9(f.name) if f.dataType.simpleString() == "double" else f.name for f in m.schema.fields])
 
 
-def _runs(spark, sf_dir, c=T.CONDITION):
-    """The metrics of ten runs that share all users among them, with their fingerprints."""
-    t = T.trace(spark, sf_dir, c).withColumn("run", F.col(RUN) % RUNS)
+def _runs(spark, sf_dir, conditions, *by):
+    """The metrics of ten runs that share all users among them, with their fingerprints, by condition.
+
+    All conditions come from one pass over the tickets.  What is kept is a row a run, written and read back, since the
+    statistics read it several times.
+    """
+    t = T.traces(spark, sf_dir, conditions, answers=False).withColumn("run", F.col(RUN) % RUNS).withColumns(dict(by))
     t = t.withColumn("assignment", F.xxhash64(RUN, "event_id", "position", "profile")).withColumn("position", F.struct("position", RUN))
-    return S.per_run_metrics(t, "run")
+    return stored(S.per_run_metrics(t, "condition", *[name for name, _ in by], "run").coalesce(1), "runs")
 
 
 def condition_summary(spark, sf_dir):
     pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in METRICS]))
-    out = X.describe(_runs(spark, sf_dir).select(pairs.alias("_m")).select("_m.*"), "value", "metric")
+    out = X.describe(_runs(spark, sf_dir, {"slow": T.CONDITION}).select(pairs.alias("_m")).select("_m.*"), "value", "metric")
     return out.select("metric", "n", *[r9(c) for c in ("mean", "sd_samp", "least", "most", "ci_low", "ci_high")])
 
 
@@ -215,7 +225,7 @@ def latency_percentiles(spark, sf_dir):
 
 
 def _running(spark, sf_dir, hit, counted, name, empty):
-    rates = J.running_rates(T.trace(spark, sf_dir), RUN, {name: (hit, counted, empty)})
+    rates = J.running_rates(_steps(spark, sf_dir), RUN, {name: (hit, counted, empty)})
     return rates.select(RUN, "position", r9(name))
 
 
@@ -251,12 +261,12 @@ def cumulative_abstention_success(spark, sf_dir):
 
 
 def pointwise_mean_std(spark, sf_dir):
-    out = J.pointwise(T.trace(spark, sf_dir), "position", "fea_after")
+    out = J.pointwise(_steps(spark, sf_dir), "position", "fea_after")
     return out.select("position", r9("mean"), r9("sd_pop"), "runs")
 
 
 def averaged_trajectories(spark, sf_dir):
-    return J.averaged(T.trace(spark, sf_dir), RUN).select("label", "position", r9("mean"), r9("sd_pop"))
+    return J.averaged(_steps(spark, sf_dir), RUN).select("label", "position", r9("mean"), r9("sd_pop"))
 
 
 def quarter_ranges(spark, sf_dir):
@@ -264,7 +274,7 @@ def quarter_ranges(spark, sf_dir):
 
 
 def state_ranges(spark, sf_dir):
-    return J.ranges(T.trace(spark, sf_dir), RUN, "state_after")
+    return J.ranges(_steps(spark, sf_dir), RUN, "state_after")
 
 
 def drift_rate_by_quarter(spark, sf_dir):
@@ -274,12 +284,14 @@ def drift_rate_by_quarter(spark, sf_dir):
 
 
 def last_non_null(spark, sf_dir):
-    t = T.trace(spark, sf_dir).withColumn("v", F.when(F.col("position") % 3 == 0, F.lit(float("nan"))).when(F.col("position") % 5 != 0, F.col("fea_after")))
+    t = _steps(spark, sf_dir).withColumn("v", F.when(F.col("position") % 3 == 0, F.lit(float("nan"))).when(F.col("position") % 5 != 0, F.col("fea_after")))
     return J.last_value(t, RUN, "v").select(RUN, r9("v"))
 
 
 def _diffs(spark, sf_dir):
-    return X.paired(_runs(spark, sf_dir), _runs(spark, sf_dir, PAIRED), "run", METRICS, equal=("tickets", "assignment"))
+    runs = _runs(spark, sf_dir, {"slow": T.CONDITION, "paired": PAIRED})
+    slow, paired = (runs.filter(F.col("condition") == name) for name in ("slow", "paired"))
+    return X.paired(slow, paired, "run", METRICS, equal=("tickets", "assignment"))
 
 
 def paired_differences(spark, sf_dir):
@@ -306,23 +318,22 @@ def cohens_dz(spark, sf_dir):
 
 def factorial_contrasts(spark, sf_dir):
     """Two factors, decay and thresholds, of the final error."""
-    cells = None
-    for a, decay in enumerate((DECAY, 1.0)):
-        for b, base in enumerate((T.CONDITION, PAIRED)):
-            c = C.Condition(base.alpha, base.beta, base.gamma, base.least_observations, 3, decay)
-            rows = _runs(spark, sf_dir, c).select("run", F.lit(a).alias("a"), F.lit(b).alias("b"), "final_error_pct")
-            cells = rows if cells is None else cells.union(rows)
+    conditions = {
+        f"{a}{b}": C.Condition(base.alpha, base.beta, base.gamma, base.least_observations, 3, decay)
+        for a, decay in enumerate((DECAY, 1.0))
+        for b, base in enumerate((T.CONDITION, PAIRED))
+    }
+    cells = _runs(spark, sf_dir, conditions)
+    cells = cells.select("run", *[F.substring("condition", i + 1, 1).cast("int").alias(x) for i, x in enumerate("ab")], "final_error_pct")
     out = X.describe(X.contrasts(cells, "run", "final_error_pct"), "diff", "contrast")
     return out.select("contrast", "n", r9("mean"), r9("sd_samp"))
 
 
 def _against(spark, sf_dir, left, right):
     """Mean difference of two percentages in eight conditions, exact tests corrected over all eight."""
-    rows = None
-    for cohort, name, c in CONDITIONS:
-        t = T.trace(spark, sf_dir, c, F.floor(F.col(RUN) / 10) % 2 == cohort).withColumn("run", F.col(RUN) % RUNS).withColumn("position", F.struct("position", RUN))
-        d = S.per_run_metrics(t, "run").select("run", F.lit(cohort).alias("cohort"), F.lit(name).alias("controller"), (F.col(left) - F.col(right)).alias("diff"))
-        rows = d if rows is None else rows.union(d)
+    cohort = (F.floor(F.col(RUN) / 10) % 2).cast("int")
+    rows = _runs(spark, sf_dir, {name: c for _, name, c in CONDITIONS}, ("cohort", cohort))
+    rows = rows.select("run", "cohort", F.col("condition").alias("controller"), (F.col(left) - F.col(right)).alias("diff"))
     by = ("cohort", "controller")
     p = X.holm(X.sign_flip(spark, rows, "run", *by), "p")
     return p.join(X.describe(rows, "diff", *by), list(by)).select(*by, "n", r9("mean"), F.round(X.effect_size(F.col("mean"), F.col("sd_samp")), 9).alias("dz"), r9("p"), r9("holm_p"))

@@ -24,7 +24,7 @@ def reliability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_bands(spark, sf_dir):
-    points = J.pointwise(T.trace(spark, sf_dir), "position", "fea_after")
+    points = J.pointwise(T.trace(spark, sf_dir, answers=False), "position", "fea_after")
     low, high = B.band(F.col("mean"), F.col("sd_pop"))
     return points.select("position", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
@@ -78,7 +78,7 @@ def smoke_fixture(spark, sf_dir):
 
 def event_log(spark, sf_dir):
     """Structured log lines of a run's state changes, as JSON with sorted fields."""
-    t = T.trace(spark, sf_dir).filter("state_before <> state_after")
+    t = T.trace(spark, sf_dir, answers=False).filter("state_before <> state_after")
     line = F.to_json(F.struct(F.lit("transition").alias("event"), F.col("position"), F.col("state_after").alias("to"), F.col(RUN)))
     return t.select(RUN, "position", line.alias("line"))
 

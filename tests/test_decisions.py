@@ -126,3 +126,17 @@ def test_windowed_stream(spark, tmp_path):
     live = spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in")
     S.to_folder(S.windowed_counts(live), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert 0 < spark.read.parquet(f"{tmp_path}/out").agg(F.sum("n")).first()[0] <= e.count()
+
+
+def test_conditions_side_by_side_equal_a_fold_each(spark):
+    t = T.tickets(spark, SF)
+    conditions = {"slow": T.CONDITION, "never": C.Condition(least_observations=5, review=3, acceptance="never"), "flat": C.Condition(least_observations=3, review=3, decay=1.0)}
+    both = C.fold_each(t, "user_id", conditions)
+    for name, c in conditions.items():
+        got, want = both.filter(F.col("condition") == name).drop("condition"), C.fold(t, "user_id", c)
+        assert got.schema == want.schema and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert both.count() == 3 * t.count() and C.fold_each(t.limit(0), "user_id", conditions).count() == 0
+    with pytest.raises(ValueError):
+        C.fold_each(t, "user_id", {"a": T.CONDITION, "b": C.Condition(review=4)})
+    with pytest.raises(ValueError):
+        C.fold_each(t, "user_id", {"a": T.CONDITION}, "category")
