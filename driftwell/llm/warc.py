@@ -8,6 +8,10 @@ it.  Who revisits whom is settled on narrow rows of id and hash, where a group t
 gathered; the outcome travels to the writer as marker rows that sort right before their page, so payloads are
 shuffled once, by id.
 
+Pages without id come before all others, in ranges of their own, dealt by the hash of payload and url.  Such pages that
+also agree in payload and url give one and the same record, so they travel as rows that say how many of them there are,
+at most ``COPIES`` a row, and no task gets them all however many they are.
+
 Each record is a gzip member with regenerated HTTP and WARC headers, block and payload digests, a fixed date
 and a record id derived from page id and digest.  A task rolls to a new file once the compressed size reaches
 ``roll`` bytes and writes under names of its attempt; the driver renames what successful attempts report, so a task
@@ -42,6 +46,7 @@ from driftwell.llm._util import Scratch, commit, frugal, shared_dir, table, with
 
 ROLL_BYTES, LEVEL = 64 << 20, 3
 RANGE_BYTES, RANGES, SAMPLE = 16 << 20, 20_000, 200_000
+COPIES = 256
 DATE = "2000-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -134,29 +139,52 @@ def page_of(record: bytes) -> tuple | None:
     return (page and int(page), size, digest, kind, refers and int(refers))
 
 
-def with_markers(pages: DataFrame, least: int, tmp: Scratch) -> DataFrame:
-    """``(page_id, sha, marks, url, html)``: pages, and before each page that revisits another a row that says which."""
+def dealt(pages: DataFrame, starts: list[int], nameless: int) -> DataFrame:
+    """``(page_id, sha, url, html, copies, part)``; pages without id have the first ``nameless`` parts, ids follow by ``starts``."""
     plain = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(plain, 256).alias("sha"), F.coalesce("url", F.lit("about:blank")).alias("url"), plain.alias("html"))
-    large = tmp.keep(rows.filter(F.octet_length("html") >= least).select("page_id", "sha"), "payloads")
+    borders_of = np.array(starts, np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(nameless + np.searchsorted(borders_of, ids.astype("int64"), "right"))
+
+    named = rows.filter("page_id is not null").select("*", F.lit(1).cast("long").alias("copies"), range_of("page_id").alias("part"))
+    if not nameless:
+        return named
+    alike = rows.filter("page_id is null").groupBy("sha", "url").agg(F.any_value("html").alias("html"), F.count("*").alias("n"))
+    alike = alike.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    copies = F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("k") * COPIES)
+    part = F.pmod(F.xxhash64("sha", "url", "k"), F.lit(nameless)).cast("int")
+    return named.union(alike.select(F.lit(None).cast("long"), "sha", "url", "html", copies, part))
+
+
+def with_markers(rows: DataFrame, least: int, tmp: Scratch) -> DataFrame:
+    """``(page_id, sha, marks, url, html, copies, part)``: pages as ``dealt``, and before those that revisit another a row that says which."""
+    large = tmp.keep(rows.filter(F.octet_length("html") >= least).select("page_id", "sha", "part"), "payloads")
     keepers = large.groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1 and keeper is not null")
     twins = with_group(large, tmp.keep(keepers, "keepers"), "sha", "n", large.count()).filter("page_id is null or page_id < keeper").filter("keeper is not null")
     nothing = [F.lit(None).cast("string").alias(x) for x in ("url", "html")]
-    marks = twins.select("page_id", "sha", "keeper").distinct().select("page_id", "sha", F.col("keeper").alias("marks"), *nothing)
-    return rows.select("page_id", "sha", F.lit(None).cast("long").alias("marks"), "url", "html").union(marks)
+    marks = twins.select("page_id", "sha", "keeper", "part").distinct().select("page_id", "sha", F.col("keeper").alias("marks"), *nothing, F.lit(0).cast("long").alias("copies"), "part")
+    return rows.select("page_id", "sha", F.lit(None).cast("long").alias("marks"), "url", "html", "copies", "part").union(marks)
 
 
-def borders(pages: DataFrame, size: int) -> list[int]:
-    """Ids that begin a new range, for ranges of about ``size`` bytes; at most ``RANGES`` ids and ``SAMPLE`` sampled ones."""
+def borders(pages: DataFrame, size: int) -> tuple[list[int], int]:
+    """Ids that begin a new range and the number of ranges of pages without id, for ranges of about ``size`` bytes.
+
+    At most ``RANGES`` of either, from at most ``SAMPLE`` sampled ids.
+    """
     ids = pages.filter("page_id is not null").select(F.col("page_id").cast("long").alias("id"))
-    rows, total = pages.agg(F.count("page_id"), F.sum(F.octet_length("html"))).first()
+    length, named = F.coalesce(F.octet_length("html"), F.lit(0)), F.col("page_id").isNotNull()
+    rows, total, bare, bare_bytes = pages.agg(F.count("page_id"), F.sum(F.when(named, length)), F.count_if(~named), F.sum(F.when(~named, length))).first()
+    nameless = min(RANGES, max(1, -(-bare_bytes // size))) if bare else 0
     parts = min(RANGES, -(-(total or 0) // size))
     if parts < 2:
-        return []
+        return [], nameless
     # About half of SAMPLE ids: of equal hashes all or none, which no run, task or machine changes.
     share = -(-2 * rows // SAMPLE)
     picked = ids.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).distinct().orderBy("id").limit(SAMPLE).collect()
-    return sorted({picked[i * len(picked) // parts].id for i in range(1, parts)}) if picked else []
+    return sorted({picked[i * len(picked) // parts].id for i in range(1, parts)}) if picked else [], nameless
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES) -> list[dict]:
@@ -176,7 +204,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = RO
             out, n = None, n + 1
 
         for b in batches:
-            for page_id, sha, marks, url, html, at in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for page_id, sha, marks, url, html, copies, at in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if at != part:
                     if out is not None:
                         close()
@@ -184,20 +212,22 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = RO
                 if html is None:
                     mark = (page_id, sha), marks
                     continue
-                if out is None:
-                    name = f"part-{part:06d}-{n:04d}.warc.gz"
-                    temporary = f"_tmp-{part}-{n}-{task.taskAttemptId()}"
-                    out, count = files.open_output_stream(f"{root}/{temporary}", compression=None), 0
-                    size = out.write(info_record(name))
                 payload = html.encode()
                 refers = mark[1] if mark and mark[0] == (page_id, sha) else None
                 if refers is None and page_id is not None and last == (page_id, sha) and len(payload) >= least:
                     refers = page_id
-                size += out.write(page_record(page_id, url, payload, refers))
-                count += 1
+                record = page_record(page_id, url, payload, refers)
                 last = page_id, sha
-                if size >= roll:
-                    close()
+                for _ in range(copies):
+                    if out is None:
+                        name = f"part-{part:06d}-{n:04d}.warc.gz"
+                        temporary = f"_tmp-{part}-{n}-{task.taskAttemptId()}"
+                        out, count = files.open_output_stream(f"{root}/{temporary}", compression=None), 0
+                        size = out.write(info_record(name))
+                    size += out.write(record)
+                    count += 1
+                    if size >= roll:
+                        close()
         if out is not None:
             close()
         cols = list(zip(*rows, strict=True)) or [[]] * 6
@@ -205,15 +235,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = RO
             [pa.array(c, pa.string() if i in (2, 3) else pa.int64()) for i, c in enumerate(cols)], ["part", "n", "temporary", "name", "records", "bytes"]
         )
 
-    starts = np.array(borders(pages, range_bytes), np.int64)
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(starts, ids.fillna(0).astype("int64"), "right")))
-
-    tmp = Scratch()
-    dealt = with_markers(pages, least, tmp).withColumn("part", range_of("page_id"))
-    ranged = dealt.repartitionById(len(starts) + 1, F.col("part")).sortWithinPartitions("part", "page_id", "sha", F.col("marks").desc_nulls_last(), "url")
+    starts, nameless = borders(pages, range_bytes)
+    rows = with_markers(dealt(pages, starts, nameless), least, Scratch())
+    ranged = rows.repartitionById(nameless + len(starts) + 1, F.col("part")).sortWithinPartitions("part", "page_id", "sha", F.col("marks").desc_nulls_last(), "url")
     found = ranged.mapInArrow(run, "part long, n long, temporary string, name string, records long, bytes long").collect()  # a row a file
     found = sorted(found, key=lambda r: (r.part, r.n))
     manifest = [{"name": r.name, "records": r.records, "bytes": r.bytes} for r in found]

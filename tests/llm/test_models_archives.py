@@ -1,4 +1,5 @@
 import base64
+import collections
 import hashlib
 import random
 import zlib
@@ -119,6 +120,35 @@ def test_warc_round_trip(spark):
     assert warc.write_archives(pages.limit(0), empty) == [] and warc.read_archives(spark, empty).count() == 0
 
 
+def test_warc_pages_without_id_are_spread(spark):
+    """Half of all pages have no id, and most of those agree in url and payload: every record is there, in many ranges."""
+    body = "same " * 40
+    rows = [(None, None, body)] * 700 + [(None, f"u{i}", body) for i in range(150)] + [(None, f"v{i}", f"own {i} " * 30) for i in range(150)]
+    rows += [(i, f"w{i}", body if i % 3 == 0 else f"page {i} " * 30) for i in range(900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    folder = shared_dir(spark, "test")
+    manifest = warc.write_archives(pages, folder, range_bytes=10_000)
+    ranges = collections.Counter()
+    for m in manifest:
+        ranges[m["name"][:11]] += m["records"]
+    _, nameless = warc.borders(pages, 10_000)
+    first = [ranges.get(f"part-{i:06d}", 0) for i in range(nameless)]
+    assert nameless > 10 and sum(first) == 1000 and max(first) < 500 and sum(ranges.values()) == len(rows)
+    got = collections.Counter((x.page_id, x.payload_digest, x.record_type, x.refers_to) for x in warc.read_archives(spark, folder).collect())
+    keeper = {}
+    for page_id, _, html in rows:
+        if page_id is not None:
+            keeper[html] = max(page_id, keeper.get(html, -1))
+    want = collections.Counter()
+    for page_id, _, html in rows:
+        of = keeper.get(html)
+        revisit = of is not None and of != page_id
+        want[page_id, warc.sha1_base32(html.encode()), "revisit" if revisit else "response", of if revisit else None] += 1
+    assert got == want
+    again = shared_dir(spark, "test")
+    assert warc.write_archives(pages.repartition(3), again, range_bytes=10_000) == manifest
+
+
 def test_secrets_in_texts_of_common_formats(spark):
     """Whole texts, where training has findings cut out by rule.
 
