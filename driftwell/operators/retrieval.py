@@ -54,6 +54,12 @@ def _blocks(df: DataFrame, keys: list[str], position: str, prefix: str) -> DataF
     )
 
 
+def _meeting(q: DataFrame, m: DataFrame, on: Column | list[str]) -> DataFrame:
+    """Pairs of blocks, by a shuffle of both sides: a block of queries repeated for each block it meets looks small to the
+    planner, which sizes it before it is repeated, and would send the square of the memory through the driver."""
+    return q.hint("merge").join(m, on)
+
+
 def columns(rows: pa.ListArray, i: int) -> dict[str, np.ndarray]:
     """The fields of row ``i``, a list of structs, as numpy columns; a field of vectors becomes a matrix."""
     flat = rows[i].values
@@ -109,11 +115,10 @@ def hits(queries: DataFrame, memory: DataFrame, rule: Rule, window: int | None =
     near = (F.col("mlow") < F.col("qhigh")) & (F.col("mhigh") >= F.col("qlow") - F.lit(last))
     if window is not None:
         reach = window // BLOCK + 1
-        q = q.withColumn("_at", F.explode(F.sequence(F.col("qblock") - reach, F.col("qblock"))))
-        pairs = q.join(m, (F.col("_at") == F.col("mblock")) & near)
+        first = F.col("qblock") - reach
     else:
-        q = q.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qblock"))))
-        pairs = q.join(m, (F.col("_at") == F.col("mblock")) & near)
+        first = F.lit(0).cast("long")
+    pairs = _meeting(q.withColumn("_at", F.explode(F.sequence(first, F.col("qblock")))), m, (F.col("_at") == F.col("mblock")) & near)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +195,7 @@ def nearest(left: DataFrame, right: DataFrame, same_table: bool = False, same: s
 
     (q, _), (m, there) = blocks(left, "qid"), blocks(right, "id")
     q = q.join(there, F.col("s") == F.col("_s")).select("s", F.col("rows").alias("qrows"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("b"))
-    pairs = q.join(m.withColumnRenamed("rows", "mrows"), ["s", "b"])
+    pairs = _meeting(q, m.withColumnRenamed("rows", "mrows"), ["s", "b"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

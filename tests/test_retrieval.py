@@ -184,3 +184,14 @@ def test_bad_parameters():
         R.Rule(decay=0.0)
     with pytest.raises(ValueError):
         R.Rule(decay=1.5)
+
+
+def test_blocks_of_queries_do_not_pass_through_the_driver(spark):
+    memory = spark.range(3 * R.BLOCK).select("id", (F.col("id") + 1).alias("ins"), F.array(F.lit(0.6), F.lit(0.8)).alias("v"), F.lit("a").alias("label"))
+    queries = memory.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("ins").alias("qins"), "v", "label")
+    searches = (R.hits(queries, memory, R.Rule()), R.hits(queries, memory, R.Rule(), window=100), R.nearest(queries, memory, same="label"))
+    for found in searches:
+        assert found.count() > 0
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert not any("BroadcastHashJoin" in line and ("_at" in line or "b#" in line) for line in plan.splitlines())
