@@ -24,7 +24,7 @@ def generated_corpus(spark, sf_dir):
 
 def corpus_violations(spark, sf_dir):
     """Offending rows of the generated corpus by rule."""
-    tickets = stored(_corpus(spark, sf_dir), "corpus")
+    tickets = stored(_corpus(spark, sf_dir), "corpus", "zstd")
     each = spark.read.parquet(f"{sf_dir}/part.parquet").count() // len(K.CATEGORIES)
     return K.report(tickets, each, len(K.CATEGORIES) * max(1, each // 10))
 

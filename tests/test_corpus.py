@@ -1,8 +1,11 @@
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from driftwell import catalog
+from driftwell.operators import generation as G
 from driftwell.operators.quality import row_violations, violations
 from driftwell.plans import corpus as K
 from driftwell.sources import io as S
@@ -126,3 +129,14 @@ def test_answer_keys_of_numbers_beyond_six_digits_equal_sql(spark, tmp_path):
     got = {tuple(r) for r in catalog.queries()["answer_template"](spark, str(tmp_path)).select("p_partkey", "key").collect()}
     want = set(con.sql(f"SELECT p_partkey, key FROM ({catalog.oracle_sql()['answer_template']})").fetchall())
     assert got == want and max(k for k, _ in want) > 1_000_000
+
+
+def test_a_quarters_order_is_sorted_in_ranges_of_keys(spark):
+    articles = K.example_articles(spark, SF).filter("key < 'part_000100'")
+    tickets = K.corpus(articles, K.example_changes(articles), 7)
+    plan = tickets._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"windowspecdefinition\(quarter#\d+, _range#", plan) and not re.search(r"windowspecdefinition\(quarter#\d+, (?!_range#)", plan)
+    places = tickets.select("quarter", "shuffled_order", "id", G.shuffle_key(F.pmod(F.xxhash64("id"), F.lit(1 << 31)), 7).alias("key")).collect()
+    for q in K.PERIODS:
+        rows = sorted((r for r in places if r.quarter == q), key=lambda r: (r.key, r.id))
+        assert [r.shuffled_order for r in rows] == list(range(1, 501))
