@@ -16,8 +16,12 @@ bucket's leader, and where that leaves more than one component, with up to ``PEE
 most links first, so the text that joins a group leads it.  All members of a larger bucket that still spans
 components go on, those that matched too, unless all but ``SPARE`` of their bands led elsewhere: the shingles that
 led them there are set aside with those around them, they are sketched again from their others, and meet new leaders,
-until no such bucket is left.  So a line that a third of all documents share costs a few rounds and no quadratic
-work, and no bucket has a cap.
+until no such bucket is left.  So a line that a third of all documents share costs a few rounds.
+
+What those rounds leave apart is settled exactly: of all texts that were in a larger bucket of the first round that spanned
+components, every pair of two components that is similar is found.  Similar texts share so many pairs of neighbouring words
+for certain that their rarest ones have one in common; a text that shares such a one with another component meets that
+component's texts, in blocks.
 
 Defined cases: null text is an empty text; texts of under five words have one shingle, all their words;
 documents without words form one class per distinct text; very long texts are read whole, and one text at a time
@@ -35,7 +39,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +67,12 @@ CROWD_PEERS = 2
 BINS = 256
 #: Words whose hashes a worker holds; few, as an executor runs several workers beside its heap.
 CACHE = 100_000
+#: Slots in which pairs of neighbouring words are counted to put rare ones first: what shares a slot costs time and no link.
+SLOTS = 1 << 22
+#: Bytes of texts of one component that meet another text at once.
+BLOCK_BYTES = 1 << 16
+#: Texts that meet one block in one task, on average.
+SENDERS = 1000
 _MARKS = ".,;:!?\"'()[]{}*&%$#|-_/\\"
 _SEEDS = np.random.default_rng(20240117).integers(1, 1 << 63, BANDS, dtype=np.uint64)
 _ODD = np.random.default_rng(20240118).integers(1, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -297,9 +309,12 @@ def chained_distance(x: np.ndarray, y: np.ndarray) -> int:
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether word edit similarity is ``least`` or more, of the words the shingles are made of: lower-cased, without marks at their ends."""
     x, y = hashed(a), hashed(b)
+    return near(x, y, least) if len(x) or len(y) else a == b
+
+
+def near(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
+    """``similar`` of hashed words, one at least."""
     longer = max(len(x), len(y))
-    if not longer:
-        return a == b
     limit = int((1 - least) * longer + 1e-9)
     if abs(len(x) - len(y)) > limit:
         return False
@@ -327,6 +342,24 @@ def may_be_similar(n: np.ndarray, m: np.ndarray, a: list[bytes | None], b: list[
     return ok & (np.minimum(x, y).sum(1, dtype=np.int64) >= np.minimum(longer - limit, 255 * BINS))
 
 
+def sure_keys(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Pairs of neighbouring words, rare ones by ``counts`` first, so many that two similar texts have one in common.
+
+    With d edits, n words and the longer text's m >= n words, both share all but 2 d of the m - 1 pairs, labelled by occurrence.
+    Pairs alone in their slot are in no other text and left out.
+    """
+    grams = shingles(h, 2)
+    longer = len(h) + np.arange(5)  # from five words more on, more is shared
+    shared = int((longer - 1 - 2 * ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)).min())
+    n = counts[slots(grams)]
+    first = np.lexsort((grams, n))[: len(grams) - max(1, shared) + 1]
+    return grams[first[n[first] > 1]].view(np.int64)
+
+
+def slots(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """The id, or 64 bits of the text where there is none."""
     return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
@@ -504,6 +537,115 @@ def _peer_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select(F.greatest("node", "peer").alias("node"), F.least("node", "peer").alias("leader")).distinct()
 
 
+def _slot_counts(rows: DataFrame) -> DataFrame:
+    """``(slot, n)``: how many pairs of neighbouring words of ``text`` fall in each slot."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, waiting, size = np.zeros(SLOTS, np.int64), [], 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                waiting.append(slots(shingles(hashed(t), 2)))
+                size += len(waiting[-1])
+                if size >= SLOTS:
+                    total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
+                    waiting, size = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
+        full = np.flatnonzero(total)
+        for at in range(0, len(full), 100_000):
+            part = full[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["slot", "n"])
+
+    return rows.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
+
+
+_COUNTS: dict[str, np.ndarray] = {}
+
+
+def _counts(folder: str) -> np.ndarray:
+    """The worker's copy of stored slot counts, one where none is stored."""
+    if folder not in _COUNTS:
+        files, root = pafs.FileSystem.from_uri(folder)
+        out = np.ones(SLOTS, np.uint16)
+        for x in files.get_file_info(pafs.FileSelector(root)):
+            if x.base_name.endswith(".parquet"):
+                with files.open_input_file(x.path) as f:
+                    rows = pq.read_table(f)
+                out[rows["slot"].to_numpy()] = np.minimum(rows["n"].to_numpy(), 65_535)
+        _COUNTS.clear()
+        _COUNTS[folder] = out
+    return _COUNTS[folder]
+
+
+def _sure_rows(rows: DataFrame, folder: str) -> DataFrame:
+    """``(node, root, key)`` of ``(node, root, text)``."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _counts(folder)
+        for b in batches:
+            keys = [sure_keys(hashed(t), counts) for t in b.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate([*keys, np.empty(0, np.int64)]))], ["node", "root", "key"])
+
+    return rows.select("node", "root", "text").mapInArrow(run, "node long, root long, key long")
+
+
+def _near_blocks(rows: DataFrame) -> DataFrame:
+    """``(node, leader)``: a similar member, if there is one, for each sender of ``(root, block, part, sends, node, text)``, members first."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, nodes, words, known = None, [], [], []
+        for b in batches:
+            places = zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
+            found = []
+            for here, sends, node, text in zip(places, *(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+                if here != held:
+                    held, nodes, words, known = here, [], [], []
+                h = hashed(text)
+                if not sends:
+                    nodes.append(node)
+                    words.append(h)
+                    known.append(bins(h))
+                    continue
+                n = np.array([len(w) for w in words], np.int64)
+                may = may_be_similar(np.full(len(n), len(h)), n, [bins(h)] * len(n), known) if len(n) and len(h) else n
+                hit = next((nodes[k] for k in np.flatnonzero(may).tolist() if near(h, words[k])), None)
+                if hit is not None:
+                    found.append((node, hit))
+            ends = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] or [pa.array([], pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays(ends, ["node", "leader"])
+
+    return rows.select("root", "block", "part", "sends", "node", "text").mapInArrow(run, "node long, leader long")
+
+
+def across_links(known: DataFrame, tmp: Scratch) -> DataFrame:
+    """``(node, leader)`` of the stored ``(node, root, text)``: a link, if there is one, of each text to each other root that it is similar to.
+
+    Of two roots, the one with fewer bytes sends its texts to the other.
+    """
+    counts = tmp.keep(_slot_counts(known), "slots", fewer=16)
+    keyed = tmp.keep(_sure_rows(known, counts._scratch), "sure-keys")
+    mixed = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    sizes = tmp.keep(known.groupBy("root").agg(F.sum(F.octet_length("text")).alias("bytes")), "sizes", fewer=16)
+    held = tmp.keep(keyed.join(mixed, "key").join(sizes, "root"), "held")
+    tmp.drop(counts, keyed)
+    others = held.select("key", F.col("root").alias("other"), F.col("bytes").alias("_bytes")).distinct()
+    fewer = (F.col("bytes") < F.col("_bytes")) | (F.col("bytes") == F.col("_bytes")) & (F.col("root") < F.col("other"))
+    wanted = tmp.keep(held.join(others, "key").filter(fewer).select("node", "other").distinct(), "wanted", fewer=3)
+    tmp.drop(held)
+    deal = wanted.groupBy(F.col("other").alias("root")).agg(F.count("*").alias("n")).join(sizes, "root")
+    deal = tmp.keep(deal.select("root", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("blocks"), F.ceil(F.col("n") / SENDERS).alias("parts")), "deal", fewer=16)
+    every, one = (lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))), (lambda n: F.pmod(F.xxhash64("node"), F.col(n)))
+    members = known.join(deal, "root").select("root", one("blocks").alias("block"), every("parts").alias("part"), F.lit(False).alias("sends"), "node", "text")
+    senders = wanted.withColumnRenamed("other", "root").join(deal, "root").join(known.select("node", "text"), "node")
+    senders = senders.select("root", every("blocks").alias("block"), one("parts").alias("part"), F.lit(True).alias("sends"), "node", "text")
+    place = ["root", "block", "part"]
+    return _near_blocks(members.union(senders).repartition(*place).sortWithinPartitions(*place, "sends"))
+
+
 def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """``(node, leader)``: verified links between nodes, from ``(node, sketch, n, bins)`` of each.
 
@@ -512,7 +654,7 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     spark, tmp = docs.sparkSession, Scratch()
     folder = shared_dir(spark, "links")
     narrow = sketches.select("node", "n", "bins")
-    met, history, text, made = tmp.keep(_met(sketches), "met", fewer=3), None, None, 0
+    met, history, text, made, crowded = tmp.keep(_met(sketches), "met", fewer=3), None, None, 0, None
 
     def links() -> DataFrame:
         return spark.read.schema("node long, leader long").option("recursiveFileLookup", "true").parquet(folder)
@@ -568,22 +710,31 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
             tmp.drop(labels)
             labels = _labels(links(), tmp)
         # Up to PEERS beside the leader have all met; more share too common a text and are told apart by others.
-        crowd = members.filter((F.col("n") > PEERS + 1) & (F.col("band") < BANDS)).drop("n")
-        again = crowd.join(_mixed(crowd, light(labels)).drop("n"), ["band", "key"], "left_semi")
-        again = again.groupBy("node", F.col("words").alias("n")).agg(F.array_sort(F.collect_set("band")).alias("bands")).filter(F.size("bands") > SPARE)
+        crowd = members.filter(F.col("n") > PEERS + 1).drop("n")
+        crowd = tmp.keep(crowd.join(_mixed(crowd, light(labels)).drop("n"), ["band", "key"], "left_semi"), "crowd", fewer=3)
+        if crowded is None:  # later crowds are among these
+            crowded = tmp.keep(crowd.select("node").distinct(), "crowded", fewer=16)
+        again = crowd.filter(F.col("band") < BANDS).groupBy("node", F.col("words").alias("n")).agg(F.array_sort(F.collect_set("band")).alias("bands")).filter(F.size("bands") > SPARE)
         if history is not None:
             again = again.join(history.drop("n"), "node", "left").select("node", "n", F.concat(F.coalesce("history", F.array()), F.array("bands")).alias("history"))
         else:
             again = again.select("node", "n", F.array("bands").alias("history"))
         before, history = history, tmp.keep(again, "history", fewer=16)
-        tmp.drop(members, labels, before)
+        tmp.drop(members, labels, before, crowd)
         if history.isEmpty():
             break
         again = light(history, 512).join(text.select("node", "text"), "node").coalesce(tasks(history, 500))
         again = tmp.keep(_sketched_again(again), "sketched")
         met = tmp.keep(_met(again), "met", fewer=3)
         tmp.drop(again)
-    tmp.drop(met, history, text)
+    if crowded is not None and not crowded.isEmpty():
+        roots = tmp.keep(components(links()), "roots", fewer=16)
+        known = light(crowded, 8).join(text, "node").join(light(roots), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "text")
+        known = tmp.keep(known.coalesce(tasks(crowded, 500)), "crowded", "zstd")
+        stored(across_links(known, tmp), "links", path=f"{folder}/{made}")
+        made += 1
+        tmp.drop(roots, known)
+    tmp.drop(met, history, text, crowded)
     return links() if made else spark.createDataFrame([], "node long, leader long")
 
 

@@ -244,6 +244,36 @@ def test_similar_ignores_case_and_marks():
     assert not near_dedup.similar(text, prose(random.Random(9), 60))
 
 
+@pytest.mark.parametrize("words, common, edits", [(20, range(8), (8, 12, 16)), (60, range(20, 44), (2, 6, 10, 14, 18, 46, 50, 54, 58))])
+def test_pairs_that_meet_in_crowds_alone_are_found_exactly(spark, words, common, edits):
+    """All that the texts of a pair have in common of five words or more is in every text."""
+    r, rows = random.Random(words), []
+    for k in range(40):
+        a = [f"averylongcommonword{i}" if i in common else f"w{r.randrange(10**6)}" for i in range(words)]
+        b = [f"x{r.randrange(10**6)}" if i in edits else w for i, w in enumerate(a)]
+        assert near_dedup.similar(" ".join(a), " ".join(b))
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    rows += [(100 + i, f"{i}") for i in range(3)] + [(200, None), (201, "one two three four")]
+    out = {x.doc_id: (x.class_id, x.class_size) for x in near_dedup.near_classes(docs(spark, rows)).collect()}
+    assert all(out[i] == (i // 2 * 2, 2) for i in range(80)) and all(out[i] == (i, 1) for i in (100, 101, 102, 200, 201))
+
+
+def test_similar_texts_share_a_sure_key():
+    r, np = random.Random(3), near_dedup.np
+    for n in (1, 2, 4, 5, 6, 9, 10, 11, 14, 19, 20, 24, 57, 100):
+        for _ in range(100):
+            a = [f"w{r.randrange(40)}" for _ in range(n)]
+            b = a[:]
+            for _ in range(r.randrange(n // 5 + 2)):
+                at, kind = r.randrange(len(b) + 1), r.randrange(3)
+                b[at : at + (kind > 0)] = [f"w{r.randrange(40)}"] * (kind < 2)
+            x, y = (near_dedup.hashed(" ".join(v)) for v in (a, b))
+            if len(y) and near_dedup.near(x, y):
+                counts = np.zeros(near_dedup.SLOTS, np.uint16)
+                np.add.at(counts, near_dedup.slots(np.concatenate([near_dedup.shingles(v, 2) for v in (x, y)])), 1)
+                assert set(near_dedup.sure_keys(x, counts)) & set(near_dedup.sure_keys(y, counts))
+
+
 @pytest.mark.parametrize("words, share, edits", [(180, 0.5, 36), (180, 1 / 3, 34), (400, 0.6, 80)])
 def test_near_pairs_among_texts_that_share_a_passage(spark, words, share, edits):
     """Pairs at the limit whose edits all lie outside a passage that every text has."""
