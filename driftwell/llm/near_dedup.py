@@ -19,9 +19,9 @@ led them there are set aside with those around them, they are sketched again fro
 until no such bucket is left.  So a line that a third of all documents share costs a few rounds.
 
 What those rounds leave apart is settled exactly: of all texts that were in a larger bucket of the first round that spanned
-components, every pair of two components that is similar is found.  Similar texts share so many pairs of neighbouring words
-for certain that their rarest ones have one in common; a text that shares such a one with another component meets that
-component's texts, in blocks.
+components, every pair of two components that is similar is found.  Similar texts share so many triples of neighbouring words
+for certain that their rarest ones have some in common; a text that shares as many with one of another component, or one that
+many texts of it have, meets those, unless lengths and bins rule them out.
 
 Defined cases: null text is an empty text; texts of under five words have one shingle, all their words;
 documents without words form one class per distinct text; very long texts are read whole, and one text at a time
@@ -67,8 +67,18 @@ CROWD_PEERS = 2
 BINS = 256
 #: Words whose hashes a worker holds; few, as an executor runs several workers beside its heap.
 CACHE = 100_000
-#: Slots in which pairs of neighbouring words are counted to put rare ones first: what shares a slot costs time and no link.
-SLOTS = 1 << 22
+#: Slots in which triples of neighbouring words are counted to put rare ones first: what shares a slot costs time and no link.
+SLOTS = 1 << 24
+#: Bytes of the texts they are counted in, about; the counts only order the triples, so others may stand for the rest.
+COUNTED_BYTES = 1 << 26
+#: Bytes of texts whose sure keys meet in one part, about.
+PART_BYTES = 1 << 24
+#: Rows and roots of a key that meet in a task, as a product; the rows of larger keys are joined.
+KEY_PAIRS = 1 << 22
+#: Texts of one root that have a key from which on another text meets the root as a whole, not each of them.
+FEW = 64
+#: Members of a root whose bins are held against another text's at once.
+PACK = 16
 #: Bytes of texts of one component that meet another text at once.
 BLOCK_BYTES = 1 << 16
 #: Texts that meet one block in one task, on average.
@@ -320,6 +330,10 @@ def near(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
         return False
     if chained_distance(x, y) <= limit:
         return True
+    # An edit touches three triples of neighbours at most.
+    shared = longer - 2 - 3 * limit
+    if shared > 0 and len(np.intersect1d(shingles(x, 3), shingles(y, 3), assume_unique=True)) < shared:
+        return False
     x, y = x.tolist(), y.tolist()
     common = sum((Counter(x) & Counter(y)).values())
     return common >= longer - limit and banded_distance(x, y, limit) <= limit
@@ -343,17 +357,30 @@ def may_be_similar(n: np.ndarray, m: np.ndarray, a: list[bytes | None], b: list[
 
 
 def sure_keys(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Pairs of neighbouring words, rare ones by ``counts`` first, so many that two similar texts have one in common.
+    """Triples of neighbouring words, rare ones by ``counts`` first, so many that two similar texts have ``keys_shared`` in common.
 
-    With d edits, n words and the longer text's m >= n words, both share all but 2 d of the m - 1 pairs, labelled by occurrence.
-    Pairs alone in their slot are in no other text and left out.
+    With d edits and the longer text's m words, both share all but 3 d of the m - 2 triples, labelled by occurrence.  Of five
+    words one edit may touch all, so texts of four or five have their pairs of neighbours too.  Any counts keep this true.
     """
-    grams = shingles(h, 2)
-    longer = len(h) + np.arange(5)  # from five words more on, more is shared
-    shared = int((longer - 1 - 2 * ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)).min())
-    n = counts[slots(grams)]
-    first = np.lexsort((grams, n))[: len(grams) - max(1, shared) + 1]
-    return grams[first[n[first] > 1]].view(np.int64)
+    grams = shingles(h, 3)
+    spare = triples_shared(len(h)) - keys_shared(len(h))
+    if spare > 0:
+        rank = (counts[slots(grams)].astype(np.uint64) << np.uint64(48)) | (grams >> np.uint64(16))
+        grams = grams[rank <= np.partition(rank, len(grams) - 1 - spare)[len(grams) - 1 - spare]]
+    elif 4 <= len(h) <= 5:
+        grams = np.append(grams, shingles(h, 2))
+    return grams.view(np.int64)
+
+
+def triples_shared(n: np.ndarray | int) -> np.ndarray:
+    """How many triples a text of n words shares with any similar one that is no shorter, at least; it may be below 0."""
+    longer = np.expand_dims(n, -1) + np.arange(5)  # from five words more on, more is shared
+    return (longer - 2 - 3 * ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)).min(-1)
+
+
+def keys_shared(n: np.ndarray | int) -> np.ndarray:
+    """How many sure keys similar texts share for certain, the lesser of what the words n of either say."""
+    return np.maximum(1, np.minimum(triples_shared(n), np.asarray(n) // 10))
 
 
 def slots(grams: np.ndarray) -> np.ndarray:
@@ -538,24 +565,15 @@ def _peer_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _slot_counts(rows: DataFrame) -> DataFrame:
-    """``(slot, n)``: how many pairs of neighbouring words of ``text`` fall in each slot."""
+    """``(slot, n)``: how many triples of neighbouring words of ``text`` fall in each slot."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, size = np.zeros(SLOTS, np.int64), [], 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                waiting.append(slots(shingles(hashed(t), 2)))
-                size += len(waiting[-1])
-                if size >= SLOTS:
-                    total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
-                    waiting, size = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
-        full = np.flatnonzero(total)
-        for at in range(0, len(full), 100_000):
-            part = full[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["slot", "n"])
+            waiting = [slots(shingles(hashed(t), 3)) for t in b.column(0).to_pylist()]
+            slot, n = np.unique(np.concatenate([*waiting, np.empty(0, np.int64)]), return_counts=True)
+            for at in range(0, len(slot), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(slot[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["slot", "n"])
 
     return rows.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
 
@@ -567,29 +585,167 @@ def _counts(folder: str) -> np.ndarray:
     """The worker's copy of stored slot counts, one where none is stored."""
     if folder not in _COUNTS:
         files, root = pafs.FileSystem.from_uri(folder)
-        out = np.ones(SLOTS, np.uint16)
+        out = np.ones(SLOTS, np.uint8)
         for x in files.get_file_info(pafs.FileSelector(root)):
             if x.base_name.endswith(".parquet"):
                 with files.open_input_file(x.path) as f:
                     rows = pq.read_table(f)
-                out[rows["slot"].to_numpy()] = np.minimum(rows["n"].to_numpy(), 65_535)
+                out[rows["slot"].to_numpy()] = np.minimum(rows["n"].to_numpy(), 255)
         _COUNTS.clear()
         _COUNTS[folder] = out
     return _COUNTS[folder]
 
 
-def _sure_rows(rows: DataFrame, folder: str) -> DataFrame:
-    """``(node, root, key)`` of ``(node, root, text)``."""
+def _dealt_keys(rows: DataFrame, folder: str, parts: int) -> DataFrame:
+    """``(part, who, keys)``: the sure keys of ``(node, root, bytes, text)`` by part of the keys, those of many texts in one row.
+
+    ``who`` holds node, root, bytes of the root, words and number of keys of each text.
+    """
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _counts(folder)
         for b in batches:
-            keys = [sure_keys(hashed(t), counts) for t in b.column(2).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate([*keys, np.empty(0, np.int64)]))], ["node", "root", "key"])
+            words = [hashed(t) for t in b.column(3).to_pylist()]
+            made = [sure_keys(h, counts).view(np.uint64) for h in words]
+            of = np.repeat(np.arange(len(made)), [len(k) for k in made])
+            keys = np.concatenate([*made, np.empty(0, np.uint64)])
+            part = (keys % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            keys, of, ends = keys[order], of[order], np.searchsorted(part[order], np.arange(parts + 1))
+            texts = np.stack([b.column(i).to_numpy() for i in range(3)] + [np.array([len(h) for h in words], np.int64)])
+            out = []
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                here, n = np.unique(of[ends[k] : ends[k + 1]], return_counts=True)
+                out.append((k, np.vstack((texts[:, here], n)).tobytes(), keys[ends[k] : ends[k + 1]].tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "who", "keys"])
+
+    return rows.select("node", "root", "bytes", "text").mapInArrow(run, "part long, who binary, keys binary")
+
+
+def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs that begin where ``new`` is true."""
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(new)))
+
+
+def roots_met(who: np.ndarray, keys: np.ndarray) -> Iterator[list[np.ndarray | None]]:
+    """``[key, node, root, bytes, n, other, leader]`` for keys of more than one root, where lengths allow it and the node's own root
+    has fewer bytes than the other one: the node and each text of the other root that has its key, or if they are more than
+    ``FEW`` that root, once; of keys whose rows are too many, the rows as they are, without other and leader.  For two texts,
+    key is the number of keys they share here, and n how many similar ones share in all.
+
+    ``who`` has the columns of ``_dealt_keys``, ``keys`` theirs one after the other.
+    """
+    node, root, size, n, many = who
+    of, order = np.repeat(np.arange(len(node)), many), np.argsort(keys)
+    keys, of = keys[order], of[order]
+    same = keys[1:] == keys[:-1]
+    twice = np.append(same, False) | np.append(False, same)
+    keys, of = keys[twice], of[twice]
+    if not len(keys):
+        return
+    names, rank = np.unique(root, return_inverse=True)
+    order = np.lexsort((rank[of], keys))
+    keys, of = keys[order], of[order]
+    key_new = np.append(True, keys[1:] != keys[:-1])
+    key_of = np.cumsum(key_new) - 1
+    entries, held = _runs(key_new | np.append(True, rank[of][1:] != rank[of][:-1]))
+    least, most = np.minimum.reduceat(n[of], entries), np.maximum.reduceat(n[of], entries)
+    first, roots = _runs(key_new[entries])
+    crowd = (np.bincount(key_of) * roots > KEY_PAIRS)[key_of]
+    if crowd.any():
+        i = of[crowd]
+        yield [keys[crowd].view(np.int64), node[i], root[i], size[i], n[i], None, None]
+    asks = np.flatnonzero(~crowd & (roots[key_of] > 1))
+    one, whole = [np.empty((2, 0), np.int64)], [np.empty(0, np.int64)]
+    for lo, hi in _shares(roots[key_of[asks]]):
+        ask, place = _each(roots[key_of[asks[lo:hi]]])
+        ask = asks[lo:hi][ask]
+        entry = first[key_of[ask]] + place
+        mine, other = of[ask], of[entries[entry]]
+        a, b = size[mine], size[other]
+        ok = ((a < b) | (a == b) & (rank[mine] < rank[other])) & _may_be_near(n[mine], least[entry], most[entry])
+        mine, entry, other = mine[ok], entry[ok], other[ok]
+        few = held[entry] <= FEW
+        whole.append(np.unique(mine[~few] * len(names) + rank[other[~few]]))
+        mine, entry = mine[few], entry[few]
+        for a, b in _shares(held[entry]):
+            at, place = _each(held[entry[a:b]])
+            x, y = mine[a:b][at], of[entries[entry[a:b]][at] + place]
+            ok = _may_be_near(n[x], n[y], n[y])
+            one.append(np.stack(np.unique(x[ok] * len(node) + y[ok], return_counts=True)))
+    pairs, times = np.concatenate(one, axis=1)
+    pairs, which = np.unique(pairs, return_inverse=True)
+    i, j = np.divmod(pairs, len(node))
+    yield [np.bincount(which, times, len(pairs)).astype(np.int64), node[i], root[i], size[i], keys_shared(np.minimum(n[i], n[j])), None, node[j]]
+    i, j = np.divmod(np.unique(np.concatenate(whole)), len(names))
+    yield [np.zeros(len(i), np.int64), node[i], root[i], size[i], n[i], names[j], None]
+
+
+def _shares(many: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of ``many`` with a sum of about ``KEY_PAIRS``."""
+    total = np.cumsum(many)
+    cuts = np.searchsorted(total, np.arange(0, total[-1], KEY_PAIRS)) if len(total) else []
+    return itertools.pairwise(np.unique(np.append(cuts, len(many)).astype(np.int64)).tolist())
+
+
+def _each(many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``many``, and the how manieth of it, for all of their sum."""
+    at = np.repeat(np.arange(len(many)), many)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _may_be_near(n: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether similar texts may have n words and from ``least`` to ``most``."""
+    m = np.clip(n, least, most)
+    return np.abs(n - m) <= np.maximum(n, m) * (1 - SIMILARITY) + 1e-9
+
+
+def _met_roots(dealt: DataFrame) -> DataFrame:
+    """``roots_met`` of the rows of ``_dealt_keys``, part by part."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "node", "root", "bytes", "n", "other", "leader"]
+
+        def met(rows: list) -> Iterator[pa.RecordBatch]:
+            who = np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x, _ in rows], axis=1)
+            for cols in roots_met(who, np.concatenate([np.frombuffer(x, np.uint64) for _, x in rows])):
+                for at in range(0, len(cols[0]), 100_000):
+                    n = len(cols[0][at : at + 100_000])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c[at : at + n]) for c in cols], names)
+
+        rows, held = [], None
+        for b in batches:
+            for part, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if rows and part != held:
+                    yield from met(rows)
+                    rows = []
+                held = part
+                rows.append(row)
+        if rows:
+            yield from met(rows)
+
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key long, node long, root long, bytes long, n long, other long, leader long")
+
+
+def _by_bins(asked: DataFrame) -> DataFrame:
+    """``(node, other)`` where lengths and bins do not rule out all of ``them``, of ``(node, other, n, bins, them)``."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                b = whole.slice(at, 1000)
+                them = b.column(4).flatten()
+                of = np.repeat(np.arange(len(b)), b.column(4).value_lengths().to_numpy())
+                n, mine = b.column(2).to_numpy()[of], b.column(3).take(pa.array(of)).to_pylist()
+                may = may_be_similar(n, them.field("n").to_numpy(), mine, them.field("bins").to_pylist())
+                yield b.select(["node", "other"]).take(pa.array(np.unique(of[may])))
 
-    return rows.select("node", "root", "text").mapInArrow(run, "node long, root long, key long")
+    return asked.select("node", "other", "n", "bins", "them").mapInArrow(run, "node long, other long")
 
 
 def _near_blocks(rows: DataFrame) -> DataFrame:
@@ -621,21 +777,42 @@ def _near_blocks(rows: DataFrame) -> DataFrame:
     return rows.select("root", "block", "part", "sends", "node", "text").mapInArrow(run, "node long, leader long")
 
 
-def across_links(known: DataFrame, tmp: Scratch) -> DataFrame:
+def across_links(known: DataFrame, narrow: DataFrame, tmp: Scratch) -> DataFrame:
     """``(node, leader)`` of the stored ``(node, root, text)``: a link, if there is one, of each text to each other root that it is similar to.
 
-    Of two roots, the one with fewer bytes sends its texts to the other.
+    Of two roots, the one with fewer bytes sends its texts to the other, if ``(node, n, bins)`` of ``narrow`` allow it.
     """
-    counts = tmp.keep(_slot_counts(known), "slots", fewer=16)
-    keyed = tmp.keep(_sure_rows(known, counts._scratch), "sure-keys")
-    mixed = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    sizes = tmp.keep(known.groupBy("root").agg(F.sum(F.octet_length("text")).alias("bytes")), "sizes", fewer=16)
-    held = tmp.keep(keyed.join(mixed, "key").join(sizes, "root"), "held")
-    tmp.drop(counts, keyed)
-    others = held.select("key", F.col("root").alias("other"), F.col("bytes").alias("_bytes")).distinct()
-    fewer = (F.col("bytes") < F.col("_bytes")) | (F.col("bytes") == F.col("_bytes")) & (F.col("root") < F.col("other"))
-    wanted = tmp.keep(held.join(others, "key").filter(fewer).select("node", "other").distinct(), "wanted", fewer=3)
-    tmp.drop(held)
+    sizes = known.groupBy("root").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("members"))
+    sizes = tmp.keep(sizes, "sizes", fewer=16)
+    total = sizes.agg(F.sum("bytes")).first()[0]
+    counts = tmp.keep(_slot_counts(known.filter(F.pmod(F.xxhash64("node"), F.lit(total // COUNTED_BYTES + 1)) == 0)), "slots", fewer=16)
+    parts = max(2 * 12, total // PART_BYTES)
+    met = tmp.keep(_met_roots(_dealt_keys(known.join(light(sizes), "root"), counts._scratch, parts)), "met-roots", fewer=3)
+    ends = tmp.keep(light(known.select("node", "root")).join(narrow, "node"), "ends", fewer=3)
+    leader = ends.select(F.col("node").alias("leader"), F.col("n").alias("m"), F.col("bins").alias("leader_bins"))
+    shared = met.filter("leader is not null").groupBy("node", "leader").agg(F.sum("key").alias("shared"), F.min("n").alias("least"))
+    pairs = tmp.keep(shared.filter("shared >= least").select("node", "leader"), "pairs", fewer=16)
+    pairs = tmp.keep(_possible(light(pairs, 16).join(ends, "node").join(leader, "leader")), "possible", fewer=16)
+    text = known.select("node", "text")
+    led = light(pairs.select(F.col("leader").alias("node")).distinct(), 8).join(text, "node").select(F.col("node").alias("leader"), F.col("text").alias("leader_text"))
+    found = _verified(light(pairs, 16).join(text, "node").join(led, "leader").repartition("node", "leader"))
+    wanted, crowd = met.filter("other is not null").select("node", "other"), met.filter("other is null and leader is null")
+    if not crowd.isEmpty():
+        others = crowd.groupBy("key", F.col("root").alias("_root")).agg(F.first("bytes").alias("_bytes"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+        fewer = (F.col("bytes") < F.col("_bytes")) | (F.col("bytes") == F.col("_bytes")) & (F.col("root") < F.col("_root"))
+        m = F.greatest("lo", F.least("n", "hi"))
+        near_length = F.abs(F.col("n") - m) <= F.greatest("n", m) * F.lit(1 - SIMILARITY) + F.lit(1e-9)
+        wanted = wanted.union(crowd.join(others, "key").filter(fewer & near_length).select("node", F.col("_root").alias("other")))
+    wanted = tmp.keep(wanted.distinct(), "wanted", fewer=3)
+    tmp.drop(counts, met)
+    if wanted.isEmpty():
+        return found
+    packs = ends.join(light(wanted.select(F.col("other").alias("root")).distinct()), "root", "left_semi").join(light(sizes), "root")
+    packs = packs.groupBy(F.col("root").alias("other"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / PACK)).alias("pack"))
+    packs = tmp.keep(packs.agg(F.collect_list(F.struct("n", "bins")).alias("them")), "packs", fewer=3)
+    asked = wanted.join(packs, "other").join(ends.select("node", "n", "bins"), "node")
+    before, wanted = wanted, tmp.keep(_by_bins(asked).distinct(), "wanted", fewer=16)
+    tmp.drop(before, ends, packs)
     deal = wanted.groupBy(F.col("other").alias("root")).agg(F.count("*").alias("n")).join(sizes, "root")
     deal = tmp.keep(deal.select("root", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("blocks"), F.ceil(F.col("n") / SENDERS).alias("parts")), "deal", fewer=16)
     every, one = (lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))), (lambda n: F.pmod(F.xxhash64("node"), F.col(n)))
@@ -643,7 +820,7 @@ def across_links(known: DataFrame, tmp: Scratch) -> DataFrame:
     senders = wanted.withColumnRenamed("other", "root").join(deal, "root").join(known.select("node", "text"), "node")
     senders = senders.select("root", every("blocks").alias("block"), one("parts").alias("part"), F.lit(True).alias("sends"), "node", "text")
     place = ["root", "block", "part"]
-    return _near_blocks(members.union(senders).repartition(*place).sortWithinPartitions(*place, "sends"))
+    return found.union(_near_blocks(members.union(senders).repartition(*place).sortWithinPartitions(*place, "sends")))
 
 
 def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -731,7 +908,7 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
         roots = tmp.keep(components(links()), "roots", fewer=16)
         known = light(crowded, 8).join(text, "node").join(light(roots), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "text")
         known = tmp.keep(known.coalesce(tasks(crowded, 500)), "crowded", "zstd")
-        stored(across_links(known, tmp), "links", path=f"{folder}/{made}")
+        stored(across_links(known, narrow, tmp), "links", path=f"{folder}/{made}")
         made += 1
         tmp.drop(roots, known)
     tmp.drop(met, history, text, crowded)

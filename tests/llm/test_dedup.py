@@ -274,6 +274,27 @@ def test_similar_texts_share_a_sure_key():
                 assert set(near_dedup.sure_keys(x, counts)) & set(near_dedup.sure_keys(y, counts))
 
 
+def test_keys_of_many_roots_meet_alike_however_they_are_dealt(monkeypatch):
+    """Texts that share a key with a few of another root meet those, with many the root; keys of too many rows go on as rows."""
+    np = near_dedup.np
+    #         node, root, bytes of the root, words, keys
+    who = np.array([(1, 1, 10, 100, 2), (2, 2, 30, 110, 2), (3, 2, 30, 100, 1), (4, 4, 40, 200, 1), (5, 5, 10, 100, 1)], np.int64).T
+    keys = np.array([7, 8, 7, 9, 7, 7, 8], np.uint64)
+
+    def met():
+        out = {"raw": set(), "other": set(), "leader": set()}
+        for key, node, root, _, _, other, leader in near_dedup.roots_met(who, keys):
+            kind, last = ("leader", leader) if leader is not None else ("other", other) if other is not None else ("raw", key)
+            out[kind] |= set(zip(node.tolist(), last.tolist(), strict=True))
+        return out
+
+    assert met() == {"raw": set(), "other": set(), "leader": {(1, 2), (1, 3), (1, 5)}}
+    monkeypatch.setattr(near_dedup, "FEW", 1)
+    assert met() == {"raw": set(), "other": {(1, 2)}, "leader": {(1, 5)}}
+    monkeypatch.setattr(near_dedup, "KEY_PAIRS", 5)
+    assert met() == {"raw": {(1, 7), (2, 7), (3, 7), (4, 7)}, "other": set(), "leader": {(1, 5)}}
+
+
 @pytest.mark.parametrize("words, share, edits", [(180, 0.5, 36), (180, 1 / 3, 34), (400, 0.6, 80)])
 def test_near_pairs_among_texts_that_share_a_passage(spark, words, share, edits):
     """Pairs at the limit whose edits all lie outside a passage that every text has."""
