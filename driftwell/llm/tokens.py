@@ -40,16 +40,16 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Kept(dict):
-    """Results by key; ``CACHE`` at most in each of two generations, so what is frequent stays."""
+    """Results by key; ``most`` at most in each of two generations, so what is frequent stays."""
 
-    def __init__(self, make):
-        self.make, self.older = make, {}
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[key] = found
@@ -59,7 +59,7 @@ class _Kept(dict):
 class Encoder:
     """``encode(text)`` gives the ids as little-endian numbers of ``dtype``: 16 bits if all ids fit, else 32."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,7 +69,7 @@ class Encoder:
         self.low = self.library.normalizer is not None
         self.split = _PIECES["word" if self.low else "byte"].findall
         self.merge, self.letters = self.library.model.tokenize, _byte_letters()
-        self.pieces, self.others = _Kept(self._piece), _Kept(self.whole)
+        self.pieces, self.others = _Kept(self._piece, kept), _Kept(self.whole, CACHE)
 
     def _bytes(self, ids: Iterable[int]) -> bytes:
         out = array("HI"[self.dtype.itemsize // 4], ids)
@@ -102,11 +102,11 @@ class Encoder:
 _KNOWN: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of this vocabulary file."""
-    if path not in _KNOWN:
+def encoder(path: str, kept: int = CACHE) -> Encoder:
+    """The worker's encoder of this vocabulary file, that keeps so many pieces at least."""
+    if path not in _KNOWN or _KNOWN[path].pieces.most < kept:
         _KNOWN.clear()
-        _KNOWN[path] = Encoder(path)
+        _KNOWN[path] = Encoder(path, kept)
     return _KNOWN[path]
 
 

@@ -198,3 +198,14 @@ def test_nnls():
     x = packing.nnls(a, np.array([1.0, 2, 3]))
     assert np.allclose(a @ x, [1, 2, 3]) and (x >= 0).all()
     assert packing.nnls(np.eye(2), np.array([-1.0, 2.0])).tolist() == [0, 2]
+
+
+def test_pieces_are_merged_once_while_they_are_kept():
+    from driftwell.llm.tokens import Encoder
+
+    path, text = public_vocabulary("byte_bpe_50k.json"), " ".join("abcdefghijklmnopqrst")
+    for kept, most in ((40, 20), (5, 40)):
+        e, merged = Encoder(path, kept), []
+        e.pieces.make = lambda piece, make=e._piece, merged=merged: merged.append(piece) or make(piece)
+        assert e.encode(text) == e.encode(text) == e.whole(text) and len(merged) == most
+    assert encoder(path, 7).pieces.most >= 7 and encoder(path, 200_000).pieces.most == 200_000 and encoder(path) is encoder(path, 200_000)
