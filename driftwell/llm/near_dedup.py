@@ -12,16 +12,13 @@ little enough, else bit-parallel within the diagonal band that 0.8 allows.  Clas
 of links.
 
 Equal texts are one representative first.  A bucket never emits all its pairs: each member is compared with the
-bucket's leader, and where that leaves more than one component, with up to ``PEERS`` further leaders, those with
-most links first, so the text that joins a group leads it.  All members of a larger bucket that still spans
-components go on, those that matched too, unless all but ``SPARE`` of their bands led elsewhere: the shingles that
-led them there are set aside with those around them, they are sketched again from their others, and meet new leaders,
-until no such bucket is left.  So a line that a third of all documents share costs a few rounds.
+bucket's leader, and where that leaves more than one component, with up to ``PEERS`` further leaders, in larger buckets
+``CROWD_PEERS``, those with most links first, so the text that joins a group leads it.
 
-What those rounds leave apart is settled exactly: of all texts that were in a larger bucket of the first round that spanned
-components, every pair of two components that is similar is found.  Similar texts share so many triples of neighbouring words
-for certain that their rarest ones have some in common; a text that shares as many with one of another component, or one that
-many texts of it have, meets those, unless lengths and bins rule them out.
+What that leaves apart is settled exactly: of all texts that are in a larger bucket that still spans components, every pair of
+two components that is similar is found.  Similar texts share so many triples of neighbouring words for certain that their
+rarest ones have some in common; a text that shares as many with one of another component, or one that many texts of it have,
+meets those, unless lengths, marks of words and bins rule them out.
 
 Defined cases: null text is an empty text; texts of under five words have one shingle, all their words;
 documents without words form one class per distinct text; very long texts are read whole, and one text at a time
@@ -55,13 +52,7 @@ PAIRED, BANDS = 8, 28
 SHORT, RARE = 30, 3
 #: Further leaders of a bucket that its members meet; a bucket of up to PEERS + 1 has all its pairs tested.
 PEERS = 8
-#: A text with no more than SPARE bands in such crowds has under LEAST_COMMON of it in common, and its other bands are enough.
-SPARE = 4
-#: Shingles set aside on either side of a common one, in the first round.
-AROUND = 8
-#: Share of a text that is set aside from which on its other words have keys of their own.
-LEAST_COMMON = 0.15
-#: Further leaders of larger buckets, whose members also meet by other shingles.
+#: Further leaders of larger buckets, whose members also meet by sure keys.
 CROWD_PEERS = 2
 #: Bins of word counts; one byte each, and none of it where a count needs more.
 BINS = 256
@@ -75,6 +66,10 @@ COUNTED_BYTES = 1 << 26
 PART_BYTES = 1 << 24
 #: Rows and roots of a key that meet in a task, as a product; the rows of larger keys are joined.
 KEY_PAIRS = 1 << 22
+#: 64-bit words of the marks that a text's words leave; they travel with its keys, so there are fewer than bins.
+MARKS = 8
+#: Pairs whose marks are held against each other at once.
+MARKED = 1 << 16
 #: Texts of one root that have a key from which on another text meets the root as a whole, not each of them.
 FEW = 64
 #: Members of a root whose bins are held against another text's at once.
@@ -132,85 +127,23 @@ def shingles(h: np.ndarray, words: int = WORDS) -> np.ndarray:
     return grams
 
 
-def private_words(common: float) -> int | None:
-    """Words in a shingle of what is left of a text when a share of it is set aside; None where five do.
-
-    Texts that are similar as a whole, of which the set aside share agrees, are like in at least ``s`` of the rest. Its
-    shingles are as short as it takes for them to stay whole as often as five words do at the whole text's limit.
-    """
-    if not LEAST_COMMON <= common < SIMILARITY:
-        return None
-    s = 1 - (1 - SIMILARITY) / (1 - common)
-    return max(1, int(WORDS * np.log(SIMILARITY) / np.log(s) + 1e-9)) if s > 0 else 1
-
-
-def private_sketch(h: np.ndarray, left: np.ndarray) -> list[int]:
-    """Keys of the words that the shingles ``left`` cover, if much of the text is set aside; in lengths next to each other, as
-    two texts of a pair may differ in what is set aside.  Single words go in pairs, in text order."""
-    mine = np.zeros(len(h) + WORDS, np.int64)
-    np.add.at(mine, left, 1)
-    np.add.at(mine, left + WORDS, -1)
-    mine = np.cumsum(mine)[: len(h)] > 0
-    words = private_words(1 - mine.mean())
-    if words is None:
-        return []
-    out = []
-    for w in (words, words + 1):
-        grams = shingles(h[mine], w)
-        hashes = (grams[None, :] ^ (_SEEDS + np.uint64(w))[:, None]) * _ODD[:, None]
-        at = hashes.argmin(axis=1)
-        keys = _mix((_SEEDS + np.uint64(w)) * np.uint64(0x9FB21C651E98DF25) + grams[at])
-        if w == 1 and len(grams) > 1:
-            rows = np.arange(BANDS)
-            hashes[rows, at] = np.iinfo(np.uint64).max
-            both = np.sort(np.stack((at, hashes.argmin(axis=1))), axis=0)
-            keys = _mix(_mix((_SEEDS + np.uint64(w)) * np.uint64(0x9FB21C651E98DF25) + grams[both[0]]) * np.uint64(0x9FB21C651E98DF25) + grams[both[1]])
-        out += keys.view(np.int64).tolist()
-    return out
-
-
-def sketch(grams: np.ndarray, history: list[list[int]] | None = None, h: np.ndarray | None = None) -> list[int | None]:
-    """A signed 64-bit sketch for each band; None where no shingle is left.  With the hashed words ``h``, the keys of the
-    private words follow.
-
-    ``history`` lists, round by round, the bands whose shingles are set aside from the next round on, with ``AROUND``
-    neighbours on either side (in long texts more) and four times as many each round, as common lines and passages are runs of shingles.
-    With it, bands whose shingles stay what they were a round before are None: whoever shares them has been met.
-    """
-    # Picks lie about a band's share of the text apart, so that far around them a common stretch is covered.
-    rounds, last, reach = list(history or []), None, max(AROUND, len(grams) // BANDS)
-    left = np.arange(len(grams))
-    while True:
-        if not len(left):
-            return [None] * BANDS
-        # Shingles are mixed hashes, so an odd multiple orders them as well as another hash would.
-        hashes = (grams[left][None, :] ^ _SEEDS[:, None]) * _ODD[:, None]
-        one = hashes.argmin(axis=1)
-        picks = min(2, len(left))
-        # Equal hashes cannot be in one document: labels make shingles distinct and odd multiples are one to one.
-        pairs = np.repeat(one[:PAIRED, None], 2, axis=1)
-        if picks == 2:
-            hashes[np.arange(PAIRED), one[:PAIRED]] = np.iinfo(np.uint64).max
-            pairs[:, 1] = hashes[:PAIRED].argmin(axis=1)
-            pairs.sort(axis=1)
-        at, second = left[np.concatenate((pairs[:, 0], one[PAIRED:]))], left[pairs[:, 1]]
-        if not rounds:
-            break
-        bands = np.array(rounds.pop(0))
-        gone = np.unique(np.concatenate((at[bands], second[bands[bands < PAIRED]])))
-        near = np.searchsorted(gone, left - reach) < np.searchsorted(gone, left + reach, "right")
-        last, left, reach = (at, second), left[~near], 4 * reach
+def sketch(grams: np.ndarray) -> list[int | None]:
+    """A signed 64-bit sketch for each band; None where there is no shingle."""
+    if not len(grams):
+        return [None] * BANDS
+    # Shingles are mixed hashes, so an odd multiple orders them as well as another hash would.
+    hashes = (grams[None, :] ^ _SEEDS[:, None]) * _ODD[:, None]
+    at = hashes.argmin(axis=1)
     out = _mix(_SEEDS * np.uint64(0x9FB21C651E98DF25) + grams[at])
-    if picks == 2:
-        out[:PAIRED] = _mix(out[:PAIRED] * np.uint64(0x9FB21C651E98DF25) + grams[second])
-    found = out.view(np.int64).tolist()
-    if last is not None:
-        same = last[0] == at
-        same[:PAIRED] &= last[1] == second
-        found = [None if x else k for x, k in zip(same.tolist(), found, strict=True)]
-        if h is not None:
-            found += private_sketch(h, left)
-    return found
+    if len(grams) > 1:
+        # Equal hashes cannot be in one document: labels make shingles distinct and odd multiples are one to one.
+        pairs = np.repeat(at[:PAIRED, None], 2, axis=1)
+        hashes[np.arange(PAIRED), at[:PAIRED]] = np.iinfo(np.uint64).max
+        pairs[:, 1] = hashes[:PAIRED].argmin(axis=1)
+        pairs.sort(axis=1)
+        out[:PAIRED] = _mix(_SEEDS[:PAIRED] * np.uint64(0x9FB21C651E98DF25) + grams[pairs[:, 0]])
+        out[:PAIRED] = _mix(out[:PAIRED] * np.uint64(0x9FB21C651E98DF25) + grams[pairs[:, 1]])
+    return out.view(np.int64).tolist()
 
 
 def short_keys(text: str) -> list[int]:
@@ -322,6 +255,28 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return near(x, y, least) if len(x) or len(y) else a == b
 
 
+def triples_needed(n: np.ndarray | int, m: np.ndarray | int, least: float = SIMILARITY) -> np.ndarray:
+    """How many triples of neighbours similar texts of n and m words share at least: an edit touches three at most."""
+    longer = np.maximum(n, m)
+    return longer - 2 - 3 * ((1 - least) * longer + 1e-9).astype(np.int64)
+
+
+class Triples:
+    """Which of some hashed texts share how many triples of neighbouring words with another one."""
+
+    def __init__(self, words: list[np.ndarray]):
+        grams = [shingles(h, 3) for h in words]
+        of = np.repeat(np.arange(len(words)), [len(g) for g in grams])
+        order = np.argsort(found := np.concatenate([*grams, np.empty(0, np.uint64)]))
+        self.grams, self.of, self.n = found[order], of[order], len(words)
+
+    def shared(self, h: np.ndarray) -> np.ndarray:
+        grams = shingles(h, 3)
+        lo = np.searchsorted(self.grams, grams)
+        at, place = _each(np.searchsorted(self.grams, grams, "right") - lo)
+        return np.bincount(self.of[lo[at] + place], minlength=self.n)
+
+
 def near(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
     """``similar`` of hashed words, one at least."""
     longer = max(len(x), len(y))
@@ -356,6 +311,23 @@ def may_be_similar(n: np.ndarray, m: np.ndarray, a: list[bytes | None], b: list[
     return ok & (np.minimum(x, y).sum(1, dtype=np.int64) >= np.minimum(longer - limit, 255 * BINS))
 
 
+def marks(h: np.ndarray) -> np.ndarray:
+    """A bit for each of the hashed words, other ones than those that tell its bin, in ``MARKS`` unsigned long integers."""
+    bits = np.zeros(64 * MARKS, np.uint8)
+    bits[(h >> np.uint64(16)) % np.uint64(64 * MARKS)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def marks_allow(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """False where more words, told by marks a and b, are in one text of lengths n and m alone than there may be edits.
+
+    Each distinct word that the other text lacks takes an edit, and each mark that it lacks is of another word.
+    """
+    limit = ((1 - least) * np.maximum(n, m) + 1e-9).astype(np.int64)
+    alone = [np.bitwise_count(x & ~y).sum(1, dtype=np.int64) for x, y in ((a, b), (b, a))]
+    return np.maximum(*alone) <= limit
+
+
 def sure_keys(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Triples of neighbouring words, rare ones by ``counts`` first, so many that two similar texts have ``keys_shared`` in common.
 
@@ -419,18 +391,6 @@ def members(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", "key", "content", F.coalesce("node", "key").alias("node")), made
 
 
-def _sketched_again(rows: DataFrame) -> DataFrame:
-    """Sketches of ``(node, n, text, history)``."""
-
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [sketch(shingles(w), past, w) for w, past in zip(map(hashed, b.column(2).to_pylist()), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64()))], ["node", "n", "sketch"])
-
-    return rows.select("node", "n", "text", "history").mapInArrow(run, "node long, n long, sketch array<long>")
-
-
 def _possible(pairs: DataFrame) -> DataFrame:
     """Of ``(node, leader, n, m, bins, leader_bins)``, the pairs that lengths and bins do not rule out."""
 
@@ -597,9 +557,9 @@ def _counts(folder: str) -> np.ndarray:
 
 
 def _dealt_keys(rows: DataFrame, folder: str, parts: int) -> DataFrame:
-    """``(part, who, keys)``: the sure keys of ``(node, root, bytes, text)`` by part of the keys, those of many texts in one row.
+    """``(part, who, marked, keys)``: the sure keys of ``(node, root, bytes, text)`` by part of the keys, those of many texts in one row.
 
-    ``who`` holds node, root, bytes of the root, words and number of keys of each text.
+    ``who`` holds node, root, bytes of the root, words and number of keys of each text, ``marked`` its marks.
     """
 
     @frugal
@@ -613,15 +573,17 @@ def _dealt_keys(rows: DataFrame, folder: str, parts: int) -> DataFrame:
             part = (keys % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             keys, of, ends = keys[order], of[order], np.searchsorted(part[order], np.arange(parts + 1))
+            marked = np.array([marks(h) for h in words], np.uint64).reshape(-1, MARKS)
             texts = np.stack([b.column(i).to_numpy() for i in range(3)] + [np.array([len(h) for h in words], np.int64)])
             out = []
             for k in np.flatnonzero(np.diff(ends)).tolist():
                 here, n = np.unique(of[ends[k] : ends[k + 1]], return_counts=True)
-                out.append((k, np.vstack((texts[:, here], n)).tobytes(), keys[ends[k] : ends[k + 1]].tobytes()))
-            cols = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "who", "keys"])
+                out.append((k, np.vstack((texts[:, here], n)).tobytes(), marked[here].tobytes(), keys[ends[k] : ends[k + 1]].tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["part", "who", "marked", "keys"])
 
-    return rows.select("node", "root", "bytes", "text").mapInArrow(run, "part long, who binary, keys binary")
+    return rows.select("node", "root", "bytes", "text").mapInArrow(run, "part long, who binary, marked binary, keys binary")
 
 
 def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -630,13 +592,13 @@ def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(new)))
 
 
-def roots_met(who: np.ndarray, keys: np.ndarray) -> Iterator[list[np.ndarray | None]]:
+def roots_met(who: np.ndarray, keys: np.ndarray, marked: np.ndarray | None = None) -> Iterator[list[np.ndarray | None]]:
     """``[key, node, root, bytes, n, other, leader]`` for keys of more than one root, where lengths allow it and the node's own root
-    has fewer bytes than the other one: the node and each text of the other root that has its key, or if they are more than
-    ``FEW`` that root, once; of keys whose rows are too many, the rows as they are, without other and leader.  For two texts,
+    has fewer bytes than the other one: the node and each text of the other root that has its key, if marks allow it, or if they
+    are more than ``FEW`` that root, once; of keys whose rows are too many, the rows as they are, without other and leader.  For two texts,
     key is the number of keys they share here, and n how many similar ones share in all.
 
-    ``who`` has the columns of ``_dealt_keys``, ``keys`` theirs one after the other.
+    ``who`` has the columns of ``_dealt_keys``, ``keys`` theirs one after the other, ``marked`` a row of marks for each text.
     """
     node, root, size, n, many = who
     of, order = np.repeat(np.arange(len(node)), many), np.argsort(keys)
@@ -675,7 +637,11 @@ def roots_met(who: np.ndarray, keys: np.ndarray) -> Iterator[list[np.ndarray | N
             at, place = _each(held[entry[a:b]])
             x, y = mine[a:b][at], of[entries[entry[a:b]][at] + place]
             ok = _may_be_near(n[x], n[y], n[y])
-            one.append(np.stack(np.unique(x[ok] * len(node) + y[ok], return_counts=True)))
+            pairs, times = np.unique(x[ok] * len(node) + y[ok], return_counts=True)
+            for at in range(0, len(pairs), MARKED):
+                x, y = np.divmod(pairs[at : at + MARKED], len(node))
+                ok = slice(None) if marked is None else marks_allow(n[x], n[y], marked[x], marked[y])
+                one.append(np.stack((pairs[at : at + MARKED][ok], times[at : at + MARKED][ok])))
     pairs, times = np.concatenate(one, axis=1)
     pairs, which = np.unique(pairs, return_inverse=True)
     i, j = np.divmod(pairs, len(node))
@@ -711,8 +677,9 @@ def _met_roots(dealt: DataFrame) -> DataFrame:
         names = ["key", "node", "root", "bytes", "n", "other", "leader"]
 
         def met(rows: list) -> Iterator[pa.RecordBatch]:
-            who = np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x, _ in rows], axis=1)
-            for cols in roots_met(who, np.concatenate([np.frombuffer(x, np.uint64) for _, x in rows])):
+            who = np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x, _, _ in rows], axis=1)
+            marked = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, MARKS) for _, x, _ in rows])
+            for cols in roots_met(who, np.concatenate([np.frombuffer(x, np.uint64) for _, _, x in rows]), marked):
                 for at in range(0, len(cols[0]), 100_000):
                     n = len(cols[0][at : at + 100_000])
                     yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c[at : at + n]) for c in cols], names)
@@ -753,13 +720,13 @@ def _near_blocks(rows: DataFrame) -> DataFrame:
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, nodes, words, known = None, [], [], []
+        held, nodes, words, known, triples = None, [], [], [], None
         for b in batches:
             places = zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
             found = []
             for here, sends, node, text in zip(places, *(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
                 if here != held:
-                    held, nodes, words, known = here, [], [], []
+                    held, nodes, words, known, triples = here, [], [], [], None
                 h = hashed(text)
                 if not sends:
                     nodes.append(node)
@@ -768,6 +735,9 @@ def _near_blocks(rows: DataFrame) -> DataFrame:
                     continue
                 n = np.array([len(w) for w in words], np.int64)
                 may = may_be_similar(np.full(len(n), len(h)), n, [bins(h)] * len(n), known) if len(n) and len(h) else n
+                if may.any():
+                    triples = triples or Triples(words)
+                    may = may.astype(bool) & (triples.shared(h) >= triples_needed(n, len(h)))
                 hit = next((nodes[k] for k in np.flatnonzero(may).tolist() if near(h, words[k])), None)
                 if hit is not None:
                     found.append((node, hit))
@@ -831,7 +801,7 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     spark, tmp = docs.sparkSession, Scratch()
     folder = shared_dir(spark, "links")
     narrow = sketches.select("node", "n", "bins")
-    met, history, text, made, crowded = tmp.keep(_met(sketches), "met", fewer=3), None, None, 0, None
+    met, made = tmp.keep(_met(sketches), "met", fewer=3), 0
 
     def links() -> DataFrame:
         return spark.read.schema("node long, leader long").option("recursiveFileLookup", "true").parquet(folder)
@@ -861,58 +831,44 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
         stored(_verified(both.coalesce(tasks(pairs, 200))), "links", path=f"{folder}/{made}")
         made += 1
 
-    while not met.isEmpty():
-        if text is None:
-            wanted = met.select(F.col("node").alias("_n")).union(met.select("leader")).distinct()
-            keyed = texts(docs).select(row_key().alias("node"), "text")
-            text = tmp.keep(_one_text(keyed.join(wanted, F.col("node") == F.col("_n"), "left_semi")), "candidates", "zstd")
-        pairs = possible(met.filter(_near_length("n", "m")).select("node", "leader").distinct())
-        # One leader for each node first; most other pairs are joined by then.
-        verify(tmp.keep(pairs.groupBy("node").agg(F.min("leader").alias("leader")), "first", fewer=16))
+    if met.isEmpty():
+        return spark.createDataFrame([], "node long, leader long")
+    wanted = met.select(F.col("node").alias("_n")).union(met.select("leader")).distinct()
+    keyed = texts(docs).select(row_key().alias("node"), "text")
+    text = tmp.keep(_one_text(keyed.join(wanted, F.col("node") == F.col("_n"), "left_semi")), "candidates", "zstd")
+    pairs = possible(met.filter(_near_length("n", "m")).select("node", "leader").distinct())
+    # One leader for each node first; most other pairs are joined by then.
+    verify(tmp.keep(pairs.groupBy("node").agg(F.min("leader").alias("leader")), "first", fewer=16))
+    labels = _labels(links(), tmp)
+    rest = tmp.keep(_apart(pairs, light(labels)), "rest", fewer=16)
+    if not rest.isEmpty():
+        verify(rest)
+        tmp.drop(labels)
         labels = _labels(links(), tmp)
-        rest = tmp.keep(_apart(pairs, light(labels)), "rest", fewer=16)
-        if not rest.isEmpty():
-            verify(rest)
-            tmp.drop(labels)
-            labels = _labels(links(), tmp)
-        tmp.drop(rest, pairs)
-        led = met.select(F.col("leader").alias("node"), F.col("m").alias("words"), "band", "key").distinct().withColumn("led", F.lit(True))
-        everyone = met.select("node", F.col("n").alias("words"), "band", "key").withColumn("led", F.lit(False)).union(led)
-        members = tmp.keep(everyone.join(_mixed(everyone, light(labels)), ["band", "key"]), "members", fewer=3)
-        tmp.drop(met)
-        # Whoever matched the leader stays: the text that joins a group is often like members that failed.
-        peers = possible(_peer_pairs(members, light(labels)))
-        if not peers.isEmpty():
-            verify(peers)
-            tmp.drop(labels)
-            labels = _labels(links(), tmp)
-        # Up to PEERS beside the leader have all met; more share too common a text and are told apart by others.
-        crowd = members.filter(F.col("n") > PEERS + 1).drop("n")
-        crowd = tmp.keep(crowd.join(_mixed(crowd, light(labels)).drop("n"), ["band", "key"], "left_semi"), "crowd", fewer=3)
-        if crowded is None:  # later crowds are among these
-            crowded = tmp.keep(crowd.select("node").distinct(), "crowded", fewer=16)
-        again = crowd.filter(F.col("band") < BANDS).groupBy("node", F.col("words").alias("n")).agg(F.array_sort(F.collect_set("band")).alias("bands")).filter(F.size("bands") > SPARE)
-        if history is not None:
-            again = again.join(history.drop("n"), "node", "left").select("node", "n", F.concat(F.coalesce("history", F.array()), F.array("bands")).alias("history"))
-        else:
-            again = again.select("node", "n", F.array("bands").alias("history"))
-        before, history = history, tmp.keep(again, "history", fewer=16)
-        tmp.drop(members, labels, before, crowd)
-        if history.isEmpty():
-            break
-        again = light(history, 512).join(text.select("node", "text"), "node").coalesce(tasks(history, 500))
-        again = tmp.keep(_sketched_again(again), "sketched")
-        met = tmp.keep(_met(again), "met", fewer=3)
-        tmp.drop(again)
-    if crowded is not None and not crowded.isEmpty():
+    tmp.drop(rest, pairs)
+    led = met.select(F.col("leader").alias("node"), F.col("m").alias("words"), "band", "key").distinct().withColumn("led", F.lit(True))
+    everyone = met.select("node", F.col("n").alias("words"), "band", "key").withColumn("led", F.lit(False)).union(led)
+    members = tmp.keep(everyone.join(_mixed(everyone, light(labels)), ["band", "key"]), "members", fewer=3)
+    tmp.drop(met)
+    # Whoever matched the leader stays: the text that joins a group is often like members that failed.
+    peers = possible(_peer_pairs(members, light(labels)))
+    if not peers.isEmpty():
+        verify(peers)
+        tmp.drop(labels)
+        labels = _labels(links(), tmp)
+    # Up to PEERS beside the leader have all met; more share too common a text and are told apart by sure keys.
+    crowd = members.filter(F.col("n") > PEERS + 1).drop("n")
+    crowded = crowd.join(_mixed(crowd, light(labels)).drop("n"), ["band", "key"], "left_semi").select("node").distinct()
+    crowded = tmp.keep(crowded, "crowded", fewer=16)
+    tmp.drop(members, labels, peers)
+    if not crowded.isEmpty():
         roots = tmp.keep(components(links()), "roots", fewer=16)
         known = light(crowded, 8).join(text, "node").join(light(roots), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "text")
         known = tmp.keep(known.coalesce(tasks(crowded, 500)), "crowded", "zstd")
         stored(across_links(known, narrow, tmp), "links", path=f"{folder}/{made}")
-        made += 1
         tmp.drop(roots, known)
-    tmp.drop(met, history, text, crowded)
-    return links() if made else spark.createDataFrame([], "node long, leader long")
+    tmp.drop(text, crowded)
+    return links()
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

@@ -295,6 +295,36 @@ def test_keys_of_many_roots_meet_alike_however_they_are_dealt(monkeypatch):
     assert met() == {"raw": {(1, 7), (2, 7), (3, 7), (4, 7)}, "other": set(), "leader": {(1, 5)}}
 
 
+def test_texts_with_a_passage_in_common_are_told_apart_before_they_travel(spark):
+    """Of texts that share a fifth, no pair is a row but the one that is similar."""
+    r, common = random.Random(11), " ".join(f"c{i}" for i in range(12))
+    rows = [(k, k, 400 + k, f"{common} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(48))) for k in range(50)]
+    rows.append((50, 50, 400, rows[7][3].replace("c3 ", "x3 ")))
+    known, tmp = spark.createDataFrame(rows, "node long, root long, bytes long, text string"), near_dedup.Scratch()
+    counts = tmp.keep(near_dedup._slot_counts(known.filter("node < 0")), "slots")
+    met = near_dedup._met_roots(near_dedup._dealt_keys(known, counts._scratch, 4)).collect()
+    tmp.drop(counts)
+    assert met and {frozenset((x.node, x.leader)) for x in met} == {frozenset((7, 50))}
+
+
+def test_marks_and_triples_never_rule_out_similar_texts():
+    r, np, met = random.Random(5), near_dedup.np, 0
+    for _ in range(400):
+        a = [f"w{r.randrange(60)}" for _ in range(r.randrange(1, 120))]
+        b = a[:]
+        for _ in range(r.randrange(len(a) // 5 + 2)):
+            at, kind = r.randrange(len(b) + 1), r.randrange(3)
+            b[at : at + (kind > 0)] = [f"x{r.randrange(900)}"] * (kind < 2)
+        x, y = (near_dedup.hashed(" ".join(v)) for v in (a, b))
+        if len(y) and near_dedup.near(x, y):
+            n, met = (np.array([len(x)]), np.array([len(y)])), met + 1
+            assert near_dedup.marks_allow(*n, near_dedup.marks(x)[None], near_dedup.marks(y)[None]).all()
+            shared = near_dedup.Triples([y, y[::-1]]).shared(x)
+            assert shared[0] == len(np.intersect1d(near_dedup.shingles(x, 3), near_dedup.shingles(y, 3)))
+            assert shared[0] >= near_dedup.triples_needed(*n)[0]
+    assert met > 200
+
+
 @pytest.mark.parametrize("words, share, edits", [(180, 0.5, 36), (180, 1 / 3, 34), (400, 0.6, 80)])
 def test_near_pairs_among_texts_that_share_a_passage(spark, words, share, edits):
     """Pairs at the limit whose edits all lie outside a passage that every text has."""
