@@ -790,7 +790,9 @@ def across_links(known: DataFrame, narrow: DataFrame, tmp: Scratch) -> DataFrame
     senders = wanted.withColumnRenamed("other", "root").join(deal, "root").join(known.select("node", "text"), "node")
     senders = senders.select("root", every("blocks").alias("block"), one("parts").alias("part"), F.lit(True).alias("sends"), "node", "text")
     place = ["root", "block", "part"]
-    return found.union(_near_blocks(members.union(senders).repartition(*place).sortWithinPartitions(*place, "sends")))
+    # In so many tasks also where there are few bytes: each text may be aligned with a whole block.
+    spread = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.union(_near_blocks(members.union(senders).repartition(spread, *place).sortWithinPartitions(*place, "sends")))
 
 
 def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
