@@ -12,7 +12,8 @@ opened for it (``files``).
 
 Defined cases: a query that sees no record, a memory without rows: no hits, horizon 0, one call; records with equal
 insertion indices are told apart by id; vectors of another size than the memory's, and null ones, are an error; a
-decay of 1 certifies nothing, so the walk ends at the oldest record.
+decay of 1 certifies nothing, so the walk ends at the oldest record; scores that decay to 0 are hits like any other,
+and certify nothing unless the order breaks ties by recency.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from driftwell.session import delete, shared_dir
 
 #: Queries that walk together, and the parts that the queries of one block of positions are dealt to.
 TOGETHER, PARTS = 256, 8
+#: Hits that a group of queries holds before they are cut to the best K of each query.
+HELD = 1 << 18
 HIT = "struct<id:bigint,ins:bigint,age:bigint,cosine:double,score:double>"
 WALK = f"qid long, qins long, horizon long, calls long, candidates long, files long, hits array<{HIT}>"
 
@@ -133,6 +136,15 @@ class _Reader:
         return self.kept[1]
 
 
+def _first(kept: list[tuple], order: tuple, k: int) -> tuple:
+    """The best ``k`` in ``order`` of each query, of hits ``(query, id, ins, age, cosine, score)``."""
+    found = tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+    who, by = found[0], dict(zip(("id", "ins", "age", "cosine", "score"), found[1:], strict=True))
+    at = np.lexsort((*[-by[x] for x in reversed(order)], who))
+    place = np.arange(len(at)) - np.searchsorted(who[at], who[at], "left")
+    return tuple(x[at[place < k]] for x in found)
+
+
 def _walk(
     reader: _Reader, qid: np.ndarray, qins: np.ndarray, v: np.ndarray, rule: Rule, schedule: Schedule, window: int | None, first: np.ndarray | None = None, order: tuple = EXHAUSTIVE
 ) -> list[tuple]:
@@ -141,8 +153,11 @@ def _walk(
     size = np.maximum(qins - (1 if first is None else first), 0)
     end, calls = np.full(n, schedule(0)), np.ones(n, np.int64)
     horizon, candidates, opened = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    top = np.zeros((n, rule.k))
+    # What is missing or does not pass the gate lies below every score, also below one that has decayed to 0.
+    top = np.full((n, rule.k), -1.0)
     kept: list[tuple] = []
+    # Where ties go to the newer record, an older one that could only tie cannot enter either.
+    newer = order[:2] == ("score", "ins")
     if window is not None:
         end = np.full(n, window)
     elif rule.decay == 1:
@@ -156,7 +171,8 @@ def _walk(
         kth = top[q].min(1)
         done = end[q] >= size[q]
         if window is None and rule.decay < 1:
-            done |= (kth > 0) & (np.power(rule.decay, end[q].astype(float)) < kth)
+            bound = np.power(rule.decay, end[q].astype(float))
+            done |= (kth >= 0) & (bound <= kth) if newer else (kth > 0) & (bound < kth)
         else:
             done[:] = True
         horizon[q[done]] = np.minimum(end[q[done]], size[q[done]])
@@ -184,24 +200,26 @@ def _walk(
         cosine = np.clip(v[live] @ m["v"].T, -1, 1)
         age = qins[live][:, None] - 1 - m["ins"][None, :]
         fits = (cosine > 0) & (cosine >= rule.tau) & (age >= 0)
-        score = np.where(fits, cosine * np.power(rule.decay, np.maximum(age, 0)), 0.0)
+        score = np.full(cosine.shape, -1.0)
+        score[fits] = cosine[fits] * np.power(rule.decay, age[fits])
         seen = qins[live] - low
         at = np.zeros(len(live), np.int64)
-        rows = np.arange(len(live))
+        # Queries that find nothing here have their windows settled before the next block is read.
+        rows = np.flatnonzero(fits.any(1))
         while len(rows):
             # Each query's next slice: from where it is to its window's end or the block's, whichever comes first.
-            stop = np.array([np.searchsorted(age[r], end[live[r]], "left") for r in rows])
+            stop = np.searchsorted(-m["ins"], end[live[rows]] - qins[live[rows]] + 1, "left")
             width = int((stop - at[rows]).max())
             if width > 0:
                 index = at[rows][:, None] + np.arange(width)[None, :]
                 inside = index < stop[:, None]
                 index = np.minimum(index, age.shape[1] - 1)
-                part = np.where(inside, np.take_along_axis(score[rows], index, 1), 0.0)
+                part = np.where(inside, np.take_along_axis(score[rows], index, 1), -1.0)
                 q = live[rows]
-                candidates[q] += (part > 0).sum(1)
+                candidates[q] += (part >= 0).sum(1)
                 both = np.concatenate([top[q], part], axis=1)
                 top[q] = np.partition(both, both.shape[1] - rule.k, axis=1)[:, -rule.k :]
-                who, where = np.nonzero((part > 0) & (part >= top[q].min(1)[:, None]))
+                who, where = np.nonzero((part >= 0) & (part >= top[q].min(1)[:, None]))
                 col = index[who, where]
                 r = rows[who]
                 kept.append((live[r], m["id"][col], m["ins"][col], age[r, col], cosine[r, col], score[r, col]))
@@ -211,6 +229,8 @@ def _walk(
                 break
             settle(live[ended])
             rows = ended[horizon[live[ended]] < 0]
+        if sum(len(x[0]) for x in kept) > HELD:
+            kept = [_first(kept, order, rule.k)]
     rest = np.flatnonzero(horizon < 0)
     while len(rest):  # the oldest record has been seen
         settle(rest)
@@ -218,12 +238,8 @@ def _walk(
 
     hits: list[list[dict]] = [[] for _ in range(n)]
     if kept:
-        who, ids, ins, age, cosine, score = (np.concatenate(x) for x in zip(*kept, strict=True))
-        by = {"id": ids, "ins": ins, "cosine": cosine, "score": score}
-        for i in np.lexsort((*[-by[x] for x in reversed(order)], who)).tolist():
-            own = hits[who[i]]
-            if len(own) < rule.k:
-                own.append({"id": int(ids[i]), "ins": int(ins[i]), "age": int(age[i]), "cosine": float(cosine[i]), "score": float(score[i])})
+        for i, *hit in zip(*(x.tolist() for x in _first(kept, order, rule.k)), strict=True):
+            hits[i].append(dict(zip(("id", "ins", "age", "cosine", "score"), hit, strict=True)))
     return list(zip(qid.tolist(), qins.tolist(), horizon.tolist(), calls.tolist(), candidates.tolist(), opened.tolist(), hits, strict=True))
 
 
@@ -257,6 +273,6 @@ def walk(queries: DataFrame, store: BlockStore, rule: Rule, schedule: Schedule,
     return rows.mapInArrow(run, WALK)
 
 
-def hits_of(walked: DataFrame, rule: Rule) -> DataFrame:
+def hits_of(walked: DataFrame, rule: Rule, order: tuple = EXHAUSTIVE) -> DataFrame:
     """``(qid, id, ins, age, cosine, score, rank)`` of a walk."""
-    return ranked(walked.select("qid", F.inline("hits")), rule.k)
+    return ranked(walked.select("qid", F.inline("hits")), rule.k, order)

@@ -51,9 +51,14 @@ def standalone_topk(spark, sf_dir):
 
 
 def triangular_topk(spark, sf_dir):
-    """Every record asks, over the whole prefix before it."""
-    m = memory(spark, sf_dir)
-    return _out(R.retrieve(m.select(F.col("id").alias("qid"), F.col("ins").alias("qins"), "v"), m, RULE))
+    """Every record asks, over the whole prefix before it; its walk ends where nothing older can enter its top K."""
+    m = memory(spark, sf_dir).filter("ins is not null")
+    store = S.BlockStore.write(m)
+    oldest = min((low for low, _ in store.bounds.values()), default=1)
+    q = m.select(F.col("id").alias("qid"), F.col("ins").alias("qins"), "v", F.lit(oldest).alias("first"))
+    found = stored(S.walk(q, store, RULE, S.growing(WINDOW), order=R.ONLINE), "walk")
+    store.drop(spark)
+    return _out(S.hits_of(found, RULE, R.ONLINE))
 
 
 def fixed_recency_topk(spark, sf_dir):

@@ -128,6 +128,62 @@ def test_walks_open_only_what_they_need(spark, monkeypatch):
     assert opened == [1, 1, 3, 10]
 
 
+def test_scores_that_decay_to_nothing_are_hits(spark):
+    """0.5 ^ 1200 is 0 in doubles: such hits stay, and certify nothing unless the newest come first."""
+    vectors = [(1, 0), (0.8, 0.6), (1, 0)] + [(0, 1)] * 1200
+    rule = R.Rule(0.5, 0.7, 2)
+    m, q = memory(spark, vectors), query(spark, (1, 0), len(vectors))
+    for order, want in ((R.ONLINE, [3, 2]), (R.EXHAUSTIVE, [3, 1])):
+        store = S.BlockStore.write(m)
+        r = S.walk(q, store, rule, S.growing(100), order=order).first()
+        assert ([h.id for h in r.hits], {h.score for h in r.hits}, r.horizon, r.candidates) == (want, {0.0}, len(vectors), 3)
+        assert [i for i, _ in ids(R.retrieve(q, m, rule, order))] == want
+    vectors = [(1, 0)] * 900 + [(0, 1)] * 1200
+    store = S.BlockStore.write(memory(spark, vectors))
+    for order, horizon in ((R.ONLINE, 1600), (R.EXHAUSTIVE, 2100)):  # ties: an older hit is no better online
+        r = S.walk(query(spark, (1, 0), len(vectors)), store, rule, S.growing(100), order=order).first()
+        assert ([h.id for h in r.hits], r.horizon) == ([900, 899], horizon)
+
+
+def test_hits_held_are_cut_to_the_best(spark, monkeypatch):
+    vectors = np.array([(1, 0), (0.8, 0.6), (1, 0)] * 20, float)
+    monkeypatch.setattr(S, "BLOCK", 4)
+    store = S.BlockStore.write(memory(spark, vectors.tolist()))
+    cut, first = [], S._first
+    monkeypatch.setattr(S, "HELD", 3)
+    monkeypatch.setattr(S, "_first", lambda kept, order, k: cut.append(sum(len(x[0]) for x in kept)) or first(kept, order, k))
+    found = S._walk(S._Reader(store), np.array([7, 8]), np.array([61, 31]), np.array([(1.0, 0), (0.6, 0.8)]), R.Rule(1.0, 0.7, 2), S.steps(4), None)
+    assert len(cut) > 5 and max(cut) <= 2 * (2 + 4)
+    assert [[h["id"] for h in r[-1]] for r in found] == [[60, 58], [29, 26]]
+
+
+def test_triangular_search_stops(spark, tmp_path, monkeypatch):
+    """Every record asks, and opens the newest blocks alone, however many there are; hits are those of all pairs."""
+    from driftwell.queries import retrieval as Q
+
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((1500, 8)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[700] *= 0.1  # passes no gate: walks to the oldest record
+    rows = [(i - 20, v.tolist(), 0) for i, v in enumerate(vectors)] + [(None, vectors[0].tolist(), 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(S, "BLOCK", 64)
+    monkeypatch.setattr(Q, "RULE", R.Rule(decay=0.9))
+    walks, walk = [], S.walk
+    monkeypatch.setattr(S, "walk", lambda *a, **k: walks.append(walk(*a, **k).cache()) or walks[-1])
+    got = {}
+    for r in Q.triangular_topk(spark, str(tmp_path)).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.rank, r.id, r.age, r.score))
+    v = vectors.astype(float)
+    for n in range(1500):
+        cosine = v[:n] @ v[n]
+        score = cosine * 0.9 ** np.arange(n - 1, -1, -1.0)
+        best = sorted(((s, i) for i, (c, s) in enumerate(zip(cosine, score, strict=True)) if c >= 0.2), reverse=True)[:5]
+        assert [x[:3] for x in got.get(n - 20, [])] == [(k, i - 20, n - 1 - i) for k, (_, i) in enumerate(best, 1)]
+    opened = {r.qid: r.files for r in walks[0].select("qid", "files").collect()}
+    assert len(opened) == 1500 and opened.pop(680) >= 11 and max(opened.values()) <= 3
+
+
 def test_walks_of_nothing(spark):
     m, rule = memory(spark, [(1, 0)]), R.Rule(0.5, 0.7, 2)
     r = walked(query(spark, (1, 0), 0), m, rule, S.steps(2)).first()
